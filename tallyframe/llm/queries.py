@@ -12,6 +12,7 @@ from tallyframe.llm.host_rules import host_quality
 from tallyframe.llm.line_templates import drop_recurring_lines
 from tallyframe.llm.minhash import near_duplicates
 from tallyframe.llm.packing import pack
+from tallyframe.llm.ppm import score
 from tallyframe.llm.shared import table
 
 
@@ -23,6 +24,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = host_quality(docs, drop_text=True)
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_benchmark_decontamination,
         op2_line_dedup,
+        op3_ppm_scores,
         op5_host_quality,
         op9_minhash_near_dedup,
         op10_harmonic_packing,
