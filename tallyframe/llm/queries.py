@@ -17,6 +17,7 @@ from tallyframe.llm.ppm import score
 from tallyframe.llm.secrets import KINDS, find_secrets
 from tallyframe.llm.shared import table
 from tallyframe.llm.url_filter import judge
+from tallyframe.llm.wrapper import extract_text
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,11 @@ def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), drop_html=True)
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", *[F.col(f"judged.{n}").alias(n) for n in ("host", "path", "rule", "verdict", "blocked_probability")])
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_ppm_scores,
         op4_secret_scan,
         op5_host_quality,
+        op6_html_extraction,
         op7_url_filter,
         op8_chat_formatting,
         op9_minhash_near_dedup,
