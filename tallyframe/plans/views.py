@@ -111,6 +111,6 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORED = """scored as (
-  select d.doc_id, d.source as fold, l.quality as outcome, 0.05 + 0.9 * ((d.n_chars % 97) / 97.0) as p,
-    (d.n_chars % 41) - 20.0 as mu, (d.n_chars % 23) - 11.0 as y
+  select d.doc_id, d.source as fold, l.quality as outcome, cast(0.05 + 0.9 * ((d.n_chars % 97) / 97.0) as double) as p,
+    cast((d.n_chars % 41) - 20 as double) as mu, cast((d.n_chars % 23) - 11 as double) as y
   from documents d join labels l on d.doc_id = l.doc_id)"""
