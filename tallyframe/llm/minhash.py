@@ -11,7 +11,8 @@ bucket's least member only (a star, linear in the bucket); the links that hold
 make components. What a star can't see, links between members of a bucket that
 are in different components, is then searched for exactly, block against
 block, with the signatures as filter: with at least 84 of 128 coordinates equal
-(six standard deviations below 0.85 * 128) a pair is confirmed on the full sets.
+(six standard deviations below 0.85 * 128) a pair is confirmed on the full sets,
+in the first of the buckets that it shares.
 
 Null or empty texts, and texts without words, have no shingles: they are linked
 with nothing. Rows that repeat a doc_id with the same text are one document.
@@ -34,7 +35,8 @@ from tallyframe.llm.tokens import mix, shingle_sets, words
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-BLOCK = 512
+#: Shingles of one side of a block.
+BLOCK = 250_000
 
 
 def _scramble(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -96,10 +98,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _band_rows(reps: DataFrame) -> DataFrame:
-    """(key, rep, n): one row for each band of each distinct set."""
+    """(key, band, rep, n): one row for each band of each distinct set."""
     hexed = F.hex("keys")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(hexed, i * 16 + 1, F.lit(16)))
-    return reps.select(F.explode(keys).alias("key"), "rep", "n")
+    return reps.select(F.posexplode(keys).alias("band", "hexed"), "rep", "n").select(F.xxhash64("hexed").alias("key"), "band", "rep", "n")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
 def _confirm(threshold: int):
@@ -108,10 +115,7 @@ def _confirm(threshold: int):
             for batch in text_slices(whole, "text_a"):
                 a = shingle_sets(words(*utf8(batch.column("text_a"))))
                 b = shingle_sets(words(*utf8(batch.column("text_b"))))
-                keep = []
-                for x, y in zip(a, b, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= threshold * (len(x) + len(y) - both))
+                keep = [_similar(x, y, threshold) for x, y in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return confirm
@@ -119,10 +123,8 @@ def _confirm(threshold: int):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    used = texts.join(named, "rep", "left_semi")
-    with_a = pairs.join(used.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(used.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    with_b = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(threshold), "a long, b long")
 
 
@@ -148,43 +150,51 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def _block_pairs(threshold: int):
-    least_equal = int(COORDINATES * threshold / 100 - 6 * (COORDINATES * threshold / 100 * (1 - threshold / 100)) ** 0.5)
+def _block_links(threshold: int):
+    mean = COORDINATES * threshold / 100
+    least_equal = int(mean - 6 * (mean * (1 - threshold / 100)) ** 0.5)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest, every = pdf[pdf["rest"]], pdf[~pdf["rest"]]
+        every = pdf[~pdf["rest"]]
+        sets = shingle_sets(words(*utf8(pa.array(pdf["text"], pa.string()))))
+        own, of_rest = np.flatnonzero(~pdf["rest"]), np.flatnonzero(pdf["rest"])
         sig = np.frombuffer(b"".join(every["sig"]), np.uint8).reshape(-1, COORDINATES)
-        ids, comps, n = every["rep"].to_numpy(), every["component"].to_numpy(), every["n"].to_numpy()
+        keys = np.frombuffer(b"".join(every["keys"]), np.int64).reshape(-1, BANDS)
+        ids, comps, n = (every[c].to_numpy() for c in ("rep", "component", "n"))
         a, b = [], []
-        for one in rest.itertuples():
-            near = (np.minimum(n, one.n) * 100 >= threshold * np.maximum(n, one.n)) & (comps != one.component)
-            near[near] = (sig[near] == np.frombuffer(one.sig, np.uint8)).sum(axis=1) >= least_equal
-            for other in ids[near]:
-                a.append(min(one.rep, other))
-                b.append(max(one.rep, other))
+        for i, one in zip(of_rest, pdf.iloc[of_rest].itertuples(), strict=True):
+            near = np.flatnonzero((np.minimum(n, one.n) * 100 >= threshold * np.maximum(n, one.n)) & (comps != one.component))
+            near = near[(sig[near] == np.frombuffer(one.sig, np.uint8)).sum(axis=1) >= least_equal]
+            near = near[np.argmax(keys[near] == np.frombuffer(one.keys, np.int64), axis=1) == one.band]
+            met: set[int] = set()  # one link to a component is enough
+            for j in near:
+                if comps[j] not in met and _similar(sets[i], sets[own[j]], threshold):
+                    met.add(comps[j])
+                    a.append(min(one.rep, ids[j]))
+                    b.append(max(one.rep, ids[j]))
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return block
 
 
-def _left_over(rows: DataFrame, reps: DataFrame, comps: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one bucket in different components whose signatures agree enough.
+def _left_over(shared: DataFrame, reps: DataFrame, comps: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Links between members of one bucket that are in different components.
 
     Members outside a bucket's largest component ("rest") meet all its members, in
-    blocks of about 512 by 512; no group of rows is larger, however large a bucket is.
+    blocks of a bounded number of shingles; no group of rows is larger, however
+    large a bucket is. The hub's pairs have been looked at, so buckets of two are done.
     """
-    placed = rows.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    by_part = placed.groupBy("key", "component").agg(F.count("*").alias("part"))
-    mixed = by_part.groupBy("key").agg(F.sum("part").alias("size"), F.max(F.struct("part", "component")).alias("main"), F.count("*").alias("parts"))
-    mixed = mixed.where("parts > 1 and size > 2").select("key", "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.part")).alias("others"))
-    member = placed.join(mixed, "key").join(reps.select("rep", "sig"), "rep")
-    member = member.withColumn("na", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("nr", F.ceil(F.col("others") / BLOCK).cast("int"))
+    placed = shared.where("size > 2").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    by_part = placed.groupBy("key", "component").agg(F.sum("n").alias("part"))
+    mixed = by_part.groupBy("key").agg(F.sum("part").alias("whole"), F.max(F.struct("part", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("key", F.col("main.component").alias("main"), F.ceil(F.col("whole") / BLOCK).cast("int").alias("na"), F.ceil((F.col("whole") - F.col("main.part")) / BLOCK).cast("int").alias("nr"))
+    member = placed.select("key", "band", "rep", "n", "component").join(mixed, "key").join(reps.select("rep", "keys", "sig"), "rep").join(texts, "rep")
     side = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keep = ["key", "rep", "n", "component", "sig"]
+    keep = ["key", "band", "rep", "n", "component", "keys", "sig", "text"]
     every = member.select(*keep, side("na", 1).alias("x"), spread("nr").alias("y"), F.lit(False).alias("rest"))
     rest = member.where("component <> main").select(*keep, side("nr", 2).alias("y"), spread("na").alias("x"), F.lit(True).alias("rest"))
-    return every.unionByName(rest).groupBy("key", "x", "y").applyInPandas(_block_pairs(threshold), "a long, b long").distinct()
+    return every.unionByName(rest).groupBy("key", "x", "y").applyInPandas(_block_links(threshold), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
@@ -200,14 +210,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     reps = written(
         sketch.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"), F.min("sig").alias("sig")).withColumnRenamed("n_shingles", "n"), "reps"
     )
-    rows = _band_rows(reps)
+    rows = _band_rows(reps).repartition("key")
     hubs = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    star = rows.join(hubs, "key").where(f"rep <> hub.rep and 100 * least(n, hub.n) >= {threshold} * greatest(n, hub.n)").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    texts = docs.groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text")) if _repeats(sketch) else docs.withColumnRenamed("doc_id", "rep")
-    links = [written(_confirmed(written(star, "star"), texts, threshold), "links")]
+    shared = written(rows.join(hubs, "key"), "shared")
+    star = shared.where(f"rep <> hub.rep and 100 * least(n, hub.n) >= {threshold} * greatest(n, hub.n)").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    texts = docs.withColumnRenamed("doc_id", "rep").join(shared.select("rep").distinct(), "rep", "left_semi")
+    texts = written(texts.groupBy("rep").agg(F.min("text").alias("text")) if _repeats(sketch) else texts, "texts")
+    links = [written(_confirmed(star, texts, threshold), "links")]
     comps = components(links[0])
-    left = written(_left_over(rows, reps, comps, threshold), "left")
-    links.append(written(_confirmed(left, texts, threshold), "links"))
+    links.append(written(_left_over(shared, reps, comps, texts, threshold), "left"))
     if not links[1].isEmpty():
         comps = components(reduce(DataFrame.union, links))
     named = reps.select(F.col("n").alias("n_shingles"), "digest_a", "digest_b", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
