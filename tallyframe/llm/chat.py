@@ -33,9 +33,9 @@ LEARNED = "assistant"
 
 
 def escaped(text: Column) -> Column:
-    r"""text with `\`, `#` and `:` led by a backslash, and `<\/turn>` for `</turn>`: no control string is left."""
+    r"""text with a backslash before `\` and `#`, and within `: ` and `</turn>`: no control string is left."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for plain, safe in (("#", "\\#"), (": ", "\\: "), ("</turn>", "<\\/turn>")):
+    for plain, safe in (("#", "\\#"), (": ", ":\\ "), ("</turn>", "<\\/turn>")):
         out = F.replace(out, F.lit(plain), F.lit(safe))
     return out
 

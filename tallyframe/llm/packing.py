@@ -63,10 +63,10 @@ class WordIds:
 
     def encode(self, word: bytes) -> bytes:
         """A pre-token needs the merges only; words that aren't plain enough to split here take the whole way."""
-        if word.isascii():
-            parts = [word.decode()] if word.isalpha() else ASCII_PARTS.findall(word.decode())
+        text = word.decode("utf-8", "replace")
+        if text.isascii() and text.isprintable():
+            parts = ASCII_PARTS.findall(text)
         else:
-            text = word.decode("utf-8", "replace")
             if not (text.isalpha() and text.lower() == text and is_normalized("NFC", text)):
                 return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             parts = [word.decode("latin-1").translate(BYTE_CHARACTERS)]
