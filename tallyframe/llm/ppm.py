@@ -220,8 +220,8 @@ def _head(table: DataFrame) -> DataFrame:
 
 
 def _sent(table: DataFrame, value: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    got = _head(table).select("key", value).toPandas()
-    return got["key"].to_numpy(np.int64).view(np.uint64), got[value].to_numpy(kind)
+    got = _head(table).select("key", value).toArrow()
+    return got["key"].to_numpy().view(np.uint64), got[value].to_numpy().astype(kind)
 
 
 def score(docs: DataFrame) -> DataFrame:
