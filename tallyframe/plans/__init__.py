@@ -1,4 +1,4 @@
 """Every registered query of the library and its oracle."""
 
-from tallyframe.plans import panel_queries, score_queries, serving_queries  # noqa: F401  they register their queries
+from tallyframe.plans import contract_queries, panel_queries, score_queries, serving_queries  # noqa: F401  they register their queries
 from tallyframe.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401
