@@ -12,6 +12,7 @@ from tallyframe.llm.decontaminate import overlaps
 from tallyframe.llm.host_rules import host_quality
 from tallyframe.llm.line_templates import drop_recurring_lines
 from tallyframe.llm.minhash import near_duplicates
+from tallyframe.llm.oracles import ORACLE_SQL  # noqa: F401  read by the entry module
 from tallyframe.llm.packing import pack
 from tallyframe.llm.ppm import score
 from tallyframe.llm.secrets import KINDS, find_secrets
@@ -44,7 +45,8 @@ def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = host_quality(docs, drop_text=True)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", "host_rate"]
-    return out.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
+    out = out.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
+    return out.withColumn("host_rate", F.round("host_rate", 9))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +102,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_harmonic_packing,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}

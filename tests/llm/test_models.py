@@ -142,10 +142,10 @@ class Plain:
                 left = {k: c for k, c in counts.items() if k not in out}
                 n = sum(left.values())
                 if n and s[i] in left:
-                    total += log10((left[s[i]] - 0.5) / n)
+                    total += log10((left[s[i]] - ppm.ESCAPE) / n)
                     break
                 if n:
-                    total += log10(len(left) / (2 * n))
+                    total += log10(ppm.ESCAPE * len(left) / n)
                 out |= set(counts)
             else:
                 total -= log10(max(256 - len(out), 1))
@@ -181,9 +181,9 @@ def test_chances_of_all_symbols_add_up():
                 left = {k: c for k, c in (counts or {}).items() if k not in out}
                 n = sum(left.values())
                 if n and b in left:
-                    p, done = p * (left[b] - 0.5) / n, True
+                    p, done = p * (left[b] - ppm.ESCAPE) / n, True
                     break
-                p = p * len(left) / (2 * n) if n else p
+                p = p * ppm.ESCAPE * len(left) / n if n else p
                 out |= set(counts or ())
             total += p if done else p / (256 - len(out))
         chances.append(total)
