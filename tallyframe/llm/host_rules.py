@@ -114,7 +114,8 @@ def host_quality(docs: DataFrame, text: str = "text", host: str = "source", drop
         measured = measured.drop(text)
     measured = written(measured, "measured")
     measured = measured.withColumn("quality", F.col("quality").withField("base_failed", base).withField("soft_failed", _soft_failure()))
-    rates = host_rates(measured, host).select(F.col("host").alias("_host"), F.col("shrunk").alias("_shrunk"))
+    # written, so that Spark knows its size when it plans the join: few hosts are sent to all tasks, many are shuffled
+    rates = written(host_rates(measured, host).select(F.col("host").alias("_host"), F.col("shrunk").alias("_shrunk")), "host-rates")
     judged = measured.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left")
     kept = ~F.col("quality.base_failed") & ~(F.col("quality.soft_failed") & (F.col("_shrunk") > HOST_RATE))
     return judged.withColumn("quality", F.col("quality").withField("host_rate", F.col("_shrunk")).withField("kept", kept)).drop("_host", "_shrunk")
