@@ -30,11 +30,13 @@ SIMILAR = 0.7
 ENOUGH = ((8, 2), (3, 10), (1, 30))
 WILD = "<*>"
 WHITE = "[\\x20\\x09-\\x0D]+"
-VARIABLE = "[^\\x20\\x09-\\x0D]*[0-9<][^\\x20\\x09-\\x0D]*"
+#: A token with a digit or a bracket; looked for once from each token's start.
+VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9<]*+[0-9<][^\\x20\\x09-\\x0D]*+"
 
 
 def _masked(line: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(line, VARIABLE, WILD), WHITE), "")
+    masked = F.when(line.rlike("[0-9<]"), F.regexp_replace(line, VARIABLE, WILD)).otherwise(line)
+    return F.array_remove(F.split(masked, WHITE), "")
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -58,9 +60,10 @@ def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     distinct = written(distinct.select("h", "leaf", "n", F.col("at.doc_id").alias("first"), "at.line_no", "docs"), "lines")
     shared = distinct.where(f"n > {LEADING}").groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
     wanted = distinct.join(shared, "leaf", "left_semi").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("h", "leaf", "n", "line_no")).alias("wanted"))
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    tokens = _masked(F.get("lines", F.col("w.line_no")))
-    placed = texts.select("w.h", "w.leaf", "w.n", F.posexplode(F.transform(tokens, lambda x: F.xxhash64(x))).alias("at", "token"))
+    hashed = lambda line: F.transform(_masked(line), lambda x: F.xxhash64(x))
+    lines_of = let(F.split("text", "\n"), lambda of: F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["leaf"].alias("leaf"), w["n"].alias("n"), hashed(F.get(of, w["line_no"])).alias("tokens"))))
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select(F.explode(lines_of).alias("w"))
+    placed = texts.select("w.h", "w.leaf", "w.n", F.posexplode("w.tokens").alias("at", "token"))
     placed = written(placed.distinct() if _repeats(docs) else placed, "tokens")
     support = placed.groupBy("leaf", "at", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     kept = placed.join(support, ["leaf", "at", "token"]).groupBy("h", "leaf", "n").agg(F.count("*").alias("constant"), F.sum(F.xxhash64("at", "token").cast("decimal(38,0)")).alias("sum"))
