@@ -12,8 +12,8 @@ are excluded from n and d. Below the empty context every byte left has the same
 are of training documents; scores are of all documents.
 
 Words and byte strings are counted over the whole corpus and stay tables. Only
-the most frequent ones, `HEAD` of each at most, are sent to the workers, which
-sum up what they find there. The rest of a document's strings and words become
+the most frequent ones, `HEAD` of each at most and `SHARE` of all occurrences,
+are sent to the workers, which sum up what they find there. The rest of a document's strings and words become
 rows (doc_id, key, count) and are joined with the full tables, so no score
 depends on what is in the head.
 
@@ -43,6 +43,8 @@ END = 0x0A
 SPACE = 0x20
 SMOOTHING = 0.1
 HEAD = 1 << 20
+#: The head goes no further than this share of all occurrences, so the tables do the same share of the work at every size.
+SHARE = 0.99
 FOLDS = 10
 GRAM, WORD = 0, 1
 
@@ -207,14 +209,16 @@ def _last(key: str, n: int) -> Column:
 
 
 def _head(table: DataFrame) -> DataFrame:
-    """The most frequent keys, HEAD at most: those above a count at which that many are left."""
+    """The most frequent keys that make up SHARE of all occurrences, HEAD keys at most."""
     step = F.floor(F.log2("c") * 8).cast("int")
-    sizes = sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True)
-    held, least = 0, None
-    for at, n in sizes:
+    steps = sorted(table.groupBy(step.alias("step")).agg(F.count("*"), F.sum("c")).collect(), reverse=True)
+    wanted = SHARE * sum(occurrences for _, _, occurrences in steps)
+    held, seen, least = 0, 0, None
+    for at, n, occurrences in steps:
         held += n
-        if held > HEAD:
+        if held > HEAD or seen >= wanted:
             break
+        seen += occurrences
         least = at
     return table.where(step >= F.lit(least)) if least is not None else table.limit(0)
 
