@@ -2,11 +2,11 @@
 
 Every line goes down a tree: its number of tokens, then its first tokens, with
 tokens that hold a digit or stand in angle brackets masked as variable. In a leaf
-the distinct lines are compared by position: a token that another line of the
-leaf has in the same place is constant, others become `<*>`. A line whose
-template keeps at least `SIMILAR` of its tokens stands under that template, else
-under itself. Templates met in enough documents are dropped from all documents
-but the first (by doc_id). The shorter a template, the more documents it takes.
+the distinct lines are grouped by similarity: a line belongs to the first leader
+(the line in most documents first) that has the same token in at least `SIMILAR`
+of the places, and a line that no leader is like becomes one. Groups met in
+enough documents are dropped from all documents but the first (by doc_id). The
+shorter a line, the more documents it takes.
 
 Lines are first counted (one row for each distinct line), so a line that a third
 of all documents have costs one row in its leaf.
@@ -19,6 +19,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ LEADING = 4
 SIMILAR = 0.7
 #: (least tokens, least documents), the first that fits holds.
 ENOUGH = ((8, 2), (3, 10), (1, 30))
+#: Most candidates for leaders that a leaf has in one round; no bound on its leaders.
+WIDEST = 1024
 WILD = "<*>"
 WHITE = "[\\x20\\x09-\\x0D]+"
 #: A token with a digit or a bracket; looked for once from each token's start.
@@ -53,26 +57,63 @@ def _enough(n: Column, docs: Column) -> Column:
     return rule
 
 
+def _like(a: Column, b: Column) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= SIMILAR * F.size(a)
+
+
+def _leaders(heads: Column) -> Column:
+    """Those of heads (in order) that are like no earlier leader."""
+    first = F.slice(heads, 1, 1)
+    add = lambda known, x: F.when(F.exists(known, lambda k: _like(k["tokens"], x["tokens"])), known).otherwise(F.concat(known, F.array(x)))
+    return F.aggregate(F.slice(heads, 2, WIDEST), first, add)
+
+
+def similar_groups(rows: DataFrame) -> DataFrame:
+    """(h, template): each line of rows (h, leaf, docs, tokens) and its leader.
+
+    In each round a leaf has up to `width` candidates, the greatest of as many
+    parts of its lines. All lines of the leaf are held against the leaders among
+    them, and those that are like none go on until no line is left.
+    """
+    done, rest, width = [], rows, 1
+    while True:
+        slot = F.pmod(F.xxhash64("h", F.lit(len(done))), F.lit(width))
+        heads = rest.groupBy("leaf", slot.alias("slot")).agg(F.max(F.struct("docs", "h", "tokens")).alias("head"))
+        heads = heads.groupBy("leaf").agg(F.sort_array(F.collect_list("head"), asc=False).alias("heads"))
+        heads = heads.select("leaf", (_leaders(F.col("heads")) if width > 1 else F.col("heads")).alias("heads"))
+        fits = F.get(F.filter("heads", lambda x: _like(x["tokens"], F.col("tokens"))), F.lit(0))["h"]
+        tried = rest.join(heads, "leaf").select("h", "leaf", "docs", "tokens", fits.alias("template"))
+        tried = written(tried.withColumn("tokens", F.when(F.col("template").isNull(), F.col("tokens"))), "groups")
+        done.append(tried.where("template is not null").select("h", "template"))
+        rest, width = tried.where("template is null").drop("template"), min(4 * width, WIDEST)
+        if rest.isEmpty():
+            return reduce(DataFrame.union, done)
+
+
 def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(h, first): the lines of recurring templates, and the first document of each template."""
     by_doc = lines.groupBy("h", "leaf", "n", "doc_id").agg(F.min("line_no").alias("line_no"))
     distinct = by_doc.groupBy("h", "leaf", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("docs"))
     distinct = written(distinct.select("h", "leaf", "n", F.col("at.doc_id").alias("first"), "at.line_no", "docs"), "lines")
     shared = distinct.where(f"n > {LEADING}").groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
-    wanted = distinct.join(shared, "leaf", "left_semi").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("h", "leaf", "n", "line_no")).alias("wanted"))
-    hashed = lambda line: F.transform(_masked(line), lambda x: F.xxhash64(x))
-    lines_of = let(F.split("text", "\n"), lambda of: F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["leaf"].alias("leaf"), w["n"].alias("n"), hashed(F.get(of, w["line_no"])).alias("tokens"))))
+    wanted = distinct.join(shared, "leaf", "left_semi").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("h", "leaf", "docs", "line_no")).alias("wanted"))
+    tokens_of = lambda line: let(_masked(line), lambda t: F.struct(F.xxhash64(t).alias("h"), F.transform(t, lambda x: F.xxhash64(x)).alias("tokens")))
+    lines_of = let(F.split("text", "\n"), lambda of: F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["leaf"].alias("leaf"), w["docs"].alias("docs"), tokens_of(F.get(of, w["line_no"])).alias("of"))))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select(F.explode(lines_of).alias("w"))
-    placed = texts.select("w.h", "w.leaf", "w.n", F.posexplode("w.tokens").alias("at", "token"))
-    placed = written(placed.distinct() if _repeats(docs) else placed, "tokens")
-    support = placed.groupBy("leaf", "at", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    kept = placed.join(support, ["leaf", "at", "token"]).groupBy("h", "leaf", "n").agg(F.count("*").alias("constant"), F.sum(F.xxhash64("at", "token").cast("decimal(38,0)")).alias("sum"))
-    templates = kept.where(f"constant >= {SIMILAR} * n and constant < n").select("h", F.xxhash64("leaf", "constant", "sum").alias("template"))
-    named = distinct.join(templates, "h", "left").withColumn("template", F.coalesce("template", "h"))
-    # a line that is whole in its leaf is the constant part of a template only if another has it so
-    merged = named.groupBy("template").agg(F.min("first").alias("first"), F.sum("docs").alias("docs"), F.max("first").alias("last"), F.min("n").alias("n"), F.count("*").alias("lines"))
-    merged = merged.where(_enough(F.col("n"), F.col("docs")) & ((F.col("lines") == 1) | (F.col("first") < F.col("last"))))
-    return named.join(merged.select("template", F.col("first").alias("_first")), "template").select("h", F.col("_first").alias("first"))
+    # texts under one id can differ: only the one that has the line gives its tokens
+    texts = texts.where("w.of.h = w.h").select("w.h", "w.leaf", "w.docs", "w.of.tokens")
+    groups = similar_groups(written(texts.dropDuplicates(["h"]) if _repeats(docs) else texts, "tokens"))
+    named = written(distinct.join(groups, "h", "left").withColumn("template", F.coalesce("template", "h")), "named")
+    merged = named.groupBy("template").agg(F.min("first").alias("first"), F.max("docs").alias("docs"), F.sum("docs").alias("most"), F.max("first").alias("last"), F.min("n").alias("n"))
+    # no fewer documents than a line of it has, or two if its lines begin in two; no more than their sum
+    merged = merged.withColumn("docs", F.greatest("docs", F.when(F.col("first") < F.col("last"), 2).otherwise(1)))
+    surely, perhaps = _enough(F.col("n"), F.col("docs")), _enough(F.col("n"), F.col("most"))
+    merged = written(merged.where(perhaps).select("template", "first", "n", surely.alias("surely")), "templates")
+    open_ = named.join(merged.where("not surely").select("template"), "template").select("h", "template")
+    counted = lines.select("h", "doc_id").join(open_, "h").select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"))
+    more = merged.where("not surely").join(counted, "template").where(_enough(F.col("n"), F.col("docs")))
+    merged = merged.where("surely").select("template", F.col("first").alias("_first")).union(more.select("template", F.col("first").alias("_first")))
+    return named.join(merged, "template").select("h", F.col("_first").alias("first"))
 
 
 def _repeats(docs: DataFrame) -> bool:

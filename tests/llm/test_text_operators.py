@@ -94,6 +94,31 @@ def test_lines_that_only_begin_alike_stay(spark):
     assert lines_left(spark, rows) == dict(rows)
 
 
+@pytest.mark.parametrize("n", [2, 5, 500])
+def test_near_copies_that_differ_in_different_places_are_one_template(spark, n):
+    base = [f"word{chr(97 + i)}" for i in range(20)]
+    copies = [" ".join(w if k != 4 + i % 16 else "other" + chr(97 + i % 26) + chr(97 + i // 26) for k, w in enumerate(base)) for i in range(n)]
+    left = lines_left(spark, list(enumerate(copies)))
+    assert left == {i: copies[0] if i == 0 else "" for i in range(n)}
+
+
+def test_recurring_values_in_several_fields_make_one_template(spark):
+    names = [chr(97 + i) * 3 for i in range(26)]
+    lines = [f"the user called {a} has sent a message to user {b} this very day" for a in names for b in names]
+    lines = [x.replace("the user called", "today the new user called") for x in lines]
+    left = lines_left(spark, list(enumerate(lines)))
+    assert left == {i: lines[0] if i == 0 else "" for i in range(len(lines))}
+
+
+def test_two_templates_of_a_leaf_stay_apart_and_documents_count_once(spark):
+    one, two = "all these lines begin {} with the same words here", "all these lines begin {} but then go quite elsewhere"
+    rows = [(i, (one, two)[i % 2].format("x" * (i + 1))) for i in range(12)]
+    assert lines_left(spark, rows) == {i: t if i < 2 else "" for i, t in rows}
+    short = "we all like {} so much"
+    several = [(i, "\n".join(short.format(c * (i + 1)) for c in "abc")) for i in range(9)]
+    assert lines_left(spark, several) == dict(several)
+
+
 def test_line_edges(spark):
     out = line_templates.drop_recurring_lines(edges(spark))
     assert out.count() == len(EDGES) and out.where("doc_id = 6 and text = ''").count() == 2
