@@ -3,10 +3,9 @@
 A seed is the hash of the tokens under a fixed mask, laid at every position of a
 text; positions where the mask has 0 may differ. Test seeds and training seeds
 are joined on that hash. Around each hit the two texts are laid side by side on
-the hit's diagonal, and the stretch with the best score (a point for each equal
-token, minus two for each other) is the overlap. It counts if it has at least
-`MIN_TOKENS` tokens (an item shorter than that: nearly all of it), of which at
-least `IDENTITY` are equal.
+the hit's diagonal, and the longest stretch of which at least `IDENTITY` are equal
+is the overlap. It counts if it has at least `MIN_TOKENS` tokens (an item shorter
+than that: nearly all of it).
 
 Tokens are runs of bytes other than white space and ASCII punctuation, A-Z in
 lower case. The benchmark is read in blocks of at most `BLOCK_TOKENS` tokens (an
@@ -23,6 +22,7 @@ table is empty, the result is.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -108,21 +108,23 @@ class Index:
         for r, i, shift, hits in zip(*found.tolist(), n.tolist(), strict=True):
             low, high = max(first[r] - shift, self.first[i]), min(first[r + 1] - shift, self.first[i + 1])
             equal = self.hashes[low:high] == hashes[low + shift : high + shift]
-            start, stop = _best_stretch(equal)
+            start, stop = _longest_stretch(equal)
             same = int(equal[start:stop].sum())
             size = int(self.first[i + 1] - self.first[i])
-            if stop - start >= min(MIN_TOKENS, 0.8 * size) and same >= IDENTITY * (stop - start):
+            if stop - start >= min(MIN_TOKENS, 0.8 * size):
                 row_ = (r, i, int(low + start + shift - first[r]), int(low + start - self.first[i]), int(stop - start), same, hits)
                 best[r, i] = max(best.get((r, i), row_), row_, key=lambda x: (x[5], -x[2], -x[3]))
         yield from best.values()
 
 
-def _best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch with the highest sum of 1 for equal and -2 for other tokens, the first of the longest."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    lowest = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - lowest))
-    return int(np.flatnonzero(total[: stop + 1] == lowest[stop])[0]), stop
+def _longest_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """The longest stretch of which at least IDENTITY are equal, the first of them."""
+    share = Fraction(str(IDENTITY))
+    total = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator, 0) - share.numerator)])
+    # for each end the first start whose sum is no greater: sums of whole numbers, so exact
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    stop = int(np.argmax(np.arange(len(total)) - start))
+    return int(start[stop]), stop
 
 
 def _search(index) -> Callable:

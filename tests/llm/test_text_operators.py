@@ -166,6 +166,30 @@ def test_every_exact_run_of_thirteen_tokens_is_found(spark):
     assert expected <= found and expected
 
 
+def test_the_longest_stretch_of_enough_equal_tokens_is_found():
+    rng = random.Random(7)
+    for rate in (0.5, 0.7, 0.8, 0.9):
+        for _ in range(50):
+            equal = [rng.random() < rate for _ in range(rng.randrange(1, 40))]
+            fits = [j - i for i in range(len(equal) + 1) for j in range(i, len(equal) + 1) if 10 * sum(equal[i:j]) >= 8 * (j - i)]
+            start, stop = decontaminate._longest_stretch(decontaminate.np.array(equal))
+            assert stop - start == max(fits) and 10 * sum(equal[start:stop]) >= 8 * (stop - start)
+
+
+def test_no_shorter_or_worse_stretch_hides_an_overlap(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    short, long = [word() for _ in range(16)], [word() for _ in range(120)]
+    items = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    gap = [w if i not in (10, 11) else word() for i, w in enumerate(short)]  # 14 of 16
+    fading = [w if i < 20 or i % 4 else word() for i, w in enumerate(long)]  # 20 verbatim, then 75 %
+    docs = spark.createDataFrame([(1, " ".join(gap)), (2, " ".join(fading))], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(docs, items).collect()}
+    assert set(found) == {(1, 1), (2, 2)}
+    assert (found[1, 1].length, found[1, 1].equal) == (16, 14)
+    assert 20 <= found[2, 2].length < 120 and found[2, 2].equal >= 0.8 * found[2, 2].length
+
+
 def test_overlap_edges(spark):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     assert decontaminate.overlaps(edges(spark), items).count() == 0
