@@ -12,26 +12,32 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.decontaminate import overlaps
 from tallyframe.llm.host_rules import host_quality
-from tallyframe.llm.line_templates import drop_recurring_lines
+from tallyframe.llm.line_templates import recurring_drops, without_lines
 from tallyframe.llm.minhash import near_duplicates
 from tallyframe.llm.packing import pack
 from tallyframe.llm.shared import DOCUMENT_COLUMNS, table, written
 
-#: A document that loses more of its text than this to lines found elsewhere is a copy and goes.
-MAX_LOST = 0.8
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return host_quality(docs.select(DOCUMENT_COLUMNS)).where("quality.kept").select(DOCUMENT_COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars becomes the length of the text that is left."""
-    docs = docs.select(DOCUMENT_COLUMNS).withColumn("_length", F.length("text"))
-    out = drop_recurring_lines(docs)
-    left = F.length("text")
-    out = out.where(F.col("text").isNull() | (left >= (1 - MAX_LOST) * F.col("_length")))
-    return out.withColumn("n_chars", F.when(F.size("dropped_lines") > 0, left.cast("long")).otherwise(F.col("n_chars"))).select(DOCUMENT_COLUMNS)
+    """n_chars becomes the length of the text that is left.
+
+    Lines go, and documents with no token left. Near copies can't be seen any more
+    once a document of their group has lost lines, so these groups are judged
+    here, on the whole texts; copies keep a template only if no other document has it.
+    """
+    docs = docs.select(DOCUMENT_COLUMNS)
+    found = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.min("component_id").alias("component"))
+    found = written(found.where("not kept or doc_id = component"), "judged")
+    drops = written(recurring_drops(docs, late=found.where("not kept")), "drops")
+    touched = found.join(drops.select(F.col("_doc").alias("doc_id")), "doc_id").select("component").distinct()
+    gone = written(found.where("not kept").join(touched, "component", "left_semi").select("doc_id"), "copies")
+    left = (F.size("dropped_lines") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    out = without_lines(docs.join(gone, "doc_id", "left_anti"), drops).where(left)
+    return out.withColumn("n_chars", F.when(F.size("dropped_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(DOCUMENT_COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

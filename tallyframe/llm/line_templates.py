@@ -92,11 +92,11 @@ def similar_groups(rows: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(h, first): the lines of recurring templates, and the first document of each template."""
-    by_doc = lines.groupBy("h", "leaf", "n", "doc_id").agg(F.min("line_no").alias("line_no"))
-    distinct = by_doc.groupBy("h", "leaf", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("docs"))
-    distinct = written(distinct.select("h", "leaf", "n", F.col("at.doc_id").alias("first"), "at.line_no", "docs"), "lines")
+    by_doc = lines.groupBy("h", "leaf", "n", "doc_id", "late").agg(F.min("line_no").alias("line_no"))
+    distinct = by_doc.groupBy("h", "leaf", "n").agg(F.min(F.struct("late", "doc_id", "line_no")).alias("at"), F.count("*").alias("docs"))
+    distinct = written(distinct.select("h", "leaf", "n", F.struct("at.late", "at.doc_id").alias("first"), "at.line_no", "docs"), "lines")
     shared = distinct.where(f"n > {LEADING}").groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
-    wanted = distinct.join(shared, "leaf", "left_semi").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("h", "leaf", "docs", "line_no")).alias("wanted"))
+    wanted = distinct.join(shared, "leaf", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("h", "leaf", "docs", "line_no")).alias("wanted"))
     tokens_of = lambda line: let(_masked(line), lambda t: F.struct(F.xxhash64(t).alias("h"), F.transform(t, lambda x: F.xxhash64(x)).alias("tokens")))
     lines_of = let(F.split("text", "\n"), lambda of: F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["leaf"].alias("leaf"), w["docs"].alias("docs"), tokens_of(F.get(of, w["line_no"])).alias("of"))))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select(F.explode(lines_of).alias("w"))
@@ -113,20 +113,34 @@ def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     counted = lines.select("h", "doc_id").join(open_, "h").select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     more = merged.where("not surely").join(counted, "template").where(_enough(F.col("n"), F.col("docs")))
     merged = merged.where("surely").select("template", F.col("first").alias("_first")).union(more.select("template", F.col("first").alias("_first")))
-    return named.join(merged, "template").select("h", F.col("_first").alias("first"))
+    return named.join(merged, "template").select("h", F.col("_first.doc_id").alias("first"))
 
 
 def _repeats(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs with their lines of recurring templates dropped, and `dropped_lines` (their numbers, from 0)."""
-    lines = written(line_rows(docs.select("doc_id", "text")), "line-rows")
+def recurring_drops(docs: DataFrame, late: DataFrame | None = None) -> DataFrame:
+    """(_doc, _drops): the numbers of the lines that go, for each document that loses any.
+
+    late: (doc_id) of documents that count as first only where no other has the template.
+    """
+    lines = line_rows(docs.select("doc_id", "text"))
+    lines = lines.withColumn("late", F.lit(False)) if late is None else lines.join(late.select("doc_id", F.lit(True).alias("late")).distinct(), "doc_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    lines = written(lines, "line-rows")
     found = written(recurring_lines(docs, lines), "recurring")
     drops = lines.select("doc_id", "line_no", "h").join(found, "h").where("doc_id <> first")
-    drops = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_drops"))
+    return drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_drops"))
+
+
+def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """docs without the lines of drops, and `dropped_lines` (their numbers, from 0)."""
     joined = docs.join(drops, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drops", i))
     text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn("text", text).withColumn("dropped_lines", F.coalesce(F.sort_array("_drops"), F.expr("cast(array() as array<int>)"))).drop("_drops")
+
+
+def drop_recurring_lines(docs: DataFrame) -> DataFrame:
+    """docs with their lines of recurring templates dropped, and `dropped_lines` (their numbers, from 0)."""
+    return without_lines(docs, recurring_drops(docs))

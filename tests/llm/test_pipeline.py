@@ -61,3 +61,25 @@ def test_stages_take_empty_and_repeated_rows(spark):
                 assert out.count() == out.select("doc_id").distinct().count()
             else:
                 out.count()
+
+
+def test_line_dedup_keeps_what_is_found_nowhere_else(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnoprstuvw", k=7)) for _ in range(n))
+    shared, own, copied, extra = [words(200), words(200)], words(40), [words(15) for _ in range(12)], words(12)
+    texts = {
+        1: "\n".join([shared[0], words(30)]),
+        2: "\n".join([shared[1], words(30)]),
+        3: "\n".join([*shared, own]),  # over 80 % of it is found elsewhere, and it is no copy
+        4: "\n".join(copied),
+        5: "\n".join([*copied, extra]),  # a near copy of 4, and the first with `extra`
+        6: "\n".join([extra, words(60)]),
+        7: shared[0],
+        8: None,
+    }
+    rows = [(i, t, "en", "s", len(t) if t else None) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
+    assert set(out) == {1, 2, 3, 4, 6, 8}
+    assert out[3].text == own and out[3].n_chars == len(own)
+    assert all(out[i].text == texts[i] for i in (1, 2, 4, 6, 8))
