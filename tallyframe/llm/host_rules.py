@@ -11,7 +11,8 @@ prior, so one bad page doesn't condemn it.
 A null or empty text has no words and fails the hard rules. A null host is a
 host of its own. Rows that repeat count again. Columns of the input other than
 the three named ones are carried along untouched, whatever their names: the
-measures come in one struct column, `quality`. An empty table gives no rows.
+measures come in one struct column, `quality`, which takes the place of an input
+column of that name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,19 +84,22 @@ def measures(text: Column) -> Column:
     return let(text_words(text), from_words)
 
 
-def _soft_failure(q: str = "quality") -> Column:
-    m = lambda name: F.col(f"{q}.{name}")
-    length = m("word_chars") / F.greatest(m("n_words"), F.lit(1))
-    return (m("n_symbols") > MAX_SYMBOLS_PER_WORD * m("n_words")) | (m("n_dup_lines") > MAX_DUP_LINES * m("n_lines")) | ~length.between(*WORD_LENGTH)
+def _failures(m: Column) -> Column:
+    """m with base_failed and soft_failed."""
+    words = m["n_words"]
+    base = (words < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
+    length = m["word_chars"] / F.greatest(words, F.lit(1))
+    soft = (m["n_symbols"] > MAX_SYMBOLS_PER_WORD * words) | (m["n_dup_lines"] > MAX_DUP_LINES * m["n_lines"]) | ~length.between(*WORD_LENGTH)
+    return m.withField("base_failed", base).withField("soft_failed", soft)
 
 
-def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """(host, n, failures, rate, shrunk): shrunk is the mean of the host's beta posterior.
+def host_rates(judged: DataFrame) -> DataFrame:
+    """(host, n, failures, rate, shrunk) of rows (host, failed); shrunk is the mean of the host's beta posterior.
 
     The prior's mean m and strength s come from the mean and variance of the hosts'
     rates: s = m (1 - m) / variance - 1, held between 1 and 10,000.
     """
-    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col("quality.base_failed") | F.col("quality.soft_failed")).alias("failures"))
+    hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("failures"))
     hosts = hosts.withColumn("rate", F.col("failures") / F.col("n"))
     prior = hosts.agg(F.avg("rate").alias("m"), F.coalesce(F.var_samp("rate"), F.lit(0.0)).alias("v"))
     strength = F.greatest(F.lit(1.0), F.least(F.lit(10000.0), F.coalesce(F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1, F.lit(10000.0))))
@@ -106,16 +110,15 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
 def host_quality(docs: DataFrame, text: str = "text", host: str = "source", drop_text: bool = False) -> DataFrame:
     """docs with `quality`: the measures, base_failed, soft_failed, host_rate and kept.
 
-    drop_text: leave the text column out of the result.
+    drop_text: leave the text column out of the result; the measures are then
+    written once. With the text they are taken twice, once for the hosts and once
+    for the verdicts, so that no copy of the texts is written or shuffled.
     """
-    measured = docs.withColumn("quality", measures(F.col(text)))
-    base = (F.col("quality.n_words") < MIN_WORDS) | (100 * F.col("quality.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("quality.n_words"))
-    if drop_text:
-        measured = measured.drop(text)
-    measured = written(measured, "measured")
-    measured = measured.withColumn("quality", F.col("quality").withField("base_failed", base).withField("soft_failed", _soft_failure()))
+    out = [c for c in docs.columns if c != "quality" and not (drop_text and c == text)]
+    measured = docs.select(F.struct(*out).alias("d"), F.col(host).alias("host"), let(measures(F.col(text)), _failures).alias("q"))
+    measured = written(measured, "measured") if drop_text else measured
     # written, so that Spark knows its size when it plans the join: few hosts are sent to all tasks, many are shuffled
-    rates = written(host_rates(measured, host).select(F.col("host").alias("_host"), F.col("shrunk").alias("_shrunk")), "host-rates")
-    judged = measured.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left")
-    kept = ~F.col("quality.base_failed") & ~(F.col("quality.soft_failed") & (F.col("_shrunk") > HOST_RATE))
-    return judged.withColumn("quality", F.col("quality").withField("host_rate", F.col("_shrunk")).withField("kept", kept)).drop("_host", "_shrunk")
+    rates = written(host_rates(measured.select("host", (F.col("q.base_failed") | F.col("q.soft_failed")).alias("failed"))).select(F.col("host").alias("of"), "shrunk"), "host-rates")
+    judged = measured.join(rates, F.col("host").eqNullSafe(F.col("of")), "left")
+    kept = ~F.col("q.base_failed") & ~(F.col("q.soft_failed") & (F.col("shrunk") > HOST_RATE))
+    return judged.select("d.*", F.col("q").withField("host_rate", F.col("shrunk")).withField("kept", kept).alias("quality"))

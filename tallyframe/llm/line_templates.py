@@ -1,20 +1,25 @@
 """Line dedup with a fixed-depth template tree, in DataFrame functions only.
 
 Every line goes down a tree: its number of tokens, then its first tokens, with
-tokens that hold a digit or stand in angle brackets masked as variable. In a leaf
+tokens that hold a digit or stand in angle brackets masked as variable. A line of
+which over half would be masked isn't: it recurs only as it is. In a leaf
 the distinct lines are grouped by similarity: a line belongs to the first leader
 (the line in most documents first) that has the same token in at least `SIMILAR`
-of the places, and a line that no leader is like becomes one. Groups met in
-enough documents are dropped from all documents but the first (by doc_id). The
-shorter a line, the more documents it takes.
+of the literal places (those not masked, of the line that has more), and a line
+that no leader is like becomes one. Groups met in enough documents are dropped
+from all documents but the first (by doc_id). The shorter a line, the more
+documents it takes. Fields vary from the fifth token on, so lines of up to four
+tokens vary only where they are masked.
 
-Lines are first counted (one row for each distinct line), so a line that a third
-of all documents have costs one row in its leaf.
+Lines are first counted (one row for each distinct line, named by 128 bits of its
+masked tokens), so a line that a third of all documents have costs one row in its
+leaf.
 
 A null text stays null and an empty one empty; blank lines stay. Rows that
-repeat a doc_id count as one document. Other columns are carried along; names
-that clash are no matter, as only doc_id and text are looked at. An empty table
-gives no rows.
+repeat a doc_id count as one document, with the same text or others. A null
+doc_id keeps all its lines and counts as no document. Other columns are carried
+along; names that clash are no matter, but for `dropped_lines`, which the result's
+own column replaces. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.shared import let, written
+from tallyframe.llm.shared import Scratch, let, written
 
 LEADING = 4
 SIMILAR = 0.7
@@ -39,15 +44,21 @@ VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9<]*+[0-9<][^\\x20\\x09-
 
 
 def _masked(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9<]"), F.regexp_replace(line, VARIABLE, WILD)).otherwise(line)
-    return F.array_remove(F.split(masked, WHITE), "")
+    plain = F.array_remove(F.split(line, WHITE), "")
+    masked = F.array_remove(F.split(F.regexp_replace(line, VARIABLE, WILD), WHITE), "")
+    enough = lambda t: F.when(2 * F.size(F.filter(t, lambda x: x == WILD)) > F.size(t), plain).otherwise(t)
+    return F.when(line.rlike("[0-9<]"), let(masked, enough)).otherwise(plain)
+
+
+def _name(tokens: Column) -> Column:
+    return F.struct(F.xxhash64(tokens).alias("a"), F.xxhash64(F.lit(1), tokens).alias("b"))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h, leaf, n): the lines that have a token; h stands for the masked line."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    key = let(_masked(F.col("line")), lambda t: F.struct(F.xxhash64(t).alias("h"), F.xxhash64(F.size(t), F.slice(t, 1, LEADING)).alias("leaf"), F.size(t).alias("n")))
-    return lines.select("doc_id", "line_no", key.alias("key")).select("doc_id", "line_no", "key.*").where("n > 0")
+    """(doc_id, text_key, line_no, h, leaf, n): the lines that have a token; h names the masked line, text_key the text."""
+    lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    key = let(_masked(F.col("line")), lambda t: F.struct(_name(t).alias("h"), F.xxhash64(F.size(t), F.slice(t, 1, LEADING)).alias("leaf"), F.size(t).alias("n")))
+    return lines.select("doc_id", "text_key", "line_no", key.alias("key")).select("doc_id", "text_key", "line_no", "key.*").where("n > 0")
 
 
 def _enough(n: Column, docs: Column) -> Column:
@@ -58,18 +69,20 @@ def _enough(n: Column, docs: Column) -> Column:
 
 
 def _like(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= SIMILAR * F.size(a)
+    """Whether two lines (structs of tokens, 0 where masked, and the number of literal ones) have enough literal tokens in common."""
+    same = F.filter(F.zip_with(a["tokens"], b["tokens"], lambda x, y: (x == y) & (x != 0)), lambda x: x)
+    return F.size(same) >= SIMILAR * F.greatest(a["literal"], b["literal"])
 
 
 def _leaders(heads: Column) -> Column:
     """Those of heads (in order) that are like no earlier leader."""
     first = F.slice(heads, 1, 1)
-    add = lambda known, x: F.when(F.exists(known, lambda k: _like(k["tokens"], x["tokens"])), known).otherwise(F.concat(known, F.array(x)))
+    add = lambda known, x: F.when(F.exists(known, lambda k: _like(k, x)), known).otherwise(F.concat(known, F.array(x)))
     return F.aggregate(F.slice(heads, 2, WIDEST), first, add)
 
 
-def similar_groups(rows: DataFrame) -> DataFrame:
-    """(h, template): each line of rows (h, leaf, docs, tokens) and its leader.
+def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, template): each line of rows (h, leaf, docs, of) and its leader; of: its tokens and number of literal ones.
 
     In each round a leaf has up to `width` candidates, the greatest of as many
     parts of its lines. All lines of the leaf are held against the leaders among
@@ -77,43 +90,41 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     """
     done, rest, width = [], rows, 1
     while True:
-        slot = F.pmod(F.xxhash64("h", F.lit(len(done))), F.lit(width))
-        heads = rest.groupBy("leaf", slot.alias("slot")).agg(F.max(F.struct("docs", "h", "tokens")).alias("head"))
+        heads = rest.groupBy("leaf", F.pmod("h.b", F.lit(width)).alias("slot")).agg(F.max(F.struct("docs", "h", "of.literal", "of.tokens")).alias("head"))
         heads = heads.groupBy("leaf").agg(F.sort_array(F.collect_list("head"), asc=False).alias("heads"))
         heads = heads.select("leaf", (_leaders(F.col("heads")) if width > 1 else F.col("heads")).alias("heads"))
-        fits = F.get(F.filter("heads", lambda x: _like(x["tokens"], F.col("tokens"))), F.lit(0))["h"]
-        tried = rest.join(heads, "leaf").select("h", "leaf", "docs", "tokens", fits.alias("template"))
-        tried = written(tried.withColumn("tokens", F.when(F.col("template").isNull(), F.col("tokens"))), "groups")
+        fits = F.get(F.filter("heads", lambda x: _like(x, F.col("of"))), F.lit(0))["h"]
+        tried = rest.join(heads, "leaf").select("h", "leaf", "docs", "of", fits.alias("template"))
+        tried = scratch.written(tried.withColumn("of", F.when(F.col("template").isNull(), F.col("of"))), "groups")
         done.append(tried.where("template is not null").select("h", "template"))
         rest, width = tried.where("template is null").drop("template"), min(4 * width, WIDEST)
         if rest.isEmpty():
             return reduce(DataFrame.union, done)
 
 
-def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def recurring_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(h, first): the lines of recurring templates, and the first document of each template."""
-    by_doc = lines.groupBy("h", "leaf", "n", "doc_id", "late").agg(F.min("line_no").alias("line_no"))
-    distinct = by_doc.groupBy("h", "leaf", "n").agg(F.min(F.struct("late", "doc_id", "line_no")).alias("at"), F.count("*").alias("docs"))
-    distinct = written(distinct.select("h", "leaf", "n", F.struct("at.late", "at.doc_id").alias("first"), "at.line_no", "docs"), "lines")
+    by_doc = lines.groupBy("h", "leaf", "n", "doc_id", "late").agg(F.min(F.struct("line_no", "text_key")).alias("at"))
+    distinct = by_doc.groupBy("h", "leaf", "n").agg(F.min(F.struct("late", "doc_id", "at")).alias("place"), F.count("*").alias("docs"))
+    distinct = scratch.written(distinct.select("h", "leaf", "n", F.struct("place.late", "place.doc_id").alias("first"), "place.at", "docs"), "lines")
     shared = distinct.where(f"n > {LEADING}").groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
-    wanted = distinct.join(shared, "leaf", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("h", "leaf", "docs", "line_no")).alias("wanted"))
-    tokens_of = lambda line: let(_masked(line), lambda t: F.struct(F.xxhash64(t).alias("h"), F.transform(t, lambda x: F.xxhash64(x)).alias("tokens")))
+    wanted = distinct.join(shared, "leaf", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("h", "leaf", "docs", "at.line_no")).alias("wanted"))
+    numbers = lambda t: F.transform(t, lambda x: F.when(x == WILD, 0).otherwise(F.xxhash64(x)))
+    tokens_of = lambda line: let(_masked(line), lambda t: F.struct(numbers(t).alias("tokens"), F.size(F.filter(t, lambda x: x != WILD)).alias("literal")))
     lines_of = let(F.split("text", "\n"), lambda of: F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["leaf"].alias("leaf"), w["docs"].alias("docs"), tokens_of(F.get(of, w["line_no"])).alias("of"))))
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select(F.explode(lines_of).alias("w"))
-    # texts under one id can differ: only the one that has the line gives its tokens
-    texts = texts.where("w.of.h = w.h").select("w.h", "w.leaf", "w.docs", "w.of.tokens")
-    groups = similar_groups(written(texts.dropDuplicates(["h"]) if _repeats(docs) else texts, "tokens"))
-    named = written(distinct.join(groups, "h", "left").withColumn("template", F.coalesce("template", "h")), "named")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"]).select(F.explode(lines_of).alias("w")).select("w.*")
+    groups = similar_groups(scratch.written(texts.dropDuplicates(["h"]) if _repeats(docs) else texts, "tokens"), scratch)
+    named = scratch.written(distinct.join(groups, "h", "left").withColumn("template", F.coalesce("template", "h")), "named")
     merged = named.groupBy("template").agg(F.min("first").alias("first"), F.max("docs").alias("docs"), F.sum("docs").alias("most"), F.max("first").alias("last"), F.min("n").alias("n"))
     # no fewer documents than a line of it has, or two if its lines begin in two; no more than their sum
     merged = merged.withColumn("docs", F.greatest("docs", F.when(F.col("first") < F.col("last"), 2).otherwise(1)))
     surely, perhaps = _enough(F.col("n"), F.col("docs")), _enough(F.col("n"), F.col("most"))
-    merged = written(merged.where(perhaps).select("template", "first", "n", surely.alias("surely")), "templates")
+    merged = scratch.written(merged.where(perhaps).select("template", "first", "n", surely.alias("surely")), "templates")
     open_ = named.join(merged.where("not surely").select("template"), "template").select("h", "template")
     counted = lines.select("h", "doc_id").join(open_, "h").select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     more = merged.where("not surely").join(counted, "template").where(_enough(F.col("n"), F.col("docs")))
-    merged = merged.where("surely").select("template", F.col("first").alias("_first")).union(more.select("template", F.col("first").alias("_first")))
-    return named.join(merged, "template").select("h", F.col("_first.doc_id").alias("first"))
+    merged = merged.where("surely").select("template", F.col("first").alias("of")).union(more.select("template", F.col("first").alias("of")))
+    return named.join(merged, "template").select("h", F.col("of.doc_id").alias("first"))
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -121,24 +132,26 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def recurring_drops(docs: DataFrame, late: DataFrame | None = None) -> DataFrame:
-    """(_doc, _drops): the numbers of the lines that go, for each document that loses any.
+    """(doc_id, text_key, lines): the numbers of the lines that go, for each text that loses any.
 
     late: (doc_id) of documents that count as first only where no other has the template.
     """
-    lines = line_rows(docs.select("doc_id", "text"))
-    lines = lines.withColumn("late", F.lit(False)) if late is None else lines.join(late.select("doc_id", F.lit(True).alias("late")).distinct(), "doc_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    lines = written(lines, "line-rows")
-    found = written(recurring_lines(docs, lines), "recurring")
-    drops = lines.select("doc_id", "line_no", "h").join(found, "h").where("doc_id <> first")
-    return drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_drops"))
+    with Scratch(docs.sparkSession) as scratch:
+        lines = line_rows(docs.select("doc_id", "text"))
+        lines = lines.withColumn("late", F.lit(False)) if late is None else lines.join(late.select("doc_id", F.lit(True).alias("late")).distinct(), "doc_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        lines = scratch.written(lines, "line-rows")
+        found = scratch.written(recurring_lines(docs, lines, scratch), "recurring")
+        drops = lines.select("doc_id", "text_key", "line_no", "h").join(found, "h").where("doc_id <> first")
+        return written(drops.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines")), "drops")
 
 
 def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """docs without the lines of drops, and `dropped_lines` (their numbers, from 0)."""
-    joined = docs.join(drops, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drops", i))
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).withColumn("dropped_lines", F.coalesce(F.sort_array("_drops"), F.expr("cast(array() as array<int>)"))).drop("_drops")
+    rows = docs.select(F.struct("*").alias("d"), "doc_id", F.xxhash64("text").alias("text_key"))
+    left = lambda of: F.transform(F.array_except(F.sequence(F.lit(0), F.size(of) - 1), "lines"), lambda i: F.get(of, i))
+    text = F.when(F.col("lines").isNull(), F.col("d.text")).otherwise(F.array_join(let(F.split("d.text", "\n"), left), "\n"))
+    columns = [text.alias(c) if c == "text" else F.col("d")[c].alias(c) for c in docs.columns if c != "dropped_lines"]
+    return rows.join(drops, ["doc_id", "text_key"], "left").select(*columns, F.coalesce(F.sort_array("lines"), F.expr("cast(array() as array<int>)")).alias("dropped_lines"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=85).drop("text_key")
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,20 +24,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse.
+
+    In local mode, where no other machine takes part, a temporary folder will do.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if not named and spark.sparkContext.master.partition("[")[0] == "local":
         named = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named or spark.conf.get("spark.sql.warehouse.dir") + "/tallyframe-scratch"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+    return _write(df, label)[0]
+
+
+def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables that an operator needs while it works: deleted, with the shuffle files behind them, when it is done.
+
+    What the result still reads must be written by written(), not by this.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = _write(df, label)
+        self.paths.append(path)
+        return out
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark._jvm
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        gc.collect()
+        jvm.System.gc()  # Spark removes the shuffle files of plans that nothing refers to any more
 
 
 def let(value: Column, body) -> Column:

@@ -14,7 +14,7 @@ from test_text_operators import EDGES, documents, edges, texts
 
 from tallyframe.llm import minhash, ppm, queries, tokens, url_filter, wrapper
 from tallyframe.llm.html_tree import match, parse
-from tallyframe.llm.shared import text_slices, utf8
+from tallyframe.llm.shared import Scratch, text_slices, utf8
 
 # --- words
 
@@ -100,6 +100,23 @@ def test_near_duplicate_edges(spark):
     assert minhash.near_duplicates(edges(spark).limit(0)).count() == 0
 
 
+def test_one_id_with_two_texts_is_two_documents(spark):
+    base = [f"w{i}" for i in range(60)]
+    text = lambda salt, *changed: " ".join(f"{salt}{w}" if i not in changed else "x" for i, w in enumerate(base))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a", 59)), (3, text("b", 0)), (3, text("b", 0)), (4, text("c")), (None, text("a")), (5, text("d") * 3000)]
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (5, 5, True)]
+
+
+def test_scratch_tables_are_gone(spark):
+    import os
+
+    at = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    found = minhash.near_duplicates(documents(spark))
+    assert len(set(os.listdir(at)) - before) == 1 and found.count() == len(texts(spark))
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (800, 100, 100))
@@ -109,7 +126,8 @@ def test_signature_estimates_similarity():
 
 def test_chains_become_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (101, 102)], "a long, b long")
-    found = {r.id: r.component for r in minhash.components(links).collect()}
+    with Scratch(spark) as scratch:
+        found = {r.id: r.component for r in minhash.components(links, scratch).collect()}
     assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
 
 

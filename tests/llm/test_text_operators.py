@@ -53,12 +53,12 @@ def test_rule_counts_equal_brute_force(spark):
 
 
 def test_rule_edges(spark):
-    found = host_rules.host_quality(edges(spark).drop("quality"))
+    found = host_rules.host_quality(edges(spark).withColumns({"_host": F.lit(1), "_shrunk": F.lit(2), "d": F.lit(3), "q": F.lit(4), "of": F.lit(5), "host": F.lit(6)}))
     got = {(r.doc_id, r.text): r.quality for r in found.collect()}
-    assert found.count() == len(EDGES) and {"n", "key", "h"} <= set(found.columns)
+    assert found.count() == len(EDGES) and {"n", "key", "h", "_host", "_shrunk", "d", "q", "of", "host", "quality"} <= set(found.columns)
     for (_, text), q in got.items():
         assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == rules(text)
-    assert host_rules.host_quality(edges(spark).drop("quality").limit(0)).count() == 0
+    assert host_rules.host_quality(edges(spark).limit(0)).count() == 0
 
 
 def test_host_verdict_needs_a_bad_host_and_a_failure(spark):
@@ -119,8 +119,74 @@ def test_two_templates_of_a_leaf_stay_apart_and_documents_count_once(spark):
     assert lines_left(spark, several) == dict(several)
 
 
+def test_lines_of_numbers_recur_only_as_they_are(spark):
+    rows = [(1, "12 45 33 87 21 90 11 43"), (2, "1999 2000 7 8 9 10 11 12"), (3, "12 45 33 87 21 90 11 43\nlast"), (4, "on day 5 of 7 at 9 and 10 there was a meeting"), (5, "on day 6 of 8 at 3 and 11 there was a meeting")]
+    assert lines_left(spark, rows) == {1: rows[0][1], 2: rows[1][1], 3: "last", 4: rows[3][1], 5: ""}
+
+
+def test_one_id_with_two_texts_loses_the_lines_of_each(spark):
+    passage = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    rows = [(1, passage), (2, f"own words\n{passage}"), (2, f"{passage}\nother words"), (None, passage)]
+    out = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, passage), (1, passage), (2, "other words"), (2, "own words")]
+
+
+def plain_templates(names, rows):
+    """dropped lines by doc_id: the same tree in plain Python; names: the hashes that order and deal out lines."""
+    lines, docs_of = {}, {}
+    for d, text in rows:
+        for k, line in enumerate((text or "").split("\n")):
+            plain = re.findall(r"[^\x20\x09-\x0D]+", line)
+            t = tuple("<*>" if re.search("[0-9<]", x) else x for x in plain)
+            t = tuple(plain) if 2 * t.count("<*>") > len(t) else t
+            if t:
+                lines.setdefault(t, []).append((d, k))
+                docs_of.setdefault(t, set()).add(d)
+    h = {t: names[at[0]] for t, at in lines.items()}
+    assert len(set(h.values())) == len(h) and all(names[x] == h[t] for t, at in lines.items() for x in at)
+    leaves: dict = {}
+    for t in lines:
+        leaves.setdefault((len(t), t[:4]), []).append(t)
+    literal = lambda t: sum(x != "<*>" for x in t)
+    like = lambda a, b: sum(x == y != "<*>" for x, y in zip(a, b, strict=True)) >= 0.7 * max(literal(a), literal(b))
+    leader = {}
+    for rest in leaves.values():
+        width = 1
+        while rest:
+            slots: dict = {}
+            for t in rest:
+                slots.setdefault(h[t][1] % width, []).append(t)
+            order = lambda t: (len(docs_of[t]), h[t])
+            leaders = []
+            for t in sorted((max(s, key=order) for s in slots.values()), key=order, reverse=True):
+                leaders += [t] if not any(like(k, t) for k in leaders) else []
+            for t in rest:
+                leader |= {t: k for k in leaders[::-1] if like(k, t)}
+            rest, width = [t for t in rest if t not in leader], min(4 * width, 1024)
+    groups: dict = {}
+    for t, k in leader.items():
+        groups.setdefault(k, []).append(t)
+    dropped: dict = {}
+    for k, own in groups.items():
+        every = set().union(*(docs_of[t] for t in own))
+        if len(every) >= (2 if len(k) >= 8 else 10 if len(k) >= 3 else 30):
+            for d, at in (x for t in own for x in lines[t]):
+                if d != min(every):
+                    dropped.setdefault(d, set()).add(at)
+    return {d: sorted(at) for d, at in dropped.items()}
+
+
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01"])
+def test_dropped_lines_equal_a_plain_tree(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = {(r.doc_id, r.line_no): (r.h.a, r.h.b) for r in line_templates.line_rows(docs).collect()}
+    expected = plain_templates(names, [(r.doc_id, r.text) for r in docs.collect()])
+    found = {r.doc_id: r.dropped_lines for r in queries.op2_line_dedup(spark, folder).where("size(dropped_lines) > 0").collect()}
+    assert found == expected and expected
+
+
 def test_line_edges(spark):
-    out = line_templates.drop_recurring_lines(edges(spark))
+    out = line_templates.drop_recurring_lines(edges(spark).withColumns({"lines": F.lit(1), "dropped_lines": F.lit(2), "text_key": F.lit(3), "d": F.lit(4)}))
     assert out.count() == len(EDGES) and out.where("doc_id = 6 and text = ''").count() == 2
     assert line_templates.drop_recurring_lines(edges(spark).limit(0)).count() == 0
 
