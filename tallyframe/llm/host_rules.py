@@ -93,13 +93,12 @@ def _failures(m: Column) -> Column:
     return m.withField("base_failed", base).withField("soft_failed", soft)
 
 
-def host_rates(judged: DataFrame) -> DataFrame:
-    """(host, n, failures, rate, shrunk) of rows (host, failed); shrunk is the mean of the host's beta posterior.
+def host_rates(hosts: DataFrame) -> DataFrame:
+    """hosts (host, n, failures) with `shrunk`, the mean of the host's beta posterior.
 
     The prior's mean m and strength s come from the mean and variance of the hosts'
     rates: s = m (1 - m) / variance - 1, held between 1 and 10,000.
     """
-    hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("failures"))
     hosts = hosts.withColumn("rate", F.col("failures") / F.col("n"))
     prior = hosts.agg(F.avg("rate").alias("m"), F.coalesce(F.var_samp("rate"), F.lit(0.0)).alias("v"))
     strength = F.greatest(F.lit(1.0), F.least(F.lit(10000.0), F.coalesce(F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1, F.lit(10000.0))))
@@ -117,8 +116,10 @@ def host_quality(docs: DataFrame, text: str = "text", host: str = "source", drop
     out = [c for c in docs.columns if c != "quality" and not (drop_text and c == text)]
     measured = docs.select(F.struct(*out).alias("d"), F.col(host).alias("host"), let(measures(F.col(text)), _failures).alias("q"))
     measured = written(measured, "measured") if drop_text else measured
+    failed = lambda q: let(q, lambda x: x["base_failed"] | x["soft_failed"])  # noqa: E731  let: q isn't computed twice
     # written, so that Spark knows its size when it plans the join: few hosts are sent to all tasks, many are shuffled
-    rates = written(host_rates(measured.select("host", (F.col("q.base_failed") | F.col("q.soft_failed")).alias("failed"))).select(F.col("host").alias("of"), "shrunk"), "host-rates")
+    hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.count_if(failed(F.col("q"))).alias("failures"))
+    rates = written(host_rates(written(hosts, "hosts")).select(F.col("host").alias("of"), "shrunk"), "host-rates")
     judged = measured.join(rates, F.col("host").eqNullSafe(F.col("of")), "left")
     kept = ~F.col("q.base_failed") & ~(F.col("q.soft_failed") & (F.col("shrunk") > HOST_RATE))
     return judged.select("d.*", F.col("q").withField("host_rate", F.col("shrunk")).withField("kept", kept).alias("quality"))

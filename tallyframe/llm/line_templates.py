@@ -29,6 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.minhash import components
 from tallyframe.llm.shared import Scratch, let, written
 
 LEADING = 4
@@ -37,6 +38,8 @@ SIMILAR = 0.7
 ENOUGH = ((8, 2), (3, 10), (1, 30))
 #: Most candidates for leaders that a leaf has in one round; no bound on its leaders.
 WIDEST = 1024
+#: Share of the tokens of both that two documents have in common lines, to be copies (where copies are spared).
+COPY = 0.6
 WILD = "<*>"
 WHITE = "[\\x20\\x09-\\x0D]+"
 #: A token with a digit or a bracket; looked for once from each token's start.
@@ -103,12 +106,12 @@ def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, first): the lines of recurring templates, and the first document of each template."""
-    by_doc = lines.groupBy("h", "leaf", "n", "doc_id", "late").agg(F.min(F.struct("line_no", "text_key")).alias("at"))
-    distinct = by_doc.groupBy("h", "leaf", "n").agg(F.min(F.struct("late", "doc_id", "at")).alias("place"), F.count("*").alias("docs"))
-    distinct = scratch.written(distinct.select("h", "leaf", "n", F.struct("place.late", "place.doc_id").alias("first"), "place.at", "docs"), "lines")
+    """(h, template): the lines of recurring templates."""
+    by_doc = lines.groupBy("h", "leaf", "n", "doc_id").agg(F.min(F.struct("line_no", "text_key")).alias("at"))
+    distinct = by_doc.groupBy("h", "leaf", "n").agg(F.min(F.struct("doc_id", "at")).alias("place"), F.count("*").alias("docs"))
+    distinct = scratch.written(distinct.select("h", "leaf", "n", F.col("place.doc_id").alias("first"), "place.at", "docs"), "lines")
     shared = distinct.where(f"n > {LEADING}").groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
-    wanted = distinct.join(shared, "leaf", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("h", "leaf", "docs", "at.line_no")).alias("wanted"))
+    wanted = distinct.join(shared, "leaf", "left_semi").groupBy(F.col("first").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("h", "leaf", "docs", "at.line_no")).alias("wanted"))
     numbers = lambda t: F.transform(t, lambda x: F.when(x == WILD, 0).otherwise(F.xxhash64(x)))
     tokens_of = lambda line: let(_masked(line), lambda t: F.struct(numbers(t).alias("tokens"), F.size(F.filter(t, lambda x: x != WILD)).alias("literal")))
     lines_of = let(F.split("text", "\n"), lambda of: F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["leaf"].alias("leaf"), w["docs"].alias("docs"), tokens_of(F.get(of, w["line_no"])).alias("of"))))
@@ -119,30 +122,47 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> Data
     # no fewer documents than a line of it has, or two if its lines begin in two; no more than their sum
     merged = merged.withColumn("docs", F.greatest("docs", F.when(F.col("first") < F.col("last"), 2).otherwise(1)))
     surely, perhaps = _enough(F.col("n"), F.col("docs")), _enough(F.col("n"), F.col("most"))
-    merged = scratch.written(merged.where(perhaps).select("template", "first", "n", surely.alias("surely")), "templates")
+    merged = scratch.written(merged.where(perhaps).select("template", "n", surely.alias("surely")), "templates")
     open_ = named.join(merged.where("not surely").select("template"), "template").select("h", "template")
     counted = lines.select("h", "doc_id").join(open_, "h").select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     more = merged.where("not surely").join(counted, "template").where(_enough(F.col("n"), F.col("docs")))
-    merged = merged.where("surely").select("template", F.col("first").alias("of")).union(more.select("template", F.col("first").alias("of")))
-    return named.join(merged, "template").select("h", F.col("of.doc_id").alias("first"))
+    return named.join(merged.where("surely").select("template").union(more.select("template")), "template").select("h", "template")
 
 
 def _repeats(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def recurring_drops(docs: DataFrame, late: DataFrame | None = None) -> DataFrame:
+def _copies(lines: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component): documents that have `COPY` of their tokens, and of the other's, in lines that another document has first."""
+    first = found.groupBy("template").agg(F.min("doc_id").alias("first"))
+    parts = found.join(first, "template").where("doc_id <> first").groupBy("doc_id", "first").agg(F.sum("n").alias("part"))
+    parts = parts.groupBy("doc_id").agg(F.max(F.struct("part", "first")).alias("most")).select("doc_id", "most.*")
+    sizes = scratch.written(lines.groupBy("doc_id").agg(F.sum("n").alias("size")), "sizes")
+    both = parts.join(sizes, "doc_id").join(sizes.select(F.col("doc_id").alias("first"), F.col("size").alias("other")), "first")
+    return scratch.written(components(both.where(f"part >= {COPY} * greatest(size, other)").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), scratch), "copies")
+
+
+def recurring_drops(docs: DataFrame, spare_copies: bool = False) -> DataFrame:
     """(doc_id, text_key, lines): the numbers of the lines that go, for each text that loses any.
 
-    late: (doc_id) of documents that count as first only where no other has the template.
+    spare_copies: a document and those that are copies of it by `COPY` of their lines
+    count as one, so that they stay copies for a near-duplicate search: what only
+    they have isn't dropped, and what others have as well is dropped from all of
+    them. Other documents than copies come first.
     """
     with Scratch(docs.sparkSession) as scratch:
-        lines = line_rows(docs.select("doc_id", "text"))
-        lines = lines.withColumn("late", F.lit(False)) if late is None else lines.join(late.select("doc_id", F.lit(True).alias("late")).distinct(), "doc_id", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-        lines = scratch.written(lines, "line-rows")
-        found = scratch.written(recurring_lines(docs, lines, scratch), "recurring")
-        drops = lines.select("doc_id", "text_key", "line_no", "h").join(found, "h").where("doc_id <> first")
-        return written(drops.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines")), "drops")
+        lines = scratch.written(line_rows(docs.select("doc_id", "text")), "line-rows")
+        recurring = scratch.written(recurring_lines(docs, lines, scratch), "recurring")
+        found = scratch.written(lines.select("doc_id", "text_key", "line_no", "h", "n").join(recurring, "h").drop("h"), "found")
+        if spare_copies:
+            copies = _copies(lines, found, scratch).withColumnRenamed("id", "doc_id")
+            found = found.join(copies, "doc_id", "left").withColumns({"group": F.coalesce("component", "doc_id"), "late": F.coalesce(F.col("doc_id") != F.col("component"), F.lit(False))})
+        else:
+            found = found.withColumns({"group": F.col("doc_id"), "late": F.lit(False)})
+        first = found.groupBy("template").agg(F.min(F.struct("late", "doc_id", "group"))["group"].alias("first"))
+        drops = found.join(first, "template").where("group <> first").groupBy("doc_id", "text_key")
+        return written(drops.agg(F.collect_set("line_no").alias("lines")), "drops")
 
 
 def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:

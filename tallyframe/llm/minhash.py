@@ -153,7 +153,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def _blocks(member: DataFrame, load: str, limit: int) -> DataFrame:
+def _blocks(member: DataFrame, load: str, limit: int, scratch: Scratch) -> DataFrame:
     """Rows of member (key, rep, component, ...), dealt to (key, x, y) with `rest`.
 
     Members outside a bucket's largest component ("rest") meet all its members, in
@@ -162,7 +162,8 @@ def _blocks(member: DataFrame, load: str, limit: int) -> DataFrame:
     by_part = member.groupBy("key", "component").agg(F.sum(load).alias("part"))
     mixed = by_part.groupBy("key").agg(F.sum("part").alias("whole"), F.max(F.struct("part", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda amount: F.ceil(amount / limit).cast("int")
-    mixed = mixed.select("key", F.col("main.component").alias("main"), blocks(F.col("whole")).alias("na"), blocks(F.col("whole") - F.col("main.part")).alias("nr"))
+    # written, so that the join below is a stage of its own, which Spark can split where a bucket is large
+    mixed = scratch.written(mixed.select("key", F.col("main.component").alias("main"), blocks(F.col("whole")).alias("na"), blocks(F.col("whole") - F.col("main.part")).alias("nr")), "mixed")
     placed = member.join(mixed, "key")
     side = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -246,11 +247,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
         comps = components(links, scratch)
         # links that no hub has seen; a bucket of two is done
         placed = shared.where("size > 2").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        held = _blocks(placed.withColumn("one", F.lit(1)), "one", MEMBERS).join(reps.select("rep", "keys", "sig"), "rep")
+        placed = scratch.written(placed, "placed")
+        held = _blocks(placed.withColumn("one", F.lit(1)), "one", MEMBERS, scratch).join(reps.select("rep", "keys", "sig"), "rep")
         likely = scratch.written(held.groupBy("key", "x", "y").applyInPandas(_likely_members(threshold), "key long, rep long").distinct(), "likely")
         if not likely.isEmpty():
             member = placed.join(likely, ["key", "rep"]).join(reps.select("rep", "keys", "sig"), "rep").join(_texts(docs, likely.select("rep").distinct(), reps, repeats), "rep")
-            more = scratch.written(_blocks(member, "n", BLOCK).groupBy("key", "x", "y").applyInPandas(_block_links(threshold), "a long, b long").distinct(), "more")
+            more = scratch.written(_blocks(member, "n", BLOCK, scratch).groupBy("key", "x", "y").applyInPandas(_block_links(threshold), "a long, b long").distinct(), "more")
             comps = components(links.union(more), scratch)
         first = reps.select("rep", F.col("n").alias("n_shingles"), "digest_a", "digest_b", F.col("first.doc_id").alias("least"))
         linked = first.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

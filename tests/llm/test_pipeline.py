@@ -40,7 +40,7 @@ def test_stages(spark):
     clean = set(range(40))
     assert ids(steps["quality rules"]) == clean | {100, 101, 102}
     lines = {r.doc_id: r.text for r in steps["line dedup"].collect()}
-    assert set(lines) == clean | {101, 102} and [passage in lines[i] for i in (5, 6, 7)] == [True, False, False]
+    assert set(lines) == clean | {100, 101, 102} and lines[100] == lines[0] and [passage in lines[i] for i in (5, 6, 7)] == [True, False, False]
     assert lines[3] == texts[3]
     assert ids(steps["near-dedup"]) == clean | {102} and ids(steps["decontamination"]) == clean
     packed, padding = whole(steps["packing"].collect())
@@ -79,7 +79,24 @@ def test_line_dedup_keeps_what_is_found_nowhere_else(spark):
     }
     rows = [(i, t, "en", "s", len(t) if t else None) for i, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    out = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
-    assert set(out) == {1, 2, 3, 4, 6, 8}
+    left = corpus_pipeline.line_dedup(spark, docs, SMALL)
+    out = {r.doc_id: r for r in left.collect()}
+    assert set(out) == set(texts)
     assert out[3].text == own and out[3].n_chars == len(own)
-    assert all(out[i].text == texts[i] for i in (1, 2, 4, 6, 8))
+    assert out[5].text == texts[4]  # what another document has too is kept there, not in the copy
+    assert all(out[i].text == texts[i] for i in (1, 2, 4, 6, 7, 8))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, left, SMALL).collect()} == {1, 2, 3, 4, 6, 8}
+
+
+def test_copies_lose_the_same_lines_and_clashing_columns_go(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnoprstuvw", k=7)) for _ in range(n))
+    passage, body = words(60), [words(30) for _ in range(6)]
+    changed = [b if i != 3 else b.replace(b.split()[9], "changed") for i, b in enumerate(body)]
+    texts = {1: f"{words(80)}\n{passage}", 2: "\n".join([*body, passage]), 3: "\n".join([passage, *changed]), 4: "\n".join([*body, passage])}
+    rows = [(i, t, "en", "s", len(t), 1, 2, 3) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, dropped_lines int, quality int, component int")
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
+    assert out == {1: texts[1], 2: "\n".join(body), 3: "\n".join(changed), 4: "\n".join(body)}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SMALL).count() > 0, name
