@@ -231,7 +231,7 @@ PAGE = """<!doctype html><html><head><title>t</title><style>p{{}}</style></head>
 
 
 def extracted(spark, rows):
-    return {r.page_id: r.main_text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string, first int, template string")).collect()}
+    return {r.page_id: r.main_text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string, first int, rep string")).collect()}
 
 
 def test_main_text_without_what_surrounds_it(spark):
@@ -246,37 +246,87 @@ def test_main_text_without_what_surrounds_it(spark):
 
 def test_tree_matching_counts_the_most_pairs():
     def best(x, y):  # the definition, by recursion over whole lists
-        if (x.tag, x.words) != (y.tag, y.words):
+        if x.tag != y.tag:
             return 0
         rows = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
         for i, c in enumerate(x.children):
             for j, d in enumerate(y.children):
                 rows[i + 1][j + 1] = max(rows[i][j + 1], rows[i + 1][j], rows[i][j] + best(c, d))
-        return 1 + rows[-1][-1]
-
-    from tallyframe.llm.html_tree import _aligned, _weight
+        return (2 if x.names and x.names == y.names else 1) + rows[-1][-1]
 
     rng = random.Random(2)
 
-    def tree(depth):
-        return "".join(f"<{t}>{tree(depth - 1) if depth else 'x'}</{t}>" for t in rng.choices(["div", "section", "h1"], k=rng.randrange(1, 4)))
+    def tree(depth, most=4):
+        return "".join(f"<{t}{rng.choice(['', ' class=a', ' id=b'])}>{tree(depth - 1) if depth else 'x'}</{t}>" for t in rng.choices(["div", "section", "h1"], k=rng.randrange(1, most)))
 
-    for _ in range(60):
-        a, b = parse(tree(2)), parse(tree(2))
-        assert 1 + sum(_weight(x, y, {}, 10**6) for x, y in _aligned(a.children, b.children, {}, 10**6)) == best(a, b)
+    for k in range(90):
+        a, b = (parse(tree(2, 4 if k < 60 else 9)) for _ in "ab")
         pairs = match(a, b)
+        assert sum(2 if x.names and x.names == y.names else 1 for x, y in pairs) == best(a, b)
         assert len({id(x) for x, _ in pairs}) == len(pairs) == len({id(y) for _, y in pairs})
+        at = {id(x): y for x, y in pairs}
+        assert all(x.tag == y.tag and (x.parent is None or at[id(x.parent)] is y.parent) for x, y in pairs)
+        assert [y.number for _, y in sorted(pairs, key=lambda p: p[0].number)] == sorted(y.number for _, y in pairs)
 
 
-def test_every_page_gives_its_articles_text(spark):
+def test_deep_wide_and_long_pages_take_linear_time():
+    wrapper.main_text("<div>" * 20_000 + "x")
+    wrapper.main_text("<div>" * 4_000 + "<li>x" * 4_000)
+    assert len(wrapper.main_text("<p>" + "word & more " * 200_000)) == 12 * 200_000 - 1
+    deep = wrapper.Wrapper("<body>" + "<div>" * 3_000 + "x")
+    assert len(list(wrapper._counted(wrapper.Page("<body>" + "<div>" * 2_900 + "<p>x"), deep))) == 1
+    rng = random.Random(3)
+    wide = lambda: "<body>" + "".join(f"<div><p>{i}</p>{'<ul><li>x</ul>' if rng.random() < 0.5 else ''}</div>" for i in range(2_000))
+    assert len(list(wrapper._counted(wrapper.Page(wide()), wrapper.Wrapper(wide())))) > 2_000
+
+
+def test_names_are_read_whole():
+    around = "<html><body><nav><a href=x>menu</a></nav>{}</body></html>"
+    for content in ('<div id="content" class="no-sidebar"><h1>T</h1><p>text</p></div>', '<div class="post tag-politics category-social"><h1>T</h1><p>text</p></div>', '<article class="post has-comments"><h1>T</h1><p>text</p></article>', '<div class="layout has-sidebar"><main><article><h1>T</h1><p>text</p></article></main></div>'):
+        assert wrapper.main_text(around.format(content)) == "T\n\ntext"
+    article = '<article><h1>T</h1><p>text of the article</p><div class="share-buttons">Share</div><section id="comments-12"><p>Nice</p></section></article>'
+    assert wrapper.main_text(around.format(article)) == "T\n\ntext of the article"
+
+
+def test_a_layouts_blocks_go_where_no_name_tells(spark):
+    words = lambda rng, n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    page = lambda i, rng, kind: f"<body><div><div>Home News Sport</div></div><div>{words(rng, 9)}</div><{kind}><div><h1>{words(rng, 4)}</h1></div><div>" + "".join(f"<p>{words(rng, 30)}</p>" for _ in range(i % 4 + 1)) + f"<p>Read our standing notice.</p></div></{kind}><div>About {words(rng, 3)}</div></body>"
+    rows, want = [], {}
+    for i in range(24):
+        kind = ("div", "section")[i % 2]
+        source = page(i, random.Random(i), kind)
+        rows.append((i, f"http://h.org/{i}", source))
+        inner = source.split(f"<{kind}><div><h1>")[1].split("<p>Read our")[0]
+        want[i] = inner.replace("</h1></div><div><p>", "\n\n").replace("</p><p>", "\n\n").replace("</p>", "")
+    rows += [(30, "http://h.org/30", ""), (31, "http://h.org/31", None), (32, "http://h.org/32", "<p>of no layout")]
+    found = {r.page_id: r.main_text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: found[i] for i in want} == want and found[30] == found[31] == "" and found[32] == "of no layout"
+
+
+def article_text(source):
     import html
     import re
 
+    body = re.search(r"<article>(.*?)(</article>|<footer>|$)", source, re.DOTALL)[1]
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?p>|</?h1>", body))
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_articles_are_found_without_their_tags_and_names(spark):
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    plain = [(r.page_id, r.url, re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", r.html).replace(' class="ad"', "")) for r in rows]
+    found = {r.page_id: r.main_text for r in wrapper.extract_text(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()}
+    right = sum(found[r.page_id] == article_text(r.html) for r in rows)
+    print(f"{right} of {len(rows)} articles without tags")
+    assert right >= 0.95 * len(rows)
+
+
+def test_every_page_gives_its_articles_text(spark):
     found = {r.page_id: r for r in queries.op6_html_extraction(spark, SMALL).collect()}
     for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
-        body = re.search(r"<article>(.*?)(</article>|<footer>|$)", r.html, re.DOTALL)[1]
-        blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?p>|</?h1>", body))
-        assert found[r.page_id].text == "\n\n".join(b for b in blocks if b) and found[r.page_id].n_chars == len(found[r.page_id].text)
+        assert found[r.page_id].text == article_text(r.html) and found[r.page_id].n_chars == len(found[r.page_id].text)
 
 
 # --- URLs
