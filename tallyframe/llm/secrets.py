@@ -1,11 +1,12 @@
 r"""Secret scan: fixed patterns, and random strings found by token efficiency.
 
 Words of language take few tokens for their characters; random strings take many.
-A run of 20 or more of `[A-Za-z0-9+/_-]` with a digit and a letter is a random
-string if a tiktoken vocabulary spends a token on fewer than `RATIO` characters of
-it. Known digests (hexadecimal of a usual digest length), UUIDs, dates and
-identifiers (parts joined by `_`, `-`, `/` or capitals that are words or numbers)
-aren't looked at, nor is what a pattern has already found.
+A run of 20 or more of `[A-Za-z0-9+/_-]` with two of digits, small letters and
+capitals is a random string if a tiktoken vocabulary spends a token on fewer than
+`RATIO` characters of it. Known digests (hexadecimal of a usual digest length),
+UUIDs, dates and identifiers (parts joined by `_`, `-`, `/` or capitals that are
+words or numbers) aren't looked at, nor is what a pattern has already found. Each
+test is linear in the run, and each text is swept once.
 
 The patterns, leftmost and non-overlapping per kind over the whole text: `assign`
 (a password, secret, token or API key given a value of 12 or more characters),
@@ -33,11 +34,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 WORDS = ("passw", "secret", "token", "api")
 
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+DIGIT, SMALL, CAPITAL = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
-_PART = r"(?:(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}|[0-9]+)"
-IDENTIFIER = re.compile(rf"{_PART}(?:[_/-]+{_PART})*[_/-]*")
+#: Possessive throughout: no part can be read in two ways, so nothing is tried again.
+_PART = r"(?:(?:[A-Z]?[a-z]{2,}+)++[0-9]{0,4}+|[A-Z]{2,}+[0-9]{0,4}+|[0-9]++)"
+IDENTIFIER = re.compile(rf"{_PART}(?:[_/-]++{_PART})*+[_/-]*+")
 
 _encodings: dict = {}
 
@@ -59,6 +62,11 @@ def known(run: str) -> bool:
     return bool(len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run))
 
 
+def mixed(run: str) -> bool:
+    """Two of digits, small letters and capitals."""
+    return (DIGIT.search(run) is not None) + (SMALL.search(run) is not None) + (CAPITAL.search(run) is not None) > 1
+
+
 def spans(text: str, vocabulary) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind."""
     found = []
@@ -68,14 +76,13 @@ def spans(text: str, vocabulary) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    taken = sorted(x[1:] for x in found)
+    taken, at, reach = sorted(x[1:] for x in found), 0, 0
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or known(run):
-            continue
-        if any(a < m.end() and m.start() < b for a, b in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach, at = max(reach, taken[at][1]), at + 1
+        if reach > m.start() or not mixed(m[0]) or known(m[0]):
             continue
-        if len(run) < RATIO * len(vocabulary.encode_ordinary(run)):
+        if len(m[0]) < RATIO * len(vocabulary.encode_ordinary(m[0])):
             found.append(("random", *m.span()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

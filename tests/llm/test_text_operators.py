@@ -363,6 +363,50 @@ def test_random_strings_are_told_from_words():
     assert [k for k, _, _ in secrets.spans("API_KEY = 'abcdefabcdef0123'", v)] == ["assign", "hex"]
 
 
+def test_random_spans_equal_a_plain_search(spark):
+    v = secrets.encoding()
+    joint, letters = re.compile("[_/-]+"), "abcdefghijklmnopqrstuvwxyz"
+
+    def part(p):  # a word (capital, then two small letters or more, again and again), capitals, or a number
+        digits = len(p) - len(p.rstrip("0123456789"))
+        if digits == len(p):
+            return True
+        p = p[: len(p) - digits]
+        if digits > 4:
+            return False
+        pieces = re.sub("([A-Z])", r" \1", p).split()
+        return len(p) > 1 and p.isupper() or all(len(x.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ")) > 1 and set(x[1:]) <= set(letters) for x in pieces)
+
+    def known(run):
+        digest = len(run) in (32, 40, 48, 56, 64, 96, 128) and (not set(run) - set("0123456789abcdef") or not set(run) - set("0123456789ABCDEF"))
+        uuid = [len(x) for x in run.split("-")] == [8, 4, 4, 4, 12] and not set(run) - set("0123456789abcdefABCDEF-")
+        body = run.rstrip("_/-")
+        return digest or uuid or not set("=+") & set(run) and bool(body) and all(part(p) if p else False for p in joint.split(body))
+
+    ascii_ = lambda f: lambda x: any(f(c) for c in x if c.isascii())
+    kinds = [ascii_(str.isdigit), ascii_(str.islower), ascii_(str.isupper)]
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    rows = [*(r.text for r in table), "x QWxhZGRpbjpvcGVuIHNlc2FtZXB3ZA== y", "MyCamelCaseNameWithoutDigits HTTPServerOfThings_2 /usr/local/lib/python3/site-packages token = 'Zx81kQ2mVbT7rLw4NcY8' Zx81kQ2mVbT7rLw4NcY8d"]
+    total = 0
+    for text in rows:
+        got = secrets.spans(text or "", v)
+        base = [x for x in got if x[0] != "random"]
+        expected = []
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", text or ""):
+            if sum(k(m[0]) for k in kinds) > 1 and not known(m[0]) and not any(a < m.end() and m.start() < b for _, a, b in base) and len(m[0]) / len(v.encode_ordinary(m[0])) < 2.4:
+                expected.append(("random", *m.span()))
+        assert [x for x in got if x[0] == "random"] == expected
+        total += len(expected)
+    assert total > 1
+
+
+def test_long_runs_take_linear_time():
+    v = secrets.encoding()
+    for text in ("a" * 60 + "1x", "aB" * 40_000, "Aa" * 40_000 + "1", "a_" * 400_000, "word" * 250_000 + "9x9", "-" * 10**6, "0123456789abcdef " * 60_000, "key1=" * 10**5 + "token: " * 10**5):
+        secrets.spans(text, v)
+    assert len(secrets.spans("password = 'abcdefabcdef0123' " * 30_000, v)) == 60_000
+
+
 def test_secret_edges(spark):
     found = secrets.find_secrets(edges(spark)).collect()
     assert len(found) == len(EDGES) and all(r.spans == [] for r in found)
