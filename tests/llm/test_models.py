@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_text_operators import EDGES, documents, edges, texts
 
 from tallyframe.llm import minhash, ppm, queries, tokens, url_filter, wrapper
-from tallyframe.llm.html_tree import match, parse
+from tallyframe.llm.html_tree import match, measured, parse
 from tallyframe.llm.shared import Scratch, text_slices, utf8
 
 # --- words
@@ -261,6 +261,7 @@ def test_tree_matching_counts_the_most_pairs():
 
     for k in range(90):
         a, b = (parse(tree(2, 4 if k < 60 else 9)) for _ in "ab")
+        measured(a), measured(b)
         pairs = match(a, b)
         assert sum(2 if x.names and x.names == y.names else 1 for x, y in pairs) == best(a, b)
         assert len({id(x) for x, _ in pairs}) == len(pairs) == len({id(y) for _, y in pairs})
