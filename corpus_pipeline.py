@@ -25,27 +25,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars becomes the length of the text that is left.
 
-    Lines go, and documents with no token left. Near copies can't be seen any more
-    once a document of their group has lost lines, so these groups are judged
-    here, on the whole texts; copies keep a template only if no other document has it.
+    Lines go, and documents with no token left. Documents that are copies of one
+    another by their lines lose the same lines, so that near-dedup still sees them as
+    copies; what they have in common stays for it to judge.
     """
     docs = docs.select(DOCUMENT_COLUMNS)
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.min("component_id").alias("component"))
-    found = written(found.where("not kept or doc_id = component"), "judged")
-    drops = written(recurring_drops(docs, late=found.where("not kept")), "drops")
-    touched = found.join(drops.select(F.col("_doc").alias("doc_id")), "doc_id").select("component").distinct()
-    gone = written(found.where("not kept").join(touched, "component", "left_semi").select("doc_id"), "copies")
-    left = (F.size("dropped_lines") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    out = without_lines(docs.join(gone, "doc_id", "left_anti"), drops).where(left)
+    out = without_lines(docs, recurring_drops(docs, spare_copies=True))
+    out = out.where((F.size("dropped_lines") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.withColumn("n_chars", F.when(F.size("dropped_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(DOCUMENT_COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, and one row of each doc_id."""
+    """One document of each group stays; of rows that repeat both doc_id and text, one. Rows with a null doc_id stay."""
     found = near_duplicates(docs)
-    dropped = written(found.where("not kept").select("doc_id").distinct(), "dropped")
-    out = docs.select(DOCUMENT_COLUMNS).join(dropped, "doc_id", "left_anti")
-    return out.dropDuplicates(["doc_id"]) if not found.groupBy("doc_id").count().where("count > 1").isEmpty() else out
+    dropped = written(found.where("not kept").select("doc_id", "text_key").distinct(), "dropped")
+    repeated = written(found.groupBy("doc_id", "text_key").count().where("count > 1").drop("count"), "repeated")
+    keyed = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("text").alias("text_key"))
+    out = keyed.join(dropped, ["doc_id", "text_key"], "left_anti")
+    if not repeated.isEmpty():
+        once = out.join(repeated, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+        out = out.join(repeated, ["doc_id", "text_key"], "left_anti").unionByName(once)
+    return out.select(DOCUMENT_COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
