@@ -11,8 +11,9 @@ Tokens are runs of bytes other than white space and ASCII punctuation, A-Z in
 lower case. The benchmark is read in blocks of at most `BLOCK_TOKENS` tokens (an
 item is never split), each sent to all workers and held against all documents,
 so what is broadcast doesn't grow with either table. An item with fewer tokens
-than the shortest mask is looked up whole; one with fewer than `LEAST_ITEM`
-tokens says nothing about a text and overlaps with none.
+than the shortest mask has masks of its own: its whole length, and that with any
+one token left out. One with fewer than `LEAST_ITEM` tokens says nothing about a
+text and overlaps with none.
 
 Null or empty texts overlap with nothing. Repeated rows and items each give
 their own rows. Columns other than the ids and texts are ignored. If either
@@ -49,6 +50,11 @@ def _places(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
+def _short_masks(size: int) -> list[tuple[int, ...]]:
+    whole = tuple(range(size))
+    return [whole, *(whole[:k] + whole[k + 1 :] for k in range(size))]
+
+
 def _seeds(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each mask the seeds and their positions, none across rows."""
     row_end = np.repeat(first[1:], np.diff(first))
@@ -73,11 +79,12 @@ class Index:
         self.slots[self.seeds >> np.uint64(64 - SLOTS_LOG2)] = True
         sizes = np.diff(self.first)
         short = min(map(len, MASKS))
-        self.short: dict[int, dict[int, list[int]]] = {}
+        #: For each mask of short items the places in this block where its hashes stand.
+        self.short: dict[tuple[int, ...], dict[int, list[int]]] = {}
         for i in np.flatnonzero((sizes >= LEAST_ITEM) & (sizes < short)):
             part = self.hashes[self.first[i] : self.first[i + 1]]
-            whole = windows(part, tuple(range(len(part))), salt=99)
-            self.short.setdefault(len(part), {}).setdefault(int(whole[0]), []).append(int(i))
+            for places in _short_masks(len(part)):
+                self.short.setdefault(places, {}).setdefault(int(windows(part[places[0] :], tuple(p - places[0] for p in places), salt=99)[0]), []).append(int(self.first[i]) + places[0])
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in hashes, and positions in the block's tokens, that share a seed."""
@@ -88,13 +95,13 @@ class Index:
             n = hi - lo
             a.append(np.repeat(at[some], n))
             b.append(self.at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        for size, known in self.short.items():
-            whole = windows(hashes, tuple(range(size)), salt=99)
+        for places, known in self.short.items():
+            size = places[-1] + 1 - places[0]
+            whole = windows(hashes, tuple(p - places[0] for p in places), salt=99)
             for p in np.flatnonzero(np.isin(whole, np.array(list(known), np.uint64))):
                 if p + size <= first[np.searchsorted(first, p, side="right")]:
-                    for i in known[int(whole[p])]:
-                        a.append(np.array([p]))
-                        b.append(self.first[[i]])
+                    a.append(np.full(len(known[int(whole[p])]), p))
+                    b.append(np.array(known[int(whole[p])]))
         return np.concatenate(a), np.concatenate(b)
 
     def overlaps(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple]:

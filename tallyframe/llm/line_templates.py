@@ -59,7 +59,8 @@ def _name(tokens: Column) -> Column:
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, line_no, h, leaf, n): the lines that have a token; h names the masked line, text_key the text."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("of"))
+    lines = texts.select("doc_id", "text_key", F.posexplode("of").alias("line_no", "line"))  # the text itself isn't carried into each line's row
     key = let(_masked(F.col("line")), lambda t: F.struct(_name(t).alias("h"), F.xxhash64(F.size(t), F.slice(t, 1, LEADING)).alias("leaf"), F.size(t).alias("n")))
     return lines.select("doc_id", "text_key", "line_no", key.alias("key")).select("doc_id", "text_key", "line_no", "key.*").where("n > 0")
 
@@ -135,7 +136,7 @@ def _repeats(docs: DataFrame) -> bool:
 
 def _copies(lines: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): documents that have `COPY` of their tokens, and of the other's, in lines that another document has first."""
-    first = found.groupBy("template").agg(F.min("doc_id").alias("first"))
+    first = scratch.written(found.groupBy("template").agg(F.min("doc_id").alias("first")), "first")
     parts = found.join(first, "template").where("doc_id <> first").groupBy("doc_id", "first").agg(F.sum("n").alias("part"))
     parts = parts.groupBy("doc_id").agg(F.max(F.struct("part", "first")).alias("most")).select("doc_id", "most.*")
     sizes = scratch.written(lines.groupBy("doc_id").agg(F.sum("n").alias("size")), "sizes")
@@ -160,7 +161,8 @@ def recurring_drops(docs: DataFrame, spare_copies: bool = False) -> DataFrame:
             found = found.join(copies, "doc_id", "left").withColumns({"group": F.coalesce("component", "doc_id"), "late": F.coalesce(F.col("doc_id") != F.col("component"), F.lit(False))})
         else:
             found = found.withColumns({"group": F.col("doc_id"), "late": F.lit(False)})
-        first = found.groupBy("template").agg(F.min(F.struct("late", "doc_id", "group"))["group"].alias("first"))
+        # written, so that the join is a stage of its own, which Spark can split where one template has many rows
+        first = scratch.written(found.groupBy("template").agg(F.min(F.struct("late", "doc_id", "group"))["group"].alias("first")), "first")
         drops = found.join(first, "template").where("group <> first").groupBy("doc_id", "text_key")
         return written(drops.agg(F.collect_set("line_no").alias("lines")), "drops")
 

@@ -256,6 +256,28 @@ def test_no_shorter_or_worse_stretch_hides_an_overlap(spark):
     assert 20 <= found[2, 2].length < 120 and found[2, 2].equal >= 0.8 * found[2, 2].length
 
 
+def test_short_items_tolerate_one_substitution(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "one two three four five six seven")], "item_id long, text string")
+    rows = [(1, "x alpha beta OTHER delta epsilon y"), (2, "x other two three four five six seven y"), (3, "one two three four five six other"), (4, "alpha beta other delta other"), (5, "alpha beta"), (6, "one two three four five six")]
+    found = {(r.doc_id, r.item_id): (r.length, r.equal) for r in decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 2), (6, 2)} and found[1, 1] == (5, 4)
+
+
+def test_megabyte_texts(spark):
+    """Texts of a megabyte or more: many words, one word, many lines, many keys."""
+    long = ["word and more words " * 60_000, "x" * 1_200_000, "line of words here\n" * 60_000, "key = 'abcdefabcdef0123' " * 50_000, "### user: </turn> \\ # " * 50_000]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(long)], "doc_id long, text string, source string").repartition(4)
+    q = {r.doc_id: r.quality for r in host_rules.host_quality(docs).collect()}
+    assert all((q[i].n_words, q[i].word_chars, q[i].n_symbols, q[i].n_dup_lines, q[i].n_repeat_words) == rules(t) for i, t in enumerate(long))
+    assert line_templates.drop_recurring_lines(docs).count() == len(long)
+    assert {r.doc_id: len(r.spans) for r in secrets.find_secrets(docs).collect()}[3] == 50_000
+    items = spark.createDataFrame([(1, "word and more words " * 5)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.overlaps(docs, items).collect()} == {0}
+    assert sum(r.length for r in packing.pack(docs).select("doc_id", "length").where("doc_id = 0").collect()) == 240_001
+    turns = docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
+    assert all(r.round_trip for r in chat.format_conversations(turns).select("round_trip").collect())
+
+
 def test_overlap_edges(spark):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     assert decontaminate.overlaps(edges(spark), items).count() == 0
