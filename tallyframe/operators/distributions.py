@@ -27,17 +27,19 @@ def fold_pmf(rows: DataFrame, fold: str, p: str) -> DataFrame:
     return mass.select(fold, F.posexplode("mass").alias("k", "mass"))
 
 
-def mixture_pmf(rows: DataFrame, fold: str, tau: Column, points: int = 64) -> DataFrame:
+def mixture_pmf(rows: DataFrame, fold: str, tau: Column, points: int = 2048) -> DataFrame:
     """(fold, k, mass) with one normal shift of deviation tau for all of a fold's events.
 
     rows: (fold, mu, local). The shift is integrated over `points` equally likely
-    quantiles; tau 0 needs one. Each (fold, quantile) is a row of its own.
+    quantiles. Each (fold, quantile) is a row of its own. An event without a local
+    deviation is certain once the shift is known (at exactly 0: one half).
     """
     grid = rows.sparkSession.range(points).select(((F.col("id") + 0.5) / points).alias("u")).select("u", normal.inverse_cdf("u").alias("shift"))
     folds = rows.groupBy(fold).agg(F.collect_list(F.struct("mu", "local")).alias("events")).withColumn("tau", tau)
     shifted = folds.join(F.broadcast(grid)).select(fold, "u", F.posexplode("events").alias("i", "e"), "shift", "tau")
-    z = shifted.select(fold, "u", ((F.col("e.mu") + F.col("tau") * F.col("shift")) / F.col("e.local")).alias("z"))
-    p = z.select(fold, "u", normal.cdf("z").alias("p"))
+    mean, local = F.col("e.mu") + F.col("tau") * F.col("shift"), F.col("e.local")
+    z = shifted.select(fold, "u", mean.alias("mean"), F.when(local > 0, mean / local).alias("z"))
+    p = z.select(fold, "u", F.coalesce(normal.cdf("z"), (F.signum("mean") + 1) / 2).alias("p"))
     mass = p.groupBy(fold, "u").agg(count_pmf(F.collect_list("p")).alias("mass"))
     return mass.select(fold, F.posexplode("mass").alias("k", "m")).groupBy(fold, "k").agg((F.sum("m") / points).alias("mass"))
 

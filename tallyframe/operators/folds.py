@@ -42,6 +42,29 @@ def with_baseline(rows: DataFrame, results: DataFrame, lag: int = 2) -> DataFram
     return rows.join(shifted, ["cycle", "state"], "left")
 
 
+def closed_folds(rows: DataFrame, least: int = 2) -> DataFrame:
+    """By fold: training rows, those without a baseline, cycles without a margin, and why the fold is closed, if it is.
+
+    A fold with a training row that has no baseline is closed as a whole, no row is
+    left out in silence; so is one with a cycle that has no margin to average.
+    """
+    by_cycle = rows.groupBy("cycle").agg(F.count("*").alias("rows"), F.count_if(F.col("baseline").isNull()).alias("missing"), F.count("two_party_margin").alias("margins"))
+    fold = fold_cycles(by_cycle, least).join(by_cycle, "cycle").groupBy("test_cycle").agg(F.sum("rows").alias("training_rows"), F.sum("missing").alias("missing_baselines"), F.count_if(F.col("margins") == 0).alias("cycles_without_margin"))
+    reason = F.when(F.col("missing_baselines") > 0, "missing_baseline").when(F.col("cycles_without_margin") > 0, "cycle_without_margin")
+    return fold.withColumn("closed", reason.isNotNull()).withColumn("reason", reason)
+
+
+def constant_predict(identities: DataFrame, fit: DataFrame) -> DataFrame:
+    """Identities (cycle, seat_id) with their fold's mean margin, deviation and win rate; nothing else of a row is read."""
+    named = identities.select("cycle", "seat_id").distinct()
+    return named.join(fit.select(F.col("test_cycle").alias("cycle"), F.col("mu").alias("predicted_margin"), F.col("sd").alias("margin_sd"), F.col("win_rate").alias("democratic_win_probability")), "cycle")
+
+
+def swing_predict(rows: DataFrame, environment: DataFrame) -> DataFrame:
+    """Baseline plus national swing: rows (cycle, seat_id, baseline), environment (cycle, e)."""
+    return rows.where("baseline is not null").select("cycle", "seat_id", "baseline").join(environment, "cycle").select("cycle", "seat_id", (F.col("baseline") + F.col("e")).alias("predicted_margin"))
+
+
 def residual_sums(rows: DataFrame) -> DataFrame:
     """By cycle: count, mean and mean square of margin minus baseline."""
     e = F.col("two_party_margin") - F.col("baseline")

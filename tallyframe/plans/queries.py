@@ -165,9 +165,9 @@ def snapshot_leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TALLY = f"""with {views.CONTEST_LINES},
 rounds as (select cycle, state, seat_id, round_no, stage, special, count(*) as lines, cast(sum(votes) as bigint) as votes, list_sort(list(distinct source_total)) as totals from contest_lines group by all),
 e as (select *, (not special) or count(*) filter (not special) over (partition by seat_id) = 0 as eligible from rounds),
-c as (select *, count(*) filter (eligible and stage = 'runoff') over (partition by seat_id) as runoffs, count(*) filter (eligible and stage = 'gen') over (partition by seat_id) as generals from e),
-chosen as (select *, eligible and case when runoffs = 1 then stage = 'runoff' when runoffs = 0 and generals = 1 then stage = 'gen' else false end as selected,
-  case when runoffs > 1 then 'ambiguous_multiple_runoff_rounds' when runoffs = 0 and generals > 1 then 'ambiguous_multiple_general_rounds' end as ambiguity from c),
+c as (select *, count(*) filter (eligible and stage = 'runoff') over (partition by seat_id) as runoffs, count(*) filter (eligible and stage = 'gen') over (partition by seat_id) as generals, count(*) filter (eligible) over (partition by seat_id) as pool from e),
+chosen as (select *, eligible and case when runoffs = 1 then stage = 'runoff' when runoffs = 0 and generals = 1 then stage = 'gen' else runoffs = 0 and generals = 0 and pool = 1 end as selected,
+  case when runoffs > 1 then 'ambiguous_multiple_runoff_rounds' when runoffs = 0 and generals > 1 then 'ambiguous_multiple_general_rounds' when runoffs = 0 and generals = 0 and pool > 1 then 'ambiguous_no_final_round' end as ambiguity from c),
 merged as (select cycle, state, seat_id, round_no, stage, special, coalesce(candidate, 'line-' || line) as identity, cast(sum(votes) as bigint) as votes, list_sort(list(distinct party)) as parties, count(*) as fusion_lines, min(line) as first_line from contest_lines group by all),
 grouped as (select *, case when list_contains(parties, 'D') and list_contains(parties, 'R') then 'CONFLICT' when list_contains(parties, 'D') then 'DEMOCRATIC' when list_contains(parties, 'R') then 'REPUBLICAN' else 'OTHER' end as grp,
   rank() over (partition by seat_id, round_no, stage, special order by votes desc) = 1 as top from merged),

@@ -135,21 +135,21 @@ def pair_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MIXED = (
     "with recursive "
     + views.SCORED
-    + f""", grid as (select u, {normal.inverse_cdf_sql('u')} as shift from (select (i + 0.5) / 16 as u from range(16) t(i))),
+    + f""", grid as (select u, {normal.inverse_cdf_sql('u')} as shift from (select (i + 0.5) / 2048 as u from range(2048) t(i))),
 z as (select fold, u, doc_id, (mu + 3.0 * shift) / 6.0 as z from scored cross join grid), ps as (select fold, u, doc_id, {normal.cdf_sql('z')} as p from z),
 events as (select fold, u, p, row_number() over (partition by fold, u order by p, doc_id) as i from ps),
 pmf as (select fold, u, 0::bigint as i, [cast(1.0 as double)] as mass from (select distinct fold, u from ps)
   union all select m.fold, m.u, e.i, list_transform(range(1, len(m.mass) + 2), lambda k: coalesce(m.mass[k], 0.0) * (1 - e.p) + case when k > 1 then m.mass[k - 1] * e.p else 0.0 end) from pmf m join events e on e.fold = m.fold and e.u = m.u and e.i = m.i + 1),
 last as (select fold, u, mass from pmf join (select fold, u, max(i) as i from pmf group by 1, 2) using (fold, u, i)),
 masses as (select fold, u, unnest(range(0, len(mass)))::bigint as k, unnest(mass) as mass from last)
-select fold, k, {r('sum(mass) / 16', 'mass')} from masses group by 1, 2"""
+select fold, k, {r('sum(mass) / 2048', 'mass')} from masses group by 1, 2"""
 )
 
 
 @query(_MIXED)
 def mixture_count_pmf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).select("fold", "mu", F.lit(6.0).alias("local"))
-    return rounded(dist.mixture_pmf(rows, "fold", F.lit(3.0), points=16))
+    return rounded(dist.mixture_pmf(rows, "fold", F.lit(3.0)))
 
 
 _BLOCKS = """, b as (select lang, avg(pow(p - outcome, 2)) as v from (select s.*, d.lang from scored s join documents d using (doc_id)) group by 1),
@@ -158,7 +158,7 @@ draws as (select (v[a.i] + v[b.i] + v[c.i] + v[d.i]) / 4 as m from v cross join
 """
 
 
-@query(_SCORED + _BLOCKS + f"select 35 as multisets, count(*) as draws, {r('avg(m)', 'mean')}, {r('count(*) filter (m < 0.3) / count(*)', 'chance_below')} from draws")
+@query(_SCORED + _BLOCKS + f"select (select count(distinct list_sort([a.i, b.i, c.i, d.i])) from idx a cross join idx b cross join idx c cross join idx d) as multisets, count(*) as draws, {r('avg(m)', 'mean')}, {r('count(*) filter (m < 0.3) / count(*)', 'chance_below')} from draws")
 def exact_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "lang")
     blocks = _scored(spark, sf_dir).join(docs, "doc_id").groupBy("lang").agg(F.avg(LOSSES["brier"]()).alias("v"))

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vote lines: a seat is a customer's year, a round one of its orders and a line status."""
+    """Vote lines: a seat is a customer's year, a round one of its orders and a line status; some orders are of a third stage."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -25,7 +25,7 @@ def contest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_nationkey").alias("state"),
         F.concat_ws("-", F.lit("SEAT"), F.year("o_orderdate"), "o_custkey").alias("seat_id"),
         F.col("l_orderkey").alias("round_no"),
-        F.when(F.col("l_linestatus") == "O", "runoff").otherwise("gen").alias("stage"),
+        F.when(F.col("l_orderkey") % 11 == 0, "pri").when(F.col("l_linestatus") == "O", "runoff").otherwise("gen").alias("stage"),
         (F.col("o_orderstatus") == "P").alias("special"),
         F.col("l_linenumber").cast("int").alias("line"),
         (F.col("l_suppkey") % 7).cast("string").alias("candidate"),
@@ -38,7 +38,7 @@ def contest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTEST_LINES = """contest_lines as (
   select cast(year(o_orderdate) as int) as cycle, c_nationkey as state,
     concat_ws('-', 'SEAT', cast(year(o_orderdate) as varchar), cast(o_custkey as varchar)) as seat_id,
-    l_orderkey as round_no, case when l_linestatus = 'O' then 'runoff' else 'gen' end as stage,
+    l_orderkey as round_no, case when l_orderkey % 11 = 0 then 'pri' when l_linestatus = 'O' then 'runoff' else 'gen' end as stage,
     o_orderstatus = 'P' as special, cast(l_linenumber as int) as line, cast(l_suppkey % 7 as varchar) as candidate,
     case l_returnflag when 'A' then 'D' when 'R' then 'R' else 'OTHER' end as party,
     cast(floor(l_quantity) as bigint) as votes, cast(floor(o_totalprice) as bigint) as source_total
