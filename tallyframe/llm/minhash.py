@@ -137,12 +137,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Alternating large-star and small-star rounds; every round is a written table.
     """
     edges = scratch.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    while not _stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -153,6 +148,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: then each v is the least of its component."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or up = 1 and root = 1").count() == 0
+
+
 def _blocks(member: DataFrame, load: str, limit: int, scratch: Scratch) -> DataFrame:
     """Rows of member (key, rep, component, ...), dealt to (key, x, y) with `rest`.
 
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
         star = scratch.written(star, "star")
         texts = scratch.written(_texts(docs, star.select(F.col("a").alias("rep")).union(star.select("b")).distinct(), reps, repeats), "texts")
         links = scratch.written(_confirmed(star, texts, threshold), "links")
-        comps = components(links, scratch)
+        comps, roots = scratch.written(components(links, scratch), "components"), None
         # links that no hub has seen; a bucket of two is done
         placed = shared.where("size > 2").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
         placed = scratch.written(placed, "placed")
@@ -253,9 +254,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
         if not likely.isEmpty():
             member = placed.join(likely, ["key", "rep"]).join(reps.select("rep", "keys", "sig"), "rep").join(_texts(docs, likely.select("rep").distinct(), reps, repeats), "rep")
             more = scratch.written(_blocks(member, "n", BLOCK, scratch).groupBy("key", "x", "y").applyInPandas(_block_links(threshold), "a long, b long").distinct(), "more")
-            comps = components(links.union(more), scratch)
+            if not more.isEmpty():
+                name = lambda side: comps.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+                joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+                roots = components(joined, scratch)
         first = reps.select("rep", F.col("n").alias("n_shingles"), "digest_a", "digest_b", F.col("first.doc_id").alias("least"))
         linked = first.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        if roots is not None:
+            linked = linked.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
         named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(*digest, "component_id")
         out = sketch.select("doc_id", "text_key", *digest).join(named, digest, "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         return written(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "near-duplicates")
