@@ -77,7 +77,7 @@ def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in text_slices(whole, limit=1 << 21):
+        for batch in text_slices(whole, limit=1 << 20):
             offsets, raw = utf8(batch.column("text"))
             w = words(offsets, raw)
             for kind, keys in ((GRAM, grams(w, raw)[0]), (WORD, w.hashes)):
@@ -125,9 +125,9 @@ SCORED = "row long, doc_id long, kind int, key long, c long, n_tokens long, n_kn
 
 def _score(heads) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_gram, by_word = (Table(*heads.value[k]) for k in (GRAM, WORD))
+        by_gram, by_word = heads.value[GRAM], heads.value[WORD]
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, limit=1 << 18):
                 ids = batch.column("row").to_numpy(zero_copy_only=False)
                 offsets, raw = utf8(batch.column("text"))
                 w = words(offsets, raw)
@@ -223,9 +223,10 @@ def _head(table: DataFrame) -> DataFrame:
     return table.where(step >= F.lit(least)) if least is not None else table.limit(0)
 
 
-def _sent(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+def _sent(table: DataFrame, value: str) -> Table:
+    """The head, laid out for look-ups once, here; bounded by HEAD."""
     got = _head(table).select("key", value).toArrow()
-    return got["key"].to_numpy().view(np.uint64), got[value].to_numpy().astype(np.float64)
+    return Table(got["key"].to_numpy().view(np.uint64), got[value].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, fold: int = 0) -> DataFrame:
