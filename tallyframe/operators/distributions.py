@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from math import factorial
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import normal
 
 
+#: Events of a part, about; and masses of a block, when two parts meet.
+PART, BLOCK = 256, 1024
+
+
 def count_pmf(p: Column) -> Column:
-    """Masses of 0..n events for an array of probabilities, by convolution; n is a fold's, so bounded."""
+    """Masses of 0..n events for an array of probabilities, one event after the other."""
 
     def step(mass: Column, q: Column) -> Column:
         stay = F.concat(F.transform(mass, lambda x: x * (1 - q)), F.array(F.lit(0.0)))
@@ -21,27 +23,72 @@ def count_pmf(p: Column) -> Column:
     return F.aggregate(F.array_sort(p), F.array(F.lit(1.0)), step)
 
 
-def fold_pmf(rows: DataFrame, fold: str, p: str) -> DataFrame:
-    """(fold, k, mass)"""
-    mass = rows.groupBy(fold).agg(count_pmf(F.collect_list(p)).alias("mass"))
-    return mass.select(fold, F.posexplode("mass").alias("k", "mass"))
+def convolution(a: Column, b: Column) -> Column:
+    """Masses of the sum of two independent counts."""
+    n, m = F.size(a), F.size(b)
+
+    def at(k: Column) -> Column:
+        terms = F.sequence(F.greatest(F.lit(0), k - m + 1), F.least(k, n - 1))
+        return F.aggregate(terms, F.lit(0.0), lambda total, i: total + F.get(a, i) * F.get(b, k - i))
+
+    return F.transform(F.sequence(F.lit(0), n + m - 2), at)
+
+
+def dealt(rows: DataFrame, fold: str, columns: list[str], part: int = PART) -> tuple[DataFrame, int]:
+    """(fold, slot, events) with about `part` events, structs of `columns`, in each slot of a fold; and the most slots of a fold.
+
+    Equal events are counted first and dealt in pieces, so neither a large fold nor a
+    frequent event meets in one row.
+    """
+    counted = rows.groupBy(fold, *columns).agg(F.count("*").alias("c"))
+    sizes = counted.groupBy(F.col(fold).alias("_fold")).agg(F.ceil(F.sum("c") / part).alias("slots"))
+    most = sizes.agg(F.max("slots")).first()[0] or 1
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / part) - 1)).alias("i")
+    spread = counted.join(sizes, F.col(fold).eqNullSafe(F.col("_fold"))).select(fold, *columns, "c", "slots", pieces)
+    slot = F.pmod(F.xxhash64(*columns, "i"), F.col("slots")).alias("slot")
+    piece = F.array_repeat(F.struct(*columns), F.least(F.lit(part), F.col("c") - F.col("i") * part).cast("int"))
+    return spread.groupBy(fold, slot).agg(F.flatten(F.collect_list(piece)).alias("events")), most
+
+
+def merged(masses: DataFrame, keys: list[str], most: int, block: int = BLOCK) -> DataFrame:
+    """(keys, k, mass) of (keys, slot, mass): slots meet in pairs, in as many rounds as `most` slots take.
+
+    One of a pair's arrays goes in blocks, each a row of its own, so a task's work is a
+    block times the other array.
+    """
+    while most > 1:
+        pair = masses.groupBy(*keys, F.floor(F.col("slot") / 2).alias("slot")).agg(F.collect_list("mass").alias("m"))
+        first, other = F.get("m", F.lit(0)), F.coalesce(F.get("m", F.lit(1)), F.array(F.lit(1.0)))
+        blocks = pair.select(*keys, "slot", first.alias("a"), other.alias("b")).select(*keys, "slot", "a", "b", F.explode(F.sequence(F.lit(0), F.size("a") - 1, F.lit(block))).alias("from"))
+        parts = blocks.select(*keys, "slot", "from", F.posexplode(convolution(F.slice("a", F.col("from") + 1, F.lit(block)), F.col("b"))).alias("k", "m"))
+        summed = parts.groupBy(*keys, "slot", (F.col("from") + F.col("k")).alias("k")).agg(F.sum("m").alias("m"))
+        masses = summed.groupBy(*keys, "slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda e: e["m"]).alias("mass"))
+        most = (most + 1) // 2
+    return masses.select(*keys, F.posexplode("mass").alias("k", "mass"))
+
+
+def fold_pmf(rows: DataFrame, fold: str, p: str, part: int = PART) -> DataFrame:
+    """(fold, k, mass). Events without a probability are none."""
+    slots, most = dealt(rows.select(fold, F.col(p).alias("p")), fold, ["p"], part)
+    events = F.filter(F.transform("events", lambda e: e["p"]), lambda q: q.isNotNull())
+    return merged(slots.select(fold, "slot", count_pmf(events).alias("mass")), [fold], most)
 
 
 def mixture_pmf(rows: DataFrame, fold: str, tau: Column, points: int = 2048) -> DataFrame:
     """(fold, k, mass) with one normal shift of deviation tau for all of a fold's events.
 
     rows: (fold, mu, local). The shift is integrated over `points` equally likely
-    quantiles. Each (fold, quantile) is a row of its own. An event without a local
-    deviation is certain once the shift is known (at exactly 0: one half).
+    quantiles. Each (fold, quantile, slot of events) is a row of its own. An event without
+    a local deviation is certain once the shift is known (at exactly 0: one half).
     """
     grid = rows.sparkSession.range(points).select(((F.col("id") + 0.5) / points).alias("u")).select("u", normal.inverse_cdf("u").alias("shift"))
-    folds = rows.groupBy(fold).agg(F.collect_list(F.struct("mu", "local")).alias("events")).withColumn("tau", tau)
-    shifted = folds.join(F.broadcast(grid)).select(fold, "u", F.posexplode("events").alias("i", "e"), "shift", "tau")
+    slots, most = dealt(rows.select(fold, "mu", "local"), fold, ["mu", "local"])
+    shifted = slots.withColumn("tau", tau).join(F.broadcast(grid)).select(fold, "u", "slot", F.posexplode("events").alias("i", "e"), "shift", "tau")
     mean, local = F.col("e.mu") + F.col("tau") * F.col("shift"), F.col("e.local")
-    z = shifted.select(fold, "u", mean.alias("mean"), F.when(local > 0, mean / local).alias("z"))
-    p = z.select(fold, "u", F.coalesce(normal.cdf("z"), (F.signum("mean") + 1) / 2).alias("p"))
-    mass = p.groupBy(fold, "u").agg(count_pmf(F.collect_list("p")).alias("mass"))
-    return mass.select(fold, F.posexplode("mass").alias("k", "m")).groupBy(fold, "k").agg((F.sum("m") / points).alias("mass"))
+    z = shifted.select(fold, "u", "slot", mean.alias("mean"), F.when(local > 0, mean / local).alias("z"))
+    p = z.select(fold, "u", "slot", F.coalesce(normal.cdf("z"), (F.signum("mean") + 1) / 2).alias("p"))
+    mass = p.groupBy(fold, "u", "slot").agg(count_pmf(F.collect_list("p")).alias("mass"))
+    return merged(mass, [fold, "u"], most).groupBy(fold, "k").agg((F.sum("mass") / points).alias("mass"))
 
 
 def moments(pmf: DataFrame, fold: str) -> DataFrame:
@@ -77,32 +124,22 @@ def pair_covariance(rows: DataFrame, pmf: DataFrame, fold: str, p: str) -> DataF
     return joined.select(fold, "events", ((F.col("variance") - F.col("independent")) / (F.col("events") * (F.col("events") - 1))).alias("covariance"))
 
 
-def _compositions(total: int, parts: int):
-    if parts == 1:
-        yield (total,)
-        return
-    for first in range(total + 1):
-        for rest in _compositions(total - first, parts - 1):
-            yield (first, *rest)
-
-
 def exact_bootstrap(spark: SparkSession, blocks: DataFrame, value: str, least: float = 0.0, most_blocks: int = 9) -> DataFrame:
     """One row: the exact bootstrap distribution of a mean of blocks, and the chance that it is below `least`.
 
-    All multisets of n blocks are listed with their multinomial weights, so n is
-    bounded by `most_blocks` (24,310 multisets).
+    All multisets of n blocks are listed with their multinomial weights, one block
+    after the other taking some of the draws that are left, so n is bounded by
+    `most_blocks` (24,310 multisets).
     """
     values = [r[0] for r in blocks.select(value).orderBy(value).limit(most_blocks + 1).collect()]
     n = len(values)
     if not 0 < n <= most_blocks:
         raise ValueError(f"1 to {most_blocks} blocks are needed")
-    rows = []
-    for counts in _compositions(n, n):
-        ways = factorial(n)
-        for c in counts:
-            ways //= factorial(c)
-        rows.append((sum(v * c for v, c in zip(values, counts, strict=True)) / n, ways))
-    means = spark.createDataFrame(rows, "mean double, ways long")
+    drawn = spark.range(1).select(F.lit(n).alias("left"), F.factorial(F.lit(n)).alias("ways"), F.lit(0.0).alias("total"))
+    for i, v in enumerate(values):
+        takes = F.array("left") if i == n - 1 else F.sequence(F.lit(0), "left")
+        drawn = drawn.select("*", F.explode(takes).alias("c")).select((F.col("left") - F.col("c")).alias("left"), F.expr("ways div factorial(c)").alias("ways"), (F.col("total") + F.col("c") * float(v)).alias("total"))
+    means = drawn.select((F.col("total") / n).alias("mean"), "ways")
     out = means.agg(F.count("*").alias("multisets"), F.sum("ways").alias("draws"), (F.sum(F.col("mean") * F.col("ways")) / F.sum("ways")).alias("mean"), F.sum(F.when(F.col("mean") < least, F.col("ways")).otherwise(0)).alias("below"))
     return out.select("multisets", "draws", "mean", (F.col("below") / F.col("draws")).alias("chance_below"))
 
@@ -110,11 +147,16 @@ def exact_bootstrap(spark: SparkSession, blocks: DataFrame, value: str, least: f
 def simulate_counts(rows: DataFrame, fold: str, tau: float, draws: int = 200, seed: int = 1) -> DataFrame:
     """(fold, draw, wins) of correlated outcomes: one shared normal shift for each fold and draw, one local for each event.
 
-    Uniforms come from hashes of the ids, so a draw is the same wherever it runs.
+    Uniforms come from SHA-256 of the seed, the stream, the id and the draw, so a draw
+    is the same wherever it runs. With tau = 0 the outcomes are independent.
     """
-    uniform = lambda *c: (F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+    def uniform(stream: str, key: str) -> Column:
+        digest = F.sha2(F.concat(F.lit(f"{seed}:{stream}:"), F.col(key).cast("string"), F.lit(":"), F.col("draw").cast("string")), 256)
+        return (F.conv(F.substring(digest, 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
+
     drawn = rows.select(fold, "id", "mu", "local", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    drawn = drawn.withColumns({"u": uniform(F.col(fold), F.col("draw")), "v": uniform(F.col("id"), F.col("draw"), F.lit("local"))})
+    drawn = drawn.withColumns({"u": uniform("shared", fold), "v": uniform("local", "id")})
     drawn = drawn.withColumns({"shared": normal.inverse_cdf("u"), "own": normal.inverse_cdf("v")})
     won = F.col("mu") + tau * F.col("shared") + F.col("local") * F.col("own") > 0
     return drawn.groupBy(fold, "draw").agg(F.count_if(won).alias("wins"))

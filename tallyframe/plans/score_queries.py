@@ -182,7 +182,15 @@ def evidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("cycles", scores.evidence_tier(F.col("cycles")).alias("tier"))
 
 
-@query()
+def _uniform_sql(stream: str, key: str) -> str:
+    return f"(cast(cast('0x' || left(sha256('1:{stream}:' || {key} || ':' || draw), 10) as bigint) as double) + 0.5) / 1099511627776"
+
+
+@query(
+    _SCORED
+    + f""", d as (select fold, doc_id, mu, unnest(range(1, 201)) as draw from scored), h as (select *, {_uniform_sql('shared', 'fold')} as u, {_uniform_sql('local', 'doc_id')} as v from d)
+select fold, draw, count(*) filter (mu + 3.0 * {normal.inverse_cdf_sql('u')} + 6.0 * {normal.inverse_cdf_sql('v')} > 0) as wins from h group by 1, 2"""
+)
 def seat_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).select("fold", F.col("doc_id").alias("id"), "mu", F.lit(6.0).alias("local"))
-    return dist.simulate_counts(rows, "fold", tau=3.0)
+    return rounded(dist.simulate_counts(rows, "fold", tau=3.0))

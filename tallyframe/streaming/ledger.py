@@ -7,16 +7,41 @@ cut-off are no reason to drop anything: they go to an audit table.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _digest(rows: DataFrame) -> DataFrame:
+    """One row (rows, digest), the same in whatever order the rows are."""
+    own = F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(own), F.lit(0)).cast("string").alias("digest"))
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("rows long, digest string, batch long").parquet(f"{path}/manifest").select("rows", "digest", "batch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing is published yet
+
+
 def publish(batch: DataFrame, batch_id: int, path: str) -> None:
-    """One batch of the ledger; overwriting its own folder makes a retry harmless."""
-    batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-    summary = batch.sparkSession.read.parquet(f"{path}/rows/batch={batch_id}").agg(F.count("*").alias("rows"))
-    summary.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/manifest/batch_id={batch_id}")
+    """One batch of the ledger. One that is in the manifest is never written again: the same rows are left as they are, others are refused."""
+    spark = batch.sparkSession
+    manifest = _manifest(spark, path)
+    before = manifest.where(F.col("batch") == batch_id).first() if manifest is not None else None
+    if before is not None:
+        now = _digest(batch).first()
+        if (now["rows"], now["digest"]) != (before["rows"], before["digest"]):
+            raise ValueError(f"batch {batch_id} is published with other rows")
+        return
+    folder = f"{path}/rows/batch={batch_id}"
+    batch.write.mode("overwrite").parquet(folder)  # what a lost driver left here is in no manifest
+    summary = _digest(spark.read.parquet(folder)).withColumn("batch", F.lit(batch_id).cast("long"))
+    summary.write.mode("overwrite").parquet(f"{path}/manifest/batch_id={batch_id}")
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -43,4 +68,6 @@ def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows")
+    """The rows of the batches in the manifest."""
+    rows, manifest = spark.read.parquet(f"{path}/rows"), _manifest(spark, path)
+    return rows.join(manifest.select("batch"), "batch", "left_semi") if manifest is not None else rows.where("false")

@@ -38,6 +38,29 @@ def test_two_fair_coins(spark):
     assert one(dist.moments(pmf, "f"))["variance"] == pytest.approx(0.5)
 
 
+def test_parts_of_a_fold_give_the_masses_of_the_whole(spark):
+    chances = [(k % 7 + 1) / 10 for k in range(90)] + [0.3125] * 45
+    rows = spark.createDataFrame([("f", p) for p in chances] + [("f", None), ("g", 0.5), (None, 0.25), ("h", None)], "f string, p double")
+    found = {}
+    for r in dist.fold_pmf(rows, "f", "p", part=16).orderBy("k").collect():
+        found.setdefault(r.f, []).append(r.mass)
+    mass = [1.0]
+    for p in chances:
+        mass = [(mass[k] * (1 - p) if k < len(mass) else 0.0) + (mass[k - 1] * p if k else 0.0) for k in range(len(mass) + 1)]
+    assert found["f"] == pytest.approx(mass, abs=1e-14) and found["g"] == [0.5, 0.5] and found[None] == [0.75, 0.25] and found["h"] == [1.0]
+
+
+def test_blocks_of_masses_meet_whole(spark):
+    a, b, c = [0.1, 0.2, 0.3, 0.4], [0.5, 0.25, 0.25], [0.9, 0.1]
+    slots = spark.createDataFrame([("f", 0, a), ("f", 1, b), ("f", 4, c)], "f string, slot long, mass array<double>")
+    expected = [0.0] * 7
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            for k, z in enumerate(c):
+                expected[i + j + k] += x * y * z
+    assert [r.mass for r in dist.merged(slots, ["f"], 5, block=2).orderBy("k").collect()] == pytest.approx(expected)
+
+
 def test_mixture_without_shift_is_the_independent_count(spark):
     rows = spark.createDataFrame([("f", 1.0, 2.0), ("f", -1.0, 2.0)], "f string, mu double, local double")
     mixed = [r.mass for r in dist.mixture_pmf(rows, "f", F.lit(0.0), points=4).orderBy("k").collect()]

@@ -76,6 +76,9 @@ def test_stream_appends_once(spark, tmp_path):
         ledger.append_stream(stream, out, str(tmp_path / "c")).awaitTermination()
     assert ledger.ledger(spark, out).count() == events.count()
     ledger.publish(events, 0, out)  # a batch that comes again
+    with pytest.raises(ValueError, match="other rows"):
+        ledger.publish(events.limit(3), 0, out)
+    events.limit(3).write.parquet(f"{out}/rows/batch=9")  # left by a lost driver
     assert ledger.ledger(spark, out).count() == events.count()
     marked = spark.readStream.schema(events.schema).parquet(source).withColumn("cut", F.lit("2024-01-15").cast("timestamp_ntz"))
     ledger.split_stream(marked, "ts", "cut", str(tmp_path / "s"), str(tmp_path / "c2")).awaitTermination()
