@@ -2,8 +2,9 @@
 
 The model reads the character 3-grams to 5-grams of host and path (in lower case,
 with the parts' ends marked), hashed into `FEATURES` counts, and is fitted by
-Spark's ML library on a small table of labelled URLs, a parameter; the one below
-is used unless another is given. Of a longer table `MAX_LABELLED` rows at most
+Spark's ML library on a small table of labelled URLs, a parameter; the one made
+by labelled_urls() is used unless another is given. It knows the words listed
+below, so other words are judged by what they share with them. Of a longer table `MAX_LABELLED` rows at most
 are read (the first by URL), as the fit is meant for a labelled sample.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case.
@@ -16,6 +17,8 @@ carried along. An empty table gives no rows.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, SQLTransformer
@@ -27,6 +30,9 @@ FEATURES = 1 << 14
 SIZES = (3, 4, 5)
 MAX_LABELLED = 10_000
 BLOCK_ABOVE = 0.5
+PENALTY = 0.001
+#: Size (of each class) and seed of the table of labelled URLs.
+EACH, SEED = 400, 1
 
 #: (verdict, host, path), the fixed rules of the filter.
 RULES = (
@@ -37,33 +43,35 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Labelled URLs: 1 is to be blocked.
-BLOCKED = """
-http://www.cheap-pills.example.com/en/12 http://cheap-pills.example.net/buy http://buy-cheap-pills.example.org/order
-http://spam-farm.example.org/en/7 https://spam-farm.example.com/fr/81 http://link-farm.example.net/en/2
-http://www.spamfarm.example.net/x/91 http://free-casino.example.com/en/play http://www.online-casino.example.net/bonus
-http://casino-bonus.example.org/en/1 http://win-money-now.example.com/en/3 http://free-money.example.net/claim
-http://adult-videos.example.com/en/5 http://xxx-videos.example.net/watch/18 http://porn.example.org/en/9
-http://warez-download.example.com/crack http://cracked-games.example.net/en/6 http://replica-watches.example.com/shop
-http://payday-loans.example.org/apply http://cheap-loans.example.net/en/44 http://viagra.example.com/buy
-http://www.cheap-viagra.example.net/en/15 http://betting-tips.example.com/en/8 http://poker-bonus.example.net/play
-http://seo-spam.example.org/links http://click-here.example.com/en/77 http://hot-singles.example.net/chat
-http://ads-track.example.com/en/4 http://m.ad-tracker.example.net/click http://free-bets.example.org/en/2 http://adult-chat.example.com/en/6
-http://casino-win.example.org/de/9 http://adult-x.example.net/es/30 http://free-iphone.example.com/win http://pills-online.example.org/en/23 http://cheap-meds.example.net/order
+#: What the labelled URLs are made of: words that mark a URL to be blocked, everyday words, and parts of names that mark nothing.
+BLOCK_WORDS = """
+casino poker betting jackpot roulette slots pills viagra pharma-discount payday cheap-loans adult porn xxx escort
+singles-chat warez crack keygen torrent replica-watches counterfeit spam link-farm popunder adserver clickbait malware phishing get-rich
 """.split()
-ALLOWED = """
-http://news.example.com/en/story/12 https://www.example.org/en/7 http://blog.therea.example.net/en/81
-https://m.thether.example.com/fr/3 http://library.example.edu/catalog/91 https://docs.example.net/guide/5
-http://university.example.org/en/courses https://www.thering.example.com/en/148 http://museum.example.net/en/exhibits/4
-https://en.wiki.example.org/wiki/History http://weather.example.com/today https://blog.tiontion.example.com/de/6
-http://recipes.example.net/en/bread https://www.ththes.example.net/es/44 http://travel.example.org/en/rome
-https://health.example.gov/en/advice http://science.example.com/en/physics https://blog.ththor.example.org/en/15
-http://m.ththin.example.org/en/8 https://garden.example.net/en/roses http://music.example.com/en/concerts
-https://tionsh.example.net/en/77 http://books.example.org/en/novels https://ththan.example.net/fr/23
-http://sports.example.com/en/results https://blog.tionble.example.com/en/120 http://city.example.gov/en/services
-https://www.therat.example.net/en/31 http://thehouse.example.com/en/412 http://ontheroad.example.com/fr/16 https://therest.example.com/en/230 http://other.example.com/es/9
-https://another.example.com/en/55?page=2 http://thirteen.example.com/de/71 http://school.example.edu/en/classes https://news.example.net/de/politik
+ALLOW_WORDS = """
+news library museum school university garden weather science history music recipes travel health sports books
+city-council theatre wiki research railway gallery parish climate astronomy cooking hiking poetry orchestra archive observatory
 """.split()
+NAME_PARTS = "ba bel cor dan el fen gar hol in jar kem lo mar nor or pel quin ros sal tor ul ven wes yar zel".split()
+ENDINGS = "com net org info example".split()
+SECTIONS = "en fr de es blog page item a view".split()
+
+
+def example_urls(each: int, seed: int) -> list[tuple[str, int]]:
+    """`each` URLs to be blocked (1) and as many others (0), made by seed.
+
+    A word of its class stands in the host, the path or both; a fourth of the others have none.
+    """
+    rng, out = random.Random(seed), []
+    for words, blocked in ((BLOCK_WORDS, 1), (ALLOW_WORDS, 0)):
+        for i in range(each):
+            place = i % (3 if blocked else 4)
+            name = "".join(rng.choice(NAME_PARTS) for _ in range(rng.randint(2, 3)))
+            start = rng.choice(("", "", "www.", "m.", "blog."))
+            label = rng.choice((f"{rng.choice(words)}-{name}", f"{name}-{rng.choice(words)}", f"{name}{rng.choice(words)}")) if place in (0, 2) else name
+            section = rng.choice(words) if place in (1, 2) else rng.choice(SECTIONS)
+            out.append((f"{rng.choice(('http', 'https'))}://{start}{label}.{rng.choice(ENDINGS)}/{section}/{rng.randint(1, 999)}", blocked))
+    return out
 
 
 def host(url: Column) -> Column:
@@ -90,12 +98,12 @@ def model(labelled: DataFrame):
     ngrams = [NGram(n=n, inputCol="letters", outputCol=f"ngrams_{n}") for n in SIZES]
     joined = SQLTransformer(statement=f"SELECT *, concat({', '.join(f'ngrams_{n}' for n in SIZES)}) AS ngrams FROM __THIS__")
     hashed = HashingTF(inputCol="ngrams", outputCol="features", numFeatures=FEATURES)
-    regression = LogisticRegression(regParam=0.001, maxIter=50)
+    regression = LogisticRegression(regParam=PENALTY, maxIter=200, tol=1e-9)
     return Pipeline(stages=[letters, *ngrams, joined, hashed, regression]).fit(named)
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, 1) for u in BLOCKED] + [(u, 0) for u in ALLOWED], "url string, blocked int")
+def labelled_urls(spark: SparkSession, each: int = EACH, seed: int = SEED) -> DataFrame:
+    return spark.createDataFrame(example_urls(each, seed), "url string, blocked int")
 
 
 def judge(pages: DataFrame, url: str = "url", labelled: DataFrame | None = None) -> DataFrame:
