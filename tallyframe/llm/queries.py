@@ -18,6 +18,7 @@ from tallyframe.llm.ppm import score
 from tallyframe.llm.secrets import KINDS, find_secrets
 from tallyframe.llm.shared import table
 from tallyframe.llm.url_filter import judge
+from tallyframe.llm.whitening import whiten
 from tallyframe.llm.wrapper import extract_text
 
 
@@ -87,6 +88,22 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where a long can't hold it; deviation_exact has it then."""
+    out = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = out.select("vec_id", "whitening", F.posexplode("whitening.whitened").alias("k", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        "whitening.n",
+        F.expr("try_cast(whitening.deviation as bigint)").alias("deviation"),
+        "whitened",
+        F.col("whitening.explained")[F.col("k")].alias("explained"),
+        "whitening.identity_error",
+        F.col("whitening.deviation").alias("deviation_exact"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_minhash_near_dedup,
         op10_harmonic_packing,
+        op13_embedding_whitening,
     )
 }
