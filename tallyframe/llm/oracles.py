@@ -33,4 +33,19 @@ reach as (select a, b from sides union select r.a, s.b from reach r join sides s
 select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) as component_id, least(w.doc_id, coalesce(m.least, w.doc_id)) = w.doc_id as kept
 from w left join n on n.doc_id = w.doc_id left join (select a, min(b) as least from reach group by 1) m on m.a = w.doc_id"""
 
-ORACLE_SQL = {"op5_host_quality": OP5, "op8_chat_formatting": OP8, "op9_minhash_near_dedup": OP9}
+OP12 = r"""with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+ids as (select c, count(*) as n from t group by 1),
+h as (select c, c - c % 20 as base, xor(list_reduce([4294967295::bigint] || flatten(list_transform(string_split(cast(c as varchar), ''), lambda x: [ord(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295) % 4 as h from ids),
+lent as (select h.c, h.h, h.base, least(h.h, coalesce(ids.n, 0)) as lent from h left join ids on ids.c = h.base),
+seq as (select l.c, t.pos, t.role, t.text from lent l join t on t.c = l.base and t.pos <= l.h union all select l.c, t.pos - l.h + l.lent, t.role, t.text from lent l join t on t.c = l.c and t.pos > l.h),
+path as (select c, 0 as d, '' as key, cast(null as varchar) as up, 0 as words from ids union all
+  select c, pos, key, coalesce(lag(key) over (partition by c order by pos), '') as up, words from (select c, pos, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' order by pos) over (partition by c order by pos) as key, cast(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as bigint) as words from seq)),
+node as (select key, any_value(up) as up, any_value(d) as d, any_value(words) as words, min(c) as conv_id, count(*) as n_convs from path group by 1),
+kids as (select up, count(*) as n from node where up is not null group by 1),
+full_node as (select node.*, coalesce(kids.n, 0) as n_children from node left join kids on kids.up = node.key),
+total as (select p.key, sum(case when x.n_children = 0 then 1 else 0 end) as n_leaves, sum((x.n_convs - 1) * x.words) as saved_tokens from full_node x join path p on p.c = x.conv_id and p.d <= x.d group by 1),
+ends as (select key, sha256(string_agg(cast(c as varchar), ',' order by c)) as digest from (select c, arg_max(key, d) as key from path group by 1) group by 1)
+select x.conv_id, cast(x.d as bigint) as depth, u.conv_id as parent_conv_id, x.n_convs, x.n_children, cast(total.n_leaves as bigint) as n_leaves, cast(total.saved_tokens as bigint) as saved_tokens, coalesce(ends.digest, sha256('')) as ends_sha256
+from full_node x left join node u on u.key = x.up join total on total.key = x.key left join ends on ends.key = x.key"""
+
+ORACLE_SQL = {"op5_host_quality": OP5, "op8_chat_formatting": OP8, "op9_minhash_near_dedup": OP9, "op12_conversation_trie": OP12}

@@ -15,6 +15,7 @@ from tallyframe.llm.minhash import near_duplicates
 from tallyframe.llm.oracles import ORACLE_SQL  # noqa: F401  read by the entry module
 from tallyframe.llm.packing import pack
 from tallyframe.llm.ppm import score
+from tallyframe.llm.prefix_trie import rebuilt_trie
 from tallyframe.llm.secrets import KINDS, find_secrets
 from tallyframe.llm.shared import table
 from tallyframe.llm.url_filter import judge
@@ -88,6 +89,10 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """deviation is null where a long can't hold it; deviation_exact has it then."""
     out = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_minhash_near_dedup,
         op10_harmonic_packing,
+        op12_conversation_trie,
         op13_embedding_whitening,
     )
 }
