@@ -48,4 +48,10 @@ ends as (select key, sha256(string_agg(cast(c as varchar), ',' order by c)) as d
 select x.conv_id, cast(x.d as bigint) as depth, u.conv_id as parent_conv_id, x.n_convs, x.n_children, cast(total.n_leaves as bigint) as n_leaves, cast(total.saved_tokens as bigint) as saved_tokens, coalesce(ends.digest, sha256('')) as ends_sha256
 from full_node x left join node u on u.key = x.up join total on total.key = x.key left join ends on ends.key = x.key"""
 
-ORACLE_SQL = {"op5_host_quality": OP5, "op8_chat_formatting": OP8, "op9_minhash_near_dedup": OP9, "op12_conversation_trie": OP12}
+OP11 = r"""with p as (select row_number() over () as r, page_id, url, coalesce(html, '') as html from pages),
+d as (select *, count(*) over (partition by html) as n, row_number() over (partition by html order by page_id desc nulls last, url desc nulls last, r) as k, first_value(page_id) over (partition by html order by page_id desc nulls last, url desc nulls last, r) as target, sha1(html) || '00' as h from p)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(h, cast(1 + (5 * i) // 4 as int), 3) as int) >> cast(7 - (5 * i) % 4 as int)) & 31) as int), 1)), '') as payload_digest,
+  case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then target end as refers_to from d"""
+
+ORACLE_SQL = {"op5_host_quality": OP5, "op8_chat_formatting": OP8, "op9_minhash_near_dedup": OP9, "op11_warc_archives": OP11, "op12_conversation_trie": OP12}

@@ -19,6 +19,7 @@ from tallyframe.llm.prefix_trie import rebuilt_trie
 from tallyframe.llm.secrets import KINDS, find_secrets
 from tallyframe.llm.shared import table
 from tallyframe.llm.url_filter import judge
+from tallyframe.llm.warc import archived
 from tallyframe.llm.whitening import whiten
 from tallyframe.llm.wrapper import extract_text
 
@@ -89,6 +90,11 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(table(spark, sf_dir, "conversations"))
 
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_formatting,
         op9_minhash_near_dedup,
         op10_harmonic_packing,
+        op11_warc_archives,
         op12_conversation_trie,
         op13_embedding_whitening,
     )

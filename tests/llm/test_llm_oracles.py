@@ -10,7 +10,7 @@ from tallyframe.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     found, expected = queries.QUERIES[name](spark, SMALL), con.sql(queries.ORACLE_SQL[name])
     columns = sorted(found.columns)
