@@ -1,8 +1,10 @@
 """Append-only ledgers fed by streams.
 
-A batch is written once, in a folder of its own, with a line in a manifest; a batch
-that comes again (after a failure) is left as it is. Rows known only after the
-cut-off are no reason to drop anything: they go to an audit table.
+A batch is written once, each of its parts in a folder of its own, and counts only when
+all its parts stand in the manifest, which is written in one go; a batch that comes again
+(after a failure) is left as it is. Rows known only after the cut-off are no
+reason to drop anything: they go to an audit part. Readers check what they read against
+the manifest.
 """
 
 from __future__ import annotations
@@ -12,36 +14,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+MANIFEST = "part string, rows long, digest string, batch long"
 
-def _digest(rows: DataFrame) -> DataFrame:
-    """One row (rows, digest), the same in whatever order the rows are."""
-    own = F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
-    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(own), F.lit(0)).cast("string").alias("digest"))
+
+def _digests(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rows, digest), the same in whatever order the rows are."""
+    own = F.xxhash64(F.to_json(F.struct(*[c for c in rows.columns if c not in by]), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.coalesce(F.sum(own), F.lit(0)).cast("string").alias("digest"))
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.schema("rows long, digest string, batch long").parquet(f"{path}/manifest").select("rows", "digest", "batch")
+        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", "rows", "digest", "batch")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None  # nothing is published yet
 
 
-def publish(batch: DataFrame, batch_id: int, path: str) -> None:
-    """One batch of the ledger. One that is in the manifest is never written again: the same rows are left as they are, others are refused."""
-    spark = batch.sparkSession
+def publish_parts(parts: dict[str, DataFrame], batch_id: int, path: str) -> None:
+    """One batch of all parts. One that is in the manifest is never written again: the same rows are left as they are, others are refused."""
+    spark = next(iter(parts.values())).sparkSession
+    found = lambda df: {r["part"]: (r["rows"], r["digest"]) for r in df.collect()}  # noqa: E731  a row for each part
+    summary = lambda name, rows: _digests(rows, []).withColumn("part", F.lit(name))
     manifest = _manifest(spark, path)
-    before = manifest.where(F.col("batch") == batch_id).first() if manifest is not None else None
-    if before is not None:
-        now = _digest(batch).first()
-        if (now["rows"], now["digest"]) != (before["rows"], before["digest"]):
-            raise ValueError(f"batch {batch_id} is published with other rows")
+    before = found(manifest.where(F.col("batch") == batch_id)) if manifest is not None else {}
+    if before:
+        for name, rows in parts.items():
+            if found(summary(name, rows)).get(name) != before.get(name):
+                raise ValueError(f"batch {batch_id} is published with other rows")
         return
-    folder = f"{path}/rows/batch={batch_id}"
-    batch.write.mode("overwrite").parquet(folder)  # what a lost driver left here is in no manifest
-    summary = _digest(spark.read.parquet(folder)).withColumn("batch", F.lit(batch_id).cast("long"))
-    summary.write.mode("overwrite").parquet(f"{path}/manifest/batch_id={batch_id}")
+    done = None
+    for name, rows in parts.items():
+        folder = f"{path}/rows/part={name}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(folder)  # what a lost driver left here is in no manifest
+        one = summary(name, spark.read.schema(rows.schema).parquet(folder))
+        done = one if done is None else done.unionByName(one)
+    done.withColumn("batch", F.lit(batch_id).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch_id={batch_id}")
+
+
+def publish(batch: DataFrame, batch_id: int, path: str) -> None:
+    publish_parts({"all": batch}, batch_id, path)
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -51,12 +64,11 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def split_stream(rows: DataFrame, available: str, cut_off: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Rows known by their cut-off to `known`, the others to `audit`; none is lost."""
+    """Rows known by their cut-off to the part `known`, the others to `audit`; none is lost, and both parts of a batch count together."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        marked = batch.withColumn("_late", F.coalesce(F.col(available) > F.col(cut_off), F.lit(True)))
-        publish(marked.where("not _late").drop("_late"), batch_id, f"{path}/known")
-        publish(marked.where("_late").drop("_late"), batch_id, f"{path}/audit")
+        late = F.coalesce(F.col(available) > F.col(cut_off), F.lit(True))
+        publish_parts({"known": batch.where(~late), "audit": batch.where(late)}, batch_id, path)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(split).start()
 
@@ -67,7 +79,17 @@ def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return timed.groupBy(F.window("ts", "1 day").alias("day"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("day.start").alias("day"), "event_type", "n")
 
 
-def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the batches in the manifest."""
-    rows, manifest = spark.read.parquet(f"{path}/rows"), _manifest(spark, path)
-    return rows.join(manifest.select("batch"), "batch", "left_semi") if manifest is not None else rows.where("false")
+def ledger(spark: SparkSession, path: str, part: str = "all", verify: bool = True) -> DataFrame:
+    """The rows of a part, of the batches in the manifest; raises if they aren't those that were published."""
+    rows, manifest = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/part={part}"), _manifest(spark, path)
+    if manifest is None:
+        return rows.where("false").drop("part")
+    of = manifest.where(F.col("part") == part).drop("part")
+    rows = rows.drop("part").join(of.select("batch"), "batch", "left_semi")
+    if verify:
+        now = _digests(rows, ["batch"]).withColumnsRenamed({"rows": "rows_now", "digest": "digest_now"})
+        same = F.coalesce((F.col("rows") == F.col("rows_now")) & (F.col("digest") == F.col("digest_now")), F.col("rows") == 0)
+        changed = [r["batch"] for r in of.join(now, "batch", "left").where(~same).select("batch").orderBy("batch").take(10)]
+        if changed:
+            raise ValueError(f"batches {changed} of {path} aren't what was published")
+    return rows

@@ -82,6 +82,6 @@ def test_stream_appends_once(spark, tmp_path):
     assert ledger.ledger(spark, out).count() == events.count()
     marked = spark.readStream.schema(events.schema).parquet(source).withColumn("cut", F.lit("2024-01-15").cast("timestamp_ntz"))
     ledger.split_stream(marked, "ts", "cut", str(tmp_path / "s"), str(tmp_path / "c2")).awaitTermination()
-    known, audit = (ledger.ledger(spark, str(tmp_path / "s" / k)).count() for k in ("known", "audit"))
+    known, audit = (ledger.ledger(spark, str(tmp_path / "s"), k).count() for k in ("known", "audit"))
     assert known + audit == events.count() and known and audit
     assert ledger.daily_counts(events).agg(F.sum("n")).first()[0] == events.count()
