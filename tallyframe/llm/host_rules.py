@@ -4,9 +4,11 @@ Every document is measured; two sets of rules read the measures. The hard rules
 reject a document by themselves. The soft ones count as failures of its host
 (the `source` column): each host's failure rate is shrunk towards the mean of
 all hosts with a beta prior whose two parameters are fitted to the hosts' rates
-by moments, and a document that fails a soft rule is rejected if its host's
-shrunk rate is too high as well. A host with few documents keeps close to the
-prior, so one bad page doesn't condemn it.
+by moments, less what chance alone makes them differ. A host is bad if its rate is very
+likely above what all but a few hosts of that prior have, or above a half, and a document that fails a
+soft rule is rejected if its host is bad as well. Where hosts differ by chance only,
+none is bad. A host with few documents keeps close to the prior, and its
+rate is uncertain, so one bad page doesn't condemn it.
 
 A null or empty text has no words and fails the hard rules. A null host is a
 host of its own. Rows that repeat count again. Columns of the input other than
@@ -30,7 +32,9 @@ MAX_REPEAT_PERCENT = 30
 MAX_SYMBOLS_PER_WORD = 0.1
 MAX_DUP_LINES = 0.3
 WORD_LENGTH = (2.0, 12.0)
-#: A host whose shrunk failure rate is above this loses the documents that fail a soft rule.
+#: A host is bad if its rate, less so many deviations of its posterior, is above the prior's mean and so many of the prior's.
+HOST_DEVIATIONS = 1.645
+#: So high a rate is bad whatever other hosts have.
 HOST_RATE = 0.5
 
 
@@ -94,20 +98,24 @@ def _failures(m: Column) -> Column:
 
 
 def host_rates(hosts: DataFrame) -> DataFrame:
-    """hosts (host, n, failures) with `shrunk`, the mean of the host's beta posterior.
+    """hosts (host, n, failures) with `shrunk`, the mean of the host's beta posterior, and `bad`.
 
     The prior's mean m and strength s come from the mean and variance of the hosts'
-    rates: s = m (1 - m) / variance - 1, held between 1 and 10,000.
+    rates, the variance less the mean of rate (1 - rate) / n: s = m (1 - m) / variance - 1,
+    held between 1 and 10,000.
     """
     hosts = hosts.withColumn("rate", F.col("failures") / F.col("n"))
-    prior = hosts.agg(F.avg("rate").alias("m"), F.coalesce(F.var_samp("rate"), F.lit(0.0)).alias("v"))
+    prior = hosts.agg(F.avg("rate").alias("m"), F.greatest(F.lit(0.0), F.coalesce(F.var_samp("rate") - F.avg(F.col("rate") * (1 - F.col("rate")) / F.col("n")), F.lit(0.0))).alias("v"))
     strength = F.greatest(F.lit(1.0), F.least(F.lit(10000.0), F.coalesce(F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1, F.lit(10000.0))))
     prior = prior.select("m", strength.alias("s"))
-    return hosts.join(F.broadcast(prior)).withColumn("shrunk", (F.col("failures") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))).drop("m", "s")
+    shrunk = hosts.join(F.broadcast(prior)).withColumn("shrunk", (F.col("failures") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s")))
+    spread = lambda mean, strength: HOST_DEVIATIONS * F.sqrt(mean * (1 - mean) / (strength + 1))
+    bad = F.col("shrunk") - spread(F.col("shrunk"), F.col("n") + F.col("s")) > F.least(F.col("m") + spread(F.col("m"), F.col("s")), F.lit(HOST_RATE))
+    return shrunk.withColumn("bad", bad).drop("m", "s")
 
 
 def host_quality(docs: DataFrame, text: str = "text", host: str = "source", drop_text: bool = False) -> DataFrame:
-    """docs with `quality`: the measures, base_failed, soft_failed, host_rate and kept.
+    """docs with `quality`: the measures, base_failed, soft_failed, host_rate, host_bad and kept.
 
     drop_text: leave the text column out of the result; the measures are then
     written once. With the text they are taken twice, once for the hosts and once
@@ -119,7 +127,7 @@ def host_quality(docs: DataFrame, text: str = "text", host: str = "source", drop
     failed = lambda q: let(q, lambda x: x["base_failed"] | x["soft_failed"])  # noqa: E731  let: q isn't computed twice
     # written, so that Spark knows its size when it plans the join: few hosts are sent to all tasks, many are shuffled
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.count_if(failed(F.col("q"))).alias("failures"))
-    rates = written(host_rates(written(hosts, "hosts")).select(F.col("host").alias("of"), "shrunk"), "host-rates")
+    rates = written(host_rates(written(hosts, "hosts")).select(F.col("host").alias("of"), "shrunk", "bad"), "host-rates")
     judged = measured.join(rates, F.col("host").eqNullSafe(F.col("of")), "left")
-    kept = ~F.col("q.base_failed") & ~(F.col("q.soft_failed") & (F.col("shrunk") > HOST_RATE))
-    return judged.select("d.*", F.col("q").withField("host_rate", F.col("shrunk")).withField("kept", kept).alias("quality"))
+    kept = ~F.col("q.base_failed") & ~(F.col("q.soft_failed") & F.col("bad"))
+    return judged.select("d.*", F.col("q").withField("host_rate", F.col("shrunk")).withField("host_bad", F.col("bad")).withField("kept", kept).alias("quality"))

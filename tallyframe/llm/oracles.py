@@ -13,10 +13,11 @@ m as (select w.r, doc_id, source, cast(len(words) as bigint) as n_words, cast(le
   cast(len(lines) as bigint) as n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words from w left join covered c on c.r = w.r),
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols > 0.1 * n_words or n_dup_lines > 0.3 * n_lines or not (word_chars / greatest(n_words, 1) between 2.0 and 12.0) as soft_failed from m),
 h as (select source, count(*) as n, count(*) filter (base_failed or soft_failed) as bad from f group by 1),
-p as (select avg(bad / n) as m, coalesce(var_samp(bad / n), 0.0) as v from h),
+p as (select avg(bad / n) as m, greatest(0.0, coalesce(var_samp(bad / n) - avg((bad / n) * (1 - bad / n) / n), 0.0)) as v from h),
 s as (select m, greatest(1.0, least(10000.0, coalesce(m * (1 - m) / nullif(v, 0) - 1, 10000.0))) as s from p),
-rates as (select source, (bad + m * s) / (n + s) as rate from h cross join s)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft_failed and rate > 0.5) as kept, soft_failed, round(rate, 9) as host_rate from f join rates on f.source is not distinct from rates.source"""
+shrunk as (select source, (bad + m * s) / (n + s) as rate, n, m, s from h cross join s),
+rates as (select source, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + s + 1)) > least(m + 1.645 * sqrt(m * (1 - m) / (s + 1)), 0.5) as host_bad from shrunk)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft_failed and host_bad) as kept, soft_failed, host_bad, round(rate, 9) as host_rate from f join rates on f.source is not distinct from rates.source"""
 
 OP8 = r"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 e as (select *, case when regexp_matches(text, '(?s)\\.') or contains(text, '### ') or contains(text, '</turn>') then replace(replace(replace(replace(text, '\', '\\'), '#', '\#'), ': ', ':\ '), '</turn>', '<\/turn>') else text end as body from t),

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from conftest import SMALL
@@ -68,6 +69,24 @@ def test_host_verdict_needs_a_bad_host_and_a_failure(spark):
     assert not any(kept[i] for i in range(60)) and kept[100] and all(kept[200 + i] for i in range(60)) and kept[300]
 
 
+def test_a_planted_bad_host_loses_documents_in_the_query(spark, tmp_path):
+    """Hosts that fail now and then, and one that fails far more often, though less than half the time."""
+    import duckdb
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source")
+    good, bad = " ".join(f"w{i} word" for i in range(30)), " ".join(f"w{i} ### $$$" for i in range(30))
+    planted = [(10_000 + i, bad if i % 5 < 2 else good, "bad.example") for i in range(200)]
+    planted += [(20_000 + i, bad if i % 20 == 0 else good, f"fine{i % 8}.example") for i in range(800)]
+    docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, source string")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_host_quality(spark, str(tmp_path)).collect()
+    lost = {r.doc_id for r in rows if not r.kept and not r.base_failed}
+    assert lost == {10_000 + i for i in range(200) if i % 5 < 2}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    told = con.sql(f"select doc_id, kept, host_bad from ({queries.ORACLE_SQL['op5_host_quality']})").fetchall()
+    assert sorted(told) == sorted((r.doc_id, r.kept, r.host_bad) for r in rows)
+
+
 # --- line templates
 
 
@@ -211,7 +230,8 @@ def test_substitutions_are_tolerated_and_clean_texts_left(spark):
     clean = [word() for _ in range(400)]
     rows = [(1, " ".join(clean[:100] + item + clean[100:])), (2, " ".join(clean[:30] + changed + clean[30:60])), (3, " ".join(clean)), (4, "so One, two: three four five SIX."), (5, "and the " * 50), (6, None), (7, " ".join(clean[:50] + item[:20]).upper()), (8, " ".join(item[:9] + clean))]
     found = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
-    assert set(found) == {(1, 1), (2, 1), (4, 4), (7, 1)}
+    assert set(found) == {(1, 1), (2, 1), (4, 4), (7, 1), (5, 5)}
+    assert (found[5, 5].doc_start, found[5, 5].length, found[5, 5].hits) == (0, 2, 1)
     assert (found[1, 1].doc_start, found[1, 1].length, found[1, 1].equal) == (100, 40, 40)
     assert found[2, 1].length > 30 and found[2, 1].equal < found[2, 1].length
 
@@ -232,6 +252,81 @@ def test_every_exact_run_of_thirteen_tokens_is_found(spark):
     assert expected <= found and expected
 
 
+def plain_overlaps(docs, items):
+    """By the definition: diagonals with a seed, on each the longest stretch of enough equal tokens, of these the one with the most."""
+    masks = [tuple(i for i, c in enumerate(m) if c == "1") + (len(m),) for m in decontaminate.MASKS]
+    out = {}
+    for i, b in items.items():
+        own = [(*m[:-1], m[-1]) for m in masks]
+        if len(b) < min(m[-1] for m in masks):
+            whole = tuple(range(len(b)))
+            own = [(*whole, len(b))] + [(*whole[:k], *whole[k + 1 :], len(b)) for k in range(len(b)) if len(b) >= 5]
+        for d, a in docs.items():
+            hits = Counter()
+            for *places, size in own:
+                lead, span = places[0], (places[-1] + 1 if len(b) < 8 else size)
+                at = {}
+                for q in range(len(b) - (size if len(b) >= 8 else span) + 1):
+                    at.setdefault(tuple(b[q + k] for k in places), []).append(q)
+                for p in range(-lead if len(b) < 8 else 0, len(a) - span + 1):
+                    for q in at.get(tuple(a[p + k] for k in places), ()):
+                        hits[p - q] += 1
+            best = None
+            for shift, n in hits.items():
+                low, high = max(-shift, 0), min(len(a) - shift, len(b))
+                equal = [b[k] == a[k + shift] for k in range(low, high)]
+                fits = [(y - x, -x) for x in range(len(equal) + 1) for y in range(x, len(equal) + 1) if 10 * sum(equal[x:y]) >= 8 * (y - x)]
+                length, x = max(fits)
+                if length >= min(13, 0.8 * len(b)):
+                    key = (sum(equal[-x : -x + length]), -(low - x + shift), -(low - x))
+                    if best is None or key > best[0]:
+                        best = key, (low - x + shift, low - x, length, key[0], n)
+            if best:
+                out[d, i] = best[1]
+    return out
+
+
+def told(rows):
+    return {(r.doc_id, r.item_id): (r.doc_start, r.item_start, r.length, r.equal, r.hits) for r in rows}
+
+
+def test_overlaps_equal_the_definition(spark):
+    """Both ways: nothing is missed and nothing else is found, on the given tables and on texts that repeat themselves."""
+    tokens = lambda t: re.findall(rb"[^\x00-\x20!-/:-@\[-`{-~]+", (t or "").encode().lower())
+    items = {r.item_id: tokens(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    docs = {d: tokens(t) for d, t in texts(spark).items()}
+    shared = set().union(*items.values())
+    near = {d: t for d, t in docs.items() if sum(x in shared for x in t) >= 8 and len(t) < 1500}
+    found = told(queries.op1_benchmark_decontamination(spark, SMALL).collect())
+    assert {k: v for k, v in found.items() if k[0] in near} == plain_overlaps(near, items)
+    assert {k[0] for k in found} <= {d for d, t in docs.items() if sum(x in shared for x in t) >= 8}
+    rng = random.Random(11)
+    some = lambda n, letters: " ".join(rng.choice(letters) for _ in range(n))
+    items = [(0, "a " * 40), (1, some(60, "ab")), (2, some(50, "abcd")), (3, "a b c"), (4, "x a b c d y"), (5, "a b " * 25)]
+    rows = [(0, "a " * 300), (1, some(250, "ab")), (2, some(200, "abcd")), (3, "a b " * 90), (4, "a a a b " * 40), (5, "b c d y x"), (6, "x a b c z y")]
+    ran = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    split = lambda table: {k: tokens(t) for k, t in table}
+    assert told(ran.collect()) == plain_overlaps(split(rows), split(items))
+
+
+def test_repeated_tokens_take_time_and_memory_by_length():
+    import time
+    import tracemalloc
+
+    np = decontaminate.np
+    item = decontaminate.Index([1], ["a " * 10_000])
+    for text in ("a " * 500_000, "a b " * 250_000, "a " * 250_000 + "c " * 1_000 + "a " * 249_000):
+        w = decontaminate.words(*decontaminate.utf8(decontaminate.pa.array([text])), decontaminate.BREAKS)
+        began = time.time()
+        tracemalloc.start()
+        row = list(item.overlaps(w.hashes, w.first))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.time() - began < 30 and peak < 150e6
+        assert row == [] if "b" in text else row[0][:6] == (0, 0, 0, 0, 10_000, 10_000)
+    assert np.array_equal(item.first, [0, 10_000])
+
+
 def test_the_longest_stretch_of_enough_equal_tokens_is_found():
     rng = random.Random(7)
     for rate in (0.5, 0.7, 0.8, 0.9):
