@@ -130,7 +130,9 @@ class Index:
         pair_row, pair_item = row[begin[mine]], self.group_item[theirs]
         order = np.lexsort((pair_item, pair_row))
         mine, theirs, pair_row, pair_item = mine[order], theirs[order], pair_row[order], pair_item[order]
-        change = np.flatnonzero(np.concatenate([[True], (pair_row[1:] != pair_row[:-1]) | (pair_item[1:] != pair_item[:-1])])) if len(mine) else []
+        if not len(mine):
+            return
+        change = np.flatnonzero(np.concatenate([[True], (pair_row[1:] != pair_row[:-1]) | (pair_item[1:] != pair_item[:-1])]))
         for start, stop in zip(change, [*change[1:], len(mine)], strict=True):
             m, t = mine[start:stop], theirs[start:stop]
             yield int(pair_row[start]), int(pair_item[start]), Places(at, begin[m], count[m], self.at, self.group_begin[t], self.group_count[t])

@@ -75,12 +75,12 @@ def test_a_planted_bad_host_loses_documents_in_the_query(spark, tmp_path):
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source")
     good, bad = " ".join(f"w{i} word" for i in range(30)), " ".join(f"w{i} ### $$$" for i in range(30))
-    planted = [(10_000 + i, bad if i % 5 < 2 else good, "bad.example") for i in range(200)]
-    planted += [(20_000 + i, bad if i % 20 == 0 else good, f"fine{i % 8}.example") for i in range(800)]
+    planted = [(10_000 + i, bad if i % 9 < 4 else good, "bad.example") for i in range(360)]
+    planted += [(20_000 + i, bad if i // 8 % 20 == 0 else good, f"fine{i % 8}.example") for i in range(800)]
     docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, source string")).write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.op5_host_quality(spark, str(tmp_path)).collect()
     lost = {r.doc_id for r in rows if not r.kept and not r.base_failed}
-    assert lost == {10_000 + i for i in range(200) if i % 5 < 2}
+    assert lost == {10_000 + i for i in range(360) if i % 9 < 4}
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     told = con.sql(f"select doc_id, kept, host_bad from ({queries.ORACLE_SQL['op5_host_quality']})").fetchall()
