@@ -7,6 +7,7 @@ that another engine can compute the same.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +62,12 @@ def cdf(x: str) -> Column:
 
 def inverse_cdf(p: str) -> Column:
     return F.expr(inverse_cdf_sql(p))
+
+
+def cdf_of(x: np.ndarray) -> np.ndarray:
+    """The same function of numbers."""
+    a = np.abs(x)
+    near = np.polyval(_HART_TOP, a) / np.polyval(_HART_BOTTOM, a)
+    far = 1 / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
+    low = np.where(a > 37, 0.0, np.exp(-a * a / 2) * np.where(a < 7.07106781186547, near, far))
+    return np.where(x > 0, 1 - low, low)

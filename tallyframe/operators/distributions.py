@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from statistics import NormalDist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from tallyframe.functions import normal
 
 #: Events of a part, about; and masses of a block, when two parts meet.
 PART, BLOCK = 256, 1024
+#: Shifts and roots of a task, when a shared shift is integrated.
+POINTS, ROOTS = 32, 1024
 
 
 def count_pmf(p: Column) -> Column:
@@ -77,18 +84,78 @@ def fold_pmf(rows: DataFrame, fold: str, p: str, part: int = PART) -> DataFrame:
 def mixture_pmf(rows: DataFrame, fold: str, tau: Column, points: int = 2048) -> DataFrame:
     """(fold, k, mass) with one normal shift of deviation tau for all of a fold's events.
 
-    rows: (fold, mu, local). The shift is integrated over `points` equally likely
-    quantiles. Each (fold, quantile, slot of events) is a row of its own. An event without
-    a local deviation is certain once the shift is known (at exactly 0: one half).
+    rows: (fold, mu, local). The shift is integrated over `points` equally likely quantiles; with
+    tau = 0 there is nothing to integrate, and one point gives the exact masses. An event without a local
+    deviation is certain once the shift is known (at exactly 0: one half); one without mu is none.
+
+    The count of n events has n + 1 masses, which are the discrete Fourier transform of its
+    characteristic function at the roots of unity of that order. At a root that function is a product over
+    events, so sums of logarithms, in which equal events count once with their number; it is averaged over
+    the shifts, and transformed back once. A task takes `POINTS` shifts and `ROOTS` roots of a fold; half of
+    the roots are enough, the others are conjugates. Masses are exact to about 1e-15, not in
+    relation to their size.
+    """
+    counted = rows.select(fold, "mu", "local", tau.cast("double").alias("tau")).where("mu is not null").groupBy(fold, "tau", "mu", "local").agg(F.count("*").alias("c"))
+    sizes = counted.groupBy(F.col(fold).alias("_fold")).agg(F.sum("c").alias("n"), F.max(F.when(F.col("tau") == 0, 0).otherwise(1)).alias("spread"))
+    shifts = F.sequence(F.lit(0), F.when(F.col("spread") == 0, 0).otherwise((points - 1) // POINTS))
+    roots = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") + 1) / 2 / ROOTS))
+    units = counted.join(sizes, F.col(fold).eqNullSafe(F.col("_fold"))).drop("_fold").withColumn("shifts", F.explode(shifts)).withColumn("roots", F.explode(roots))
+    kind = rows.schema[fold].dataType.simpleString()
+    summed = units.groupBy(fold, "shifts", "roots").applyInArrow(_characteristic(fold, points), f"`{fold}` {kind}, n long, j long, re double, im double")
+    whole = summed.groupBy(fold, "n", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return whole.groupBy(fold).applyInArrow(_masses(fold), f"`{fold}` {kind}, k int, mass double")
+
+
+def _characteristic(fold: str, points: int) -> Callable[[pa.Table], pa.Table]:
+    def unit(events: pa.Table) -> pa.Table:
+        """A part of the mean over shifts of the characteristic function, at some roots."""
+        mu, local, tau, c = (events.column(x).to_numpy().astype(float) for x in ("mu", "local", "tau", "c"))
+        n, shift, root = (events.column(x)[0].as_py() for x in ("n", "shifts", "roots"))
+        shifted = bool((tau != 0).any())
+        at = np.arange(shift * POINTS, min((shift + 1) * POINTS, points)) if shifted else np.zeros(1)
+        z = np.array([NormalDist().inv_cdf((i + 0.5) / points) for i in at]) if shifted else np.zeros(1)
+        j = np.arange(root * ROOTS, min((root + 1) * ROOTS, (n + 1) // 2 + 1))
+        turn = np.exp(2j * np.pi * j / (n + 1)) - 1
+        mean = mu[:, None] + tau[:, None] * z
+        certain = ~(local > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(certain[:, None], (np.sign(mean) + 1) / 2, normal.cdf_of(mean / np.where(certain, 1.0, local)[:, None]))
+            total = np.zeros((len(z), len(j)), complex)
+            for q, count in zip(p, c, strict=True):
+                term = np.log(1 + q[:, None] * turn)
+                total += count * term if count > 1 else term
+            # a factor of nought makes the product nought: its logarithm has no angle
+            parts = np.where(total.real == -np.inf, 0, np.exp(total)).sum(axis=0) / (points if shifted else 1)
+        size = len(j)
+        return pa.table([events.column(fold).slice(0, 1).combine_chunks().take(pa.array(np.zeros(size, np.int64))), pa.array(np.full(size, n)), pa.array(j), pa.array(parts.real), pa.array(parts.imag)], [fold, "n", "j", "re", "im"])
+
+    return unit
+
+
+def _masses(fold: str) -> Callable[[pa.Table], pa.Table]:
+    def back(values: pa.Table) -> pa.Table:
+        order = np.argsort(values.column("j").to_numpy())
+        function = (values.column("re").to_numpy() - 1j * values.column("im").to_numpy())[order]
+        n = values.column("n")[0].as_py()
+        mass = np.maximum(np.fft.irfft(function[: (n + 1) // 2 + 1], n + 1), 0.0)
+        mass /= mass.sum()
+        return pa.table([values.column(fold).slice(0, 1).combine_chunks().take(pa.array(np.zeros(n + 1, np.int64))), pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(mass)], [fold, "k", "mass"])
+
+    return back
+
+
+def binomial_pmf(rows: DataFrame, fold: str, n: str, p: str) -> DataFrame:
+    """(fold, k, mass): the masses of n independent events of one chance each, for each fold's n and p.
+
+    Logarithms of the ratios of neighbouring masses are summed up from 0. A chance of 0 or 1 leaves one mass.
     """
-    grid = rows.sparkSession.range(points).select(((F.col("id") + 0.5) / points).alias("u")).select("u", normal.inverse_cdf("u").alias("shift"))
-    slots, most = dealt(rows.select(fold, "mu", "local"), fold, ["mu", "local"])
-    shifted = slots.withColumn("tau", tau).join(F.broadcast(grid)).select(fold, "u", "slot", F.posexplode("events").alias("i", "e"), "shift", "tau")
-    mean, local = F.col("e.mu") + F.col("tau") * F.col("shift"), F.col("e.local")
-    z = shifted.select(fold, "u", "slot", mean.alias("mean"), F.when(local > 0, mean / local).alias("z"))
-    p = z.select(fold, "u", "slot", F.coalesce(normal.cdf("z"), (F.signum("mean") + 1) / 2).alias("p"))
-    mass = p.groupBy(fold, "u", "slot").agg(count_pmf(F.collect_list("p")).alias("mass"))
-    return merged(mass, [fold, "u"], most).groupBy(fold, "k").agg((F.sum("mass") / points).alias("mass"))
+    each = rows.select(fold, F.col(n).cast("long").alias("n"), F.col(p).cast("double").alias("p")).where("n >= 0 and p between 0 and 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("k"))
+    ways = F.when(F.col("k") > 0, F.ln((F.col("n") - F.col("k") + 1) / F.col("k"))).otherwise(0.0)
+    upto = Window.partitionBy(fold, "n", "p").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    times = lambda count, chance: F.when(count == 0, 0.0).otherwise(count * F.ln(chance))
+    log = F.sum(ways).over(upto) + times(F.col("k"), F.col("p")) + times(F.col("n") - F.col("k"), 1 - F.col("p"))
+    none = ((F.col("p") == 0) & (F.col("k") > 0)) | ((F.col("p") == 1) & (F.col("k") < F.col("n")))
+    return each.select(fold, "k", F.when(none, 0.0).when(F.col("p").isin(0.0, 1.0), 1.0).otherwise(F.exp(log)).alias("mass"))
 
 
 def moments(pmf: DataFrame, fold: str) -> DataFrame:

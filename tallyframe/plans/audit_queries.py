@@ -9,7 +9,7 @@ from tallyframe.functions import normal
 from tallyframe.operators import audits, folds, tally
 from tallyframe.operators.gates import code_histogram
 from tallyframe.plans import views
-from tallyframe.plans.queries import _PRIOR, _TALLY, DEMOCRATIC, _based, _facts, _lines, _targets, joined, query, r, rounded
+from tallyframe.plans.queries import _PRIOR, _TALLY, DEMOCRATIC, _based, _trained, _facts, _lines, _targets, joined, query, r, rounded
 from tallyframe.plans.views import table
 
 # --- rounds and candidates
@@ -137,7 +137,7 @@ select name, array_to_string(list_filter([case when coalesce(abs(c.mean_d - p.me
   case when c.n <> (select sum(n) from res) then 'denominator' end, case when (select count(*) filter (n <= 0) from res) > 0 then 'empty_cycle' end], lambda x: x is not null), ',') as failure_codes from claims c cross join prior p"""
 )
 def prior_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    based = _based(spark, sf_dir)
+    based = _trained(spark, sf_dir)
     sums = folds.residual_sums(based)
     fitted = folds.balancing_prior(based, DEMOCRATIC).join(sums.agg(F.sum("n").alias("n")))
     shifts = spark.createDataFrame([("as_fitted", 0.0, 0.0, 0), ("drifted_mean", 0.5, 0.0, 0), ("drifted_formula", 0.0, 0.25, 0), ("wrong_denominator", 0.0, 0.0, 1)], "name string, dd double, db double, dn long")

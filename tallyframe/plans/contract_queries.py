@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import contracts, recodes
+from tallyframe.operators import contracts, hash_tree, recodes
 from tallyframe.plans.queries import joined, query, r, rounded
 from tallyframe.plans.views import table
 from tallyframe.sources import synthetic
@@ -144,3 +144,23 @@ def trend_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").select(F.lit("s").alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_suppkey").cast("string").alias("text"))
     return recodes.pivot_cells(cells, {1: "one", 2: "two"}).select(F.col("row").alias("l_orderkey"), "one", "two")
+
+
+_LEAVES = "select 0 as level, row_number() over (order by year(o_orderdate), o_orderkey) - 1 as place, sha256(concat_ws('|', cast(o_orderkey as varchar), o_orderstatus, cast(cast(o_orderdate as date) as varchar))) as digest from orders"
+
+
+@query(
+    f"""with recursive tree as ({_LEAVES} union all select level + 1, place // 2, sha256(digest || other) from (select level, place, digest, lead(digest) over (order by place) as other from tree) where place % 2 = 0 and other is not null),
+sizes as (select cast(year(o_orderdate) as bigint) as batch, cast(sum(count(*)) over (order by year(o_orderdate)) as bigint) as n from orders group by year(o_orderdate)),
+peaks as (select batch, n, k as level, (n >> (k + 1)) * 2 as place from sizes cross join range(40) t(k) where (n >> k) & 1 = 1)
+select batch, n, sha256(cast(n as varchar) || ':' || string_agg(digest, '' order by level desc)) as root from peaks join tree using (level, place) group by 1, 2"""
+)
+def ledger_prefix_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A root for the rows up to the end of each year: what a later append may not change."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("long").alias("batch"), F.to_date("o_orderdate").alias("day"))
+    leaves, n = hash_tree.placed(orders, ["batch", "o_orderkey"], F.concat_ws("|", "o_orderkey", "o_orderstatus", "day"))
+    sizes, total = {}, 0
+    for r in leaves.groupBy("batch").count().orderBy("batch").collect():  # a row for each year
+        total += r["count"]
+        sizes[r["batch"]] = total
+    return hash_tree.roots(hash_tree.grown(leaves, 0, n), sizes)

@@ -181,11 +181,15 @@ targets as (select f.* from facts f join chosen k on f.seat_id = k.seat_id and f
 results as (select cycle, state, 100.0 * (sum(democratic_votes) - sum(republican_votes)) / nullif(sum(democratic_votes) + sum(republican_votes), 0) as margin from targets group by 1, 2),
 based as (select t.*, b.margin as baseline from targets t left join results b on b.cycle + 2 = t.cycle and b.state = t.state),
 res as (select cycle, count(*) as n, avg(two_party_margin - baseline) as mean, avg((two_party_margin - baseline) * (two_party_margin - baseline)) as square from based where two_party_margin is not null and baseline is not null group by 1),
+trained as (select * from based where cycle >= (select min(cycle) + 2 from results)),
+trained_cycles as (select cycle, count(*) filter (baseline is null) as missing, count(two_party_margin) as margins from trained group by 1),
+closed as (select distinct t.cycle as test_cycle from trained_cycles t join trained_cycles b on b.cycle < t.cycle where b.missing > 0 or b.margins = 0),
+complete as (select count(*) filter (missing > 0 or margins = 0) = 0 as ok from trained_cycles),
 pairs as (select a.cycle, b.cycle as test_cycle from (select distinct cycle from targets) a join (select distinct cycle from targets) b on a.cycle < b.cycle),
 fold_pairs as (select * from pairs where test_cycle in (select test_cycle from pairs group by 1 having count(*) >= 2)),
-rpairs as (select a.cycle, b.cycle as test_cycle from res a join res b on a.cycle < b.cycle),
+rpairs as (select a.cycle, b.cycle as test_cycle from res a join trained_cycles b on a.cycle < b.cycle),
 res_pairs as (select * from rpairs where test_cycle in (select test_cycle from rpairs group by 1 having count(*) >= 2)),
-fit as (select test_cycle, count(*) as cycles, cast(sum(n) as bigint) as n, greatest(0.25, sqrt(avg(square))) as sd from res_pairs join res using (cycle) group by 1),
+fit as (select test_cycle, count(*) as cycles, cast(sum(n) as bigint) as n, greatest(0.25, sqrt(avg(square))) as sd from res_pairs join res using (cycle) where test_cycle not in (select test_cycle from closed) group by 1),
 predictions as (select b.cycle, b.state, b.seat_id, b.baseline as mu, f.sd from based b join fit f on f.test_cycle = b.cycle where b.baseline is not null)
 """
 
@@ -209,10 +213,18 @@ def _results(targets: DataFrame) -> DataFrame:
 
 
 def _based(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = _targets(spark, sf_dir)
+    """Targets with their baseline. Targets are written once, so that the lines are read and merged once for all that is made of them."""
+    targets = _targets(spark, sf_dir).checkpoint()
     return folds.with_baseline(targets, _results(targets))
 
 
+def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of the cycles that have a baseline ledger, with their baseline: what models are fitted to."""
+    targets = _targets(spark, sf_dir).checkpoint()
+    results = _results(targets)
+    return folds.covered(folds.with_baseline(targets, results), results)
+
+
 @query(_TALLY + "select cycle::bigint as cycle, seat_id, round_no, stage, special, lines, votes, selected, ambiguity from chosen")
 def round_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = tally.choose_round(tally.rounds(_lines(spark, sf_dir)))
@@ -293,7 +305,7 @@ def lag_baseline_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _TALLY
     + f""", by_cycle as (select cycle, avg(two_party_margin) as mean, avg(two_party_margin * two_party_margin) as square, count(two_party_margin) as margins, count(*) filter (winner_group = 'DEMOCRATIC') / nullif(count(*) filter (winner_group in ('DEMOCRATIC', 'REPUBLICAN')), 0) as wins from targets group by 1),
-f as (select test_cycle, count(*) as cycles, cast(sum(margins) as bigint) as n, avg(mean) as mu, avg(square) as square, avg(wins) as win_rate from fold_pairs join by_cycle using (cycle) group by 1)
+f as (select test_cycle, count(mean) as cycles, cast(sum(margins) as bigint) as n, avg(mean) as mu, avg(square) as square, avg(wins) as win_rate from fold_pairs join by_cycle using (cycle) group by 1)
 select test_cycle::bigint as test_cycle, cycles, n, {r('mu', 'mu')}, {r('win_rate', 'win_rate')}, {r('greatest(0.25, sqrt(greatest(square - mu * mu, 0.0)))', 'sd')} from f"""
 )
 def constant_model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,12 +314,12 @@ def constant_model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TALLY + f"select test_cycle::bigint as test_cycle, cycles, n, {r('sd', 'sd')} from fit")
 def baseline_model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(folds.baseline_fit(_based(spark, sf_dir)))
+    return rounded(folds.baseline_fit(_trained(spark, sf_dir)))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    based = _based(spark, sf_dir)
-    return folds.predict(based, folds.baseline_fit(based))
+    trained = _trained(spark, sf_dir)
+    return folds.predict(trained, folds.baseline_fit(trained))
 
 
 @query(_TALLY + f"select cycle::bigint as cycle, state::bigint as state, seat_id, {r('mu', 'mu')}, {r('sd', 'sd')} from predictions")
@@ -315,37 +327,37 @@ def baseline_model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_predictions(spark, sf_dir))
 
 
-@query(_TALLY + f"select count(*) as cycles, {r('greatest(0.25, stddev_pop(mean))', 'national_sd')}, {r('greatest(0.25, sqrt(greatest(sum(n * (square - mean * mean)) / sum(n), 0.0)))', 'race_sd')}, {r('sqrt(pow(greatest(0.25, stddev_pop(mean)), 2) + pow(greatest(0.25, sqrt(greatest(sum(n * (square - mean * mean)) / sum(n), 0.0))), 2))', 'marginal_sd')} from res")
+@query(_TALLY + f"select count(*) as cycles, {r('greatest(0.25, stddev_pop(mean))', 'national_sd')}, {r('greatest(0.25, sqrt(greatest(sum(n * (square - mean * mean)) / sum(n), 0.0)))', 'race_sd')}, {r('sqrt(pow(greatest(0.25, stddev_pop(mean)), 2) + pow(greatest(0.25, sqrt(greatest(sum(n * (square - mean * mean)) / sum(n), 0.0))), 2))', 'marginal_sd')} from res having (select ok from complete)")
 def error_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(folds.error_structure(_based(spark, sf_dir)))
+    return rounded(folds.error_structure(_trained(spark, sf_dir)))
 
 
 @query(_TALLY + f", s as (select test_cycle, count(*) as cycles, avg(mean * mean) as raw from res_pairs join res using (cycle) group by 1) select test_cycle::bigint as test_cycle, s.cycles, {r('raw', 'raw')}, {r('least(raw, sd * sd)', 'shared')}, {r('sd * sd - least(raw, sd * sd)', 'local')}, raw > sd * sd as clipped from s join fit using (test_cycle)")
 def shared_residual_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(folds.shared_residual(_based(spark, sf_dir)))
+    return rounded(folds.shared_residual(_trained(spark, sf_dir)))
 
 
 DEMOCRATIC = {1995, 1996, 1997, 1998, 1999, 2000}
-_PRIOR = ", prior as (select avg(mean) filter (cycle <= 2000) as mean_d, avg(mean) filter (cycle > 2000) as mean_r, greatest(0.0, coalesce((avg(mean) filter (cycle > 2000) - avg(mean) filter (cycle <= 2000)) / 2, 0.0)) as b from res) "
+_PRIOR = ", prior as (select avg(mean) filter (cycle <= 2000) as mean_d, avg(mean) filter (cycle > 2000) as mean_r, greatest(0.0, coalesce((avg(mean) filter (cycle > 2000) - avg(mean) filter (cycle <= 2000)) / 2, 0.0)) as b from res having (select ok from complete)) "
 
 
 @query(_TALLY + _PRIOR + f"select {r('mean_d', 'mean_d')}, {r('mean_r', 'mean_r')}, {r('b', 'b')} from prior")
 def balancing_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(folds.balancing_prior(_based(spark, sf_dir), DEMOCRATIC))
+    return rounded(folds.balancing_prior(_trained(spark, sf_dir), DEMOCRATIC))
 
 
 @query(_TALLY + _PRIOR + f"select cycle::bigint as cycle, state::bigint as state, seat_id, {r('mu - (case when cycle <= 2000 then 1.0 else -1.0 end) * b', 'mu')}, {r('sd', 'sd')} from predictions cross join prior")
 def balancing_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    based = _based(spark, sf_dir)
-    predicted = folds.predict(based, folds.baseline_fit(based))
-    return rounded(folds.balanced(predicted, folds.balancing_prior(based, DEMOCRATIC), DEMOCRATIC))
+    trained = _trained(spark, sf_dir)
+    predicted = folds.predict(trained, folds.baseline_fit(trained))
+    return rounded(folds.balanced(predicted, folds.balancing_prior(trained, DEMOCRATIC), DEMOCRATIC))
 
 
 @query(
     _TALLY
     + f""", env as (select cast(year(o_orderdate) as int) as cycle, avg(o_totalprice) / 1000 as e from orders group by 1), j as (select n, mean, e from res join env using (cycle)), m as (select avg(e) as centre, max(e) - min(e) as rng from j)
-select count(*) as cycles, {r('min(centre)', 'mean_e')}, {r('case when min(rng) < 1.0 then 0.0 else sum(n * (e - centre) * mean) / nullif(sum(n * (e - centre) * (e - centre)), 0) end', 'c')} from j cross join m"""
+select count(*) as cycles, {r('min(centre)', 'mean_e')}, {r('case when min(rng) < 1.0 then 0.0 else sum(n * (e - centre) * mean) / nullif(sum(n * (e - centre) * (e - centre)), 0) end', 'c')} from j cross join m having (select ok from complete)"""
 )
 def env_pass_through_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     environment = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("cycle")).agg((F.avg("o_totalprice") / 1000).alias("e"))
-    return rounded(folds.pass_through(_based(spark, sf_dir), environment))
+    return rounded(folds.pass_through(_trained(spark, sf_dir), environment))

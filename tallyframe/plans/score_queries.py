@@ -152,6 +152,16 @@ def mixture_count_pmf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dist.mixture_pmf(rows, "fold", F.lit(3.0)))
 
 
+@query(
+    _SCORED
+    + f""", f as (select fold, count(*) as n, round(avg(p), 12) as p from scored group by 1), g as (select fold, n, p, unnest(range(0, n + 1))::bigint as k from f)
+select fold, k, {r('exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))', 'mass')} from g"""
+)
+def binomial_count_pmf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = _scored(spark, sf_dir).groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("p"), 12).alias("p"))
+    return rounded(dist.binomial_pmf(means, "fold", "n", "p"))
+
+
 _BLOCKS = """, b as (select lang, avg(pow(p - outcome, 2)) as v from (select s.*, d.lang from scored s join documents d using (doc_id)) group by 1),
 v as (select list(v order by v) as v from b), idx as (select unnest(range(1, 5)) as i),
 draws as (select (v[a.i] + v[b.i] + v[c.i] + v[d.i]) / 4 as m from v cross join idx a cross join idx b cross join idx c cross join idx d)

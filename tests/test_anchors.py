@@ -179,3 +179,88 @@ def test_plans_push_down_and_prune(spark):
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,P)" in plan and "o_totalprice" not in plan.split("Physical Plan")[1]
     plan = views.county_rows(spark, SMALL)._jdf.queryExecution().toString().split("Physical Plan")[1]
     assert "l_extendedprice" not in plan
+
+
+def plain_mixture(events, tau, points):
+    """Masses by the definition, one shift after the other."""
+    nd, out = NormalDist(), [0.0] * (len(events) + 1)
+    for i in range(points):
+        shift, mass = tau * nd.inv_cdf((i + 0.5) / points), [1.0]
+        for mu, local in events:
+            p = nd.cdf((mu + shift) / local) if local else 0.5 if mu + shift == 0 else float(mu + shift > 0)
+            mass = [(mass[k] * (1 - p) if k < len(mass) else 0.0) + (mass[k - 1] * p if k else 0.0) for k in range(len(mass) + 1)]
+        out = [a + b / points for a, b in zip(out, mass, strict=True)]
+    return out
+
+
+@pytest.mark.parametrize("tau", [0.0, 3.0])
+def test_mixtures_equal_the_definition(spark, monkeypatch, tau):
+    monkeypatch.setattr(dist, "ROOTS", 8)
+    folds_ = {"a": [(0.5, 2.0)] * 9 + [(-1.0, 1.0), (2.0, None), (0.0, 0.0)], "b": [(0.0, None)] * 3, None: [(1.0, 4.0)], "c": [(k / 5 - 3, 1.0 + k % 3) for k in range(33)]}
+    rows = [(f, mu, local) for f, v in folds_.items() for mu, local in v] + [("a", None, 1.0)]
+    pmf = dist.mixture_pmf(spark.createDataFrame(rows, "f string, mu double, local double").repartition(3), "f", F.lit(tau), points=96)
+    found = {}
+    for r in pmf.orderBy("k").collect():
+        found.setdefault(r.f, []).append(r.mass)
+    assert set(found) == set(folds_)
+    for f, events in folds_.items():
+        assert found[f] == pytest.approx(plain_mixture(events, tau, 96), abs=1e-13)
+
+
+def test_a_large_fold_is_split_over_tasks(spark):
+    """20,000 events: the mean and variance of the count, and no group of more than a block of shifts and roots."""
+    rows = spark.range(20_000).select(F.lit("f").alias("f"), ((F.col("id") % 40) / 10 - 2).alias("mu"), F.lit(2.0).alias("local"))
+    pmf = dist.mixture_pmf(rows, "f", F.lit(0.5), points=64)
+    m = one(dist.moments(pmf, "f"))
+    nd = NormalDist()
+    shifts = [0.5 * nd.inv_cdf((i + 0.5) / 64) for i in range(64)]
+    ps = [[nd.cdf((k / 10 - 2 + s) / 2) for k in range(40)] for s in shifts]
+    means, inner = [500 * sum(p) for p in ps], [500 * sum(x * (1 - x) for x in p) for p in ps]
+    mean = sum(means) / 64
+    assert m["n"] == 20_000 and m["mean"] == pytest.approx(mean, rel=1e-9)
+    assert m["variance"] == pytest.approx(sum(inner) / 64 + sum((x - mean) ** 2 for x in means) / 64, rel=1e-6)
+
+
+def test_binomial_masses(spark):
+    from math import comb
+
+    rows = spark.createDataFrame([("a", 435, 0.5), ("b", 3, 0.0), ("c", 3, 1.0), ("d", 0, 0.3), ("e", 20, 0.1)], "f string, n int, p double")
+    found = {(r.f, r.k): r.mass for r in dist.binomial_pmf(rows, "f", "n", "p").collect()}
+    assert found["a", 217] == pytest.approx(comb(435, 217) / 2**435, rel=1e-11)
+    assert [found["b", k] for k in range(4)] == [1, 0, 0, 0] and [found["c", k] for k in range(4)] == [0, 0, 0, 1] and found["d", 0] == 1
+    assert found["e", 2] == pytest.approx(comb(20, 2) * 0.1**2 * 0.9**18)
+
+
+TRAINED = "cycle int, state string, seat_id string, two_party_margin double, baseline double, winner_group string"
+
+
+def trained(spark, change=None):
+    rows = [(c, s, f"{c}{s}", float((c + ord(s)) % 9), 2.0, "DEMOCRATIC") for c in range(2000, 2012, 2) for s in "ABC"]
+    return spark.createDataFrame([change(r) if change else r for r in rows], TRAINED)
+
+
+def test_closed_folds_have_no_fit_prediction_or_score(spark):
+    """A row of 2006 without a baseline closes every fold that trains on it, and fits over all cycles."""
+    whole = trained(spark)
+    holed = trained(spark, lambda r: (*r[:4], None, r[5]) if r[:2] == (2006, "B") else r)
+    tests = lambda df: {r.test_cycle for r in df.collect()}
+    assert tests(folds.baseline_fit(whole)) == {2004, 2006, 2008, 2010} and tests(folds.baseline_fit(holed)) == {2004, 2006}
+    assert tests(folds.shared_residual(whole)) == {2004, 2006, 2008, 2010} and tests(folds.shared_residual(holed)) == {2004, 2006}
+    assert {r.cycle for r in folds.predict(holed, folds.baseline_fit(holed)).collect()} == {2004, 2006}
+    environment = spark.createDataFrame([(c, float(c % 7)) for c in range(2000, 2012, 2)], "cycle int, e double")
+    for fit in (folds.error_structure, lambda d: folds.balancing_prior(d, {2000, 2004}), lambda d: folds.pass_through(d, environment)):
+        assert fit(whole).count() == 1 and fit(holed).count() == 0
+    # the hole in the last cycle only: no fold trains on it
+    late = trained(spark, lambda r: (*r[:4], None, r[5]) if r[:2] == (2010, "B") else r)
+    assert tests(folds.baseline_fit(late)) == {2004, 2006, 2008, 2010} and folds.error_structure(late).count() == 0
+
+
+def test_a_cycle_without_margins_closes_folds_and_is_not_counted(spark):
+    empty = trained(spark, lambda r: (*r[:3], None, *r[4:]) if r[0] == 2004 else r)
+    assert {r.test_cycle for r in folds.baseline_fit(empty).collect()} == {2004}
+    assert {r.test_cycle: r.cycles for r in folds.constant_fit(empty).collect()} == {2004: 2, 2006: 2, 2008: 3, 2010: 4}
+
+
+def test_the_ledger_covers_from_its_first_cycle_on(spark):
+    results = spark.createDataFrame([(2002, "A", 1.0), (2004, "A", 2.0)], "cycle int, state string, margin double")
+    assert {r.cycle for r in folds.covered(trained(spark), results).collect()} == {2004, 2006, 2008, 2010}
