@@ -90,7 +90,7 @@ def mixture_pmf(rows: DataFrame, fold: str, tau: Column, points: int = 2048) ->
 
     The count of n events has n + 1 masses, which are the discrete Fourier transform of its
     characteristic function at the roots of unity of that order. At a root that function is a product over
-    events, so sums of logarithms, in which equal events count once with their number; it is averaged over
+    events, in which equal events are one factor to the power of their number; it is averaged over
     the shifts, and transformed back once. A task takes `POINTS` shifts and `ROOTS` roots of a fold; half of
     the roots are enough, the others are conjugates. Masses are exact to about 1e-15, not in
     relation to their size.
@@ -118,14 +118,18 @@ def _characteristic(fold: str, points: int) -> Callable[[pa.Table], pa.Table]:
         turn = np.exp(2j * np.pi * j / (n + 1)) - 1
         mean = mu[:, None] + tau[:, None] * z
         certain = ~(local > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
+        with np.errstate(under="ignore"):
             p = np.where(certain[:, None], (np.sign(mean) + 1) / 2, normal.cdf_of(mean / np.where(certain, 1.0, local)[:, None]))
-            total = np.zeros((len(z), len(j)), complex)
-            for q, count in zip(p, c, strict=True):
-                term = np.log(1 + q[:, None] * turn)
-                total += count * term if count > 1 else term
-            # a factor of nought makes the product nought: its logarithm has no angle
-            parts = np.where(total.real == -np.inf, 0, np.exp(total)).sum(axis=0) / (points if shifted else 1)
+            product = np.ones((len(z), len(j)), complex)
+            for q, count in zip(p, c.astype(np.int64).tolist(), strict=True):
+                factor = 1 + q[:, None] * turn
+                while count:
+                    if count & 1:
+                        product *= factor
+                    count >>= 1
+                    if count:
+                        factor *= factor
+            parts = product.sum(axis=0) / (points if shifted else 1)
         size = len(j)
         return pa.table([events.column(fold).slice(0, 1).combine_chunks().take(pa.array(np.zeros(size, np.int64))), pa.array(np.full(size, n)), pa.array(j), pa.array(parts.real), pa.array(parts.imag)], [fold, "n", "j", "re", "im"])
 
