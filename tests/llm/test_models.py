@@ -403,3 +403,85 @@ def test_url_scores_are_those_of_a_plain_regression(spark):
     for url, _, p in _judged_urls(spark, url_filter.model(spark.createDataFrame(train, "url string, blocked int")), other):
         own = 1 / (1 + np.exp(-((counts(url) * scale) @ (x.T @ a) + b)))
         assert abs(own - p) < 1e-3, (url, own, p)
+
+
+# --- pages with comments, headings and broken markup
+
+
+def _words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+def _layout(kind, i):
+    """(page, its article): comments longer than the article, marked up in different ways."""
+    rng = random.Random(i * 7)
+    title, paragraphs = _words(rng, 5), [_words(rng, 25) + "." for _ in range(i % 3 + 2)]
+    body = f"<h1>{title}</h1><h2>Introduction</h2><p>{paragraphs[0]}</p>" + "".join(f"<p>{p}</p>" for p in paragraphs[1:]) + "<h2>Conclusion</h2><p>end of " + title + ".</p>"
+    want = "\n\n".join([title, "Introduction", *paragraphs, "Conclusion", f"end of {title}."])
+    comments = [(_words(rng, 2), _words(rng, 60)) for _ in range(i % 4 + 3)]
+    nav, foot = "<div>Home News Sport</div>", "<div>About us</div>"
+    if kind == "articles":
+        inner = f"<main><article>{body}</article><section><h2>Comments</h2>" + "".join(f"<article><p>{a}</p><p>{t}</p></article>" for a, t in comments) + "</section></main>"
+    elif kind == "nested":
+        inner = f"<article>{body}" + "".join(f"<article><p>{a}</p><p>{t}</p></article>" for a, t in comments) + "</article>"
+    else:
+        inner = f"<div>{body}</div><div><h3>Said by readers</h3>" + "".join(f"<div><b>{a}</b><p>{t}</p></div>" for a, t in comments) + "</div>"
+    return f"<body>{nav}{inner}{foot}</body>", want
+
+
+@pytest.mark.parametrize("kind", ["articles", "nested", "divs"])
+def test_comments_are_left_out_and_headings_stay(spark, kind):
+    pages = {i: _layout(kind, i) for i in range(10)}
+    rows = [(i, f"http://h.org/{i}", source) for i, (source, _) in pages.items()]
+    found = {r.page_id: r.main_text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: want for i, (_, want) in pages.items()}
+    for source, want in pages.values():  # looked at alone
+        assert wrapper.main_text(source) == want
+
+
+def test_a_layout_tells_what_a_page_alone_does_not(spark):
+    """A menu longer than the text, and nothing that names it: only its being in all pages shows it."""
+    menu = "".join(f"<p>Section {k} of this site has many things to read and see.</p>" for k in range(12))
+    page = lambda i: f"<body><div>{menu}</div><div><p>{_words(random.Random(i), 30)}.</p></div></body>"
+    rows = [(i, f"http://m.org/{i}", page(i)) for i in range(8)]
+    found = {r.page_id: r.main_text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert found[i] == _words(random.Random(i), 30) + "." and wrapper.main_text(page(i)) != found[i]
+
+
+def test_all_articles_beside_each_other_stay():
+    page = "<main>" + "".join(f"<article><h2>Part {k}</h2><p>{_words(random.Random(k), 20 + k)}.</p></article>" for k in range(4)) + "</main>"
+    assert all(f"Part {k}" in wrapper.main_text(page) for k in range(4))
+
+
+def test_sections_with_headings_and_questions_stay():
+    page = "<article><h1>T</h1><p>All about it.</p>" + "".join(f"<section><h2>Part {k}</h2><p>one</p><p>two {k}.</p></section>" for k in range(3)) + "".join(f"<div><p>Why {k}?</p><p>Because.</p></div>" for k in range(3)) + "</article>"
+    text = wrapper.main_text(page)
+    assert all(f"two {k}." in text and f"Why {k}?" in text for k in range(3))
+
+
+def test_broken_markup():
+    assert wrapper.main_text('<article><p title="x>one</p><p>two</p></article>') == "one\n\ntwo"
+    assert wrapper.main_text("<article><p>it's <a href=o'clock>here</a> isn't it</p></article>") == "it's here isn't it"
+    assert wrapper.main_text('<article><p data-x="<p>no</p>">yes</p><p <b>bold</b></p></article>') == "yes\n\nbold"
+    assert wrapper.main_text("<article><p>a < b and c <3 d</p></article>") == "a < b and c <3 d"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "</script ", "<!", '<a "', "<a href='", "<p><", "<script>", "<!-- x "])
+def test_megabytes_of_broken_tags_take_seconds(piece):
+    import time
+
+    began = time.time()
+    wrapper.main_text("<article><p>text</p>" + piece * ((1 << 20) // len(piece)))
+    assert time.time() - began < 20
+
+
+def test_ten_thousand_different_rows_are_aligned_in_seconds():
+    import time
+
+    rng = random.Random(8)
+    row = lambda: "<div>" + "".join(f"<{rng.choice(['p', 'ul', 'h3', 'div'])}>x</{rng.choice(['p', 'ul'])}>" for _ in range(rng.randint(3, 14))) + "</div>"
+    a, b = ("<body>" + "".join(row() for _ in range(10_000)) for _ in "ab")
+    began = time.time()
+    assert len(list(wrapper._counted(wrapper.Page(a), wrapper.Wrapper(b)))) > 10_000
+    assert time.time() - began < 120
