@@ -10,6 +10,7 @@ from tallyframe.operators import gates, serving
 from tallyframe.plans import views
 from tallyframe.plans.queries import joined, query, r, rounded
 from tallyframe.plans.views import table
+from tallyframe.sources import anchors
 
 WINDOWS = [("early", "2024-01-01", "2024-01-10"), ("late", "2024-01-15", "2024-01-25"), ("none", "2025-01-01", "2025-02-01")]
 _WINDOWS = "w as (select * from (values ('early', date '2024-01-01', date '2024-01-10'), ('late', date '2024-01-15', date '2024-01-25'), ('none', date '2025-01-01', date '2025-02-01')) t(name, a, b))"
@@ -119,7 +120,8 @@ def header_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select page_id, array_to_string(regexp_extract_all(html, '<a href="([^"]*)">', 1), ',') as hrefs from pages""")
 def anchor_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1)).alias("hrefs")).select("page_id", joined("hrefs"))
+    pages = anchors.page_anchors(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", F.transform("anchors.items", lambda a: a["href"]).alias("hrefs")).select("page_id", joined("hrefs"))
 
 
 @query("""with d as (select doc_id, 'covers ' || (1990 + doc_id % 30) || '-' || (2000 + doc_id % 20) || ' and ' || (1950 + doc_id % 60) || case when doc_id % 3 = 0 then ' for most states' else '' end as claim from documents)
