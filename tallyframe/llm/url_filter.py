@@ -3,8 +3,8 @@
 The model reads the character 3-grams to 5-grams of host and path (in lower case,
 with the parts' ends marked), hashed into `FEATURES` counts, and is fitted by
 Spark's ML library on a small table of labelled URLs, a parameter; the one made
-by labelled_urls() is used unless another is given. It knows the words listed
-below, so other words are judged by what they share with them. Of a longer table `MAX_LABELLED` rows at most
+by labelled_urls() is used unless another is given. It is made of the words listed
+below, so other words are judged by the n-grams that they share with them. Of a longer table `MAX_LABELLED` rows at most
 are read (the first by URL), as the fit is meant for a labelled sample.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case.
@@ -12,7 +12,7 @@ Path: from there up to `?`, `#` or the end. A null URL, or one without `://`, ha
 an empty host and path; it fits no rule and the model judges it by its empty
 n-grams. A rule holds for its host and all subdomains if the path starts with
 the rule's; the longest wins. Repeated rows are judged again. Other columns are
-carried along. An empty table gives no rows.
+carried along, but for `judged`, which the result's own replaces. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ MAX_LABELLED = 10_000
 BLOCK_ABOVE = 0.5
 PENALTY = 0.001
 #: Size (of each class) and seed of the table of labelled URLs.
-EACH, SEED = 400, 1
+EACH, SEED = 1000, 1
 
 #: (verdict, host, path), the fixed rules of the filter.
 RULES = (
@@ -45,25 +45,33 @@ RULES = (
 
 #: What the labelled URLs are made of: words that mark a URL to be blocked, everyday words, and parts of names that mark nothing.
 BLOCK_WORDS = """
-casino poker betting jackpot roulette slots pills viagra pharma-discount payday cheap-loans adult porn xxx escort
-singles-chat warez crack keygen torrent replica-watches counterfeit spam link-farm popunder adserver clickbait malware phishing get-rich
+casino casinos casino-bonus free-spins poker poker-room betting live-bets jackpot jackpots roulette blackjack slots slot-machines bingo-cash
+pills pill-store viagra tramadol pharma-discount cheap-meds online-meds steroids weightloss-pills miracle-diet payday payday-loans cheap-loans quick-loans instant-credit
+adult adult-cams live-cams porn porn-tube xxx xxx-videos escort escorts hookup hookups singles-chat sex-chat hot-dating
+warez crack cracked keygen serial-keys torrent torrents pirate-movies replica-watches replicas fake-watches counterfeit fake-bags
+spam spam-mail link-farm cheap-backlinks popunder pop-ads adserver ad-clicks clickbait malware trojan phishing botnet hack-tool cheats
+get-rich quick-money easy-money make-money-fast forex-signals crypto-giveaway free-bitcoin
 """.split()
 ALLOW_WORDS = """
-news library museum school university garden weather science history music recipes travel health sports books
-city-council theatre wiki research railway gallery parish climate astronomy cooking hiking poetry orchestra archive observatory
+news newsroom library libraries museum museums school schools university college garden gardening gardens weather forecast science sciences physics chemistry biology
+history archaeology music concerts recipes cooking baking travel railway railways trains timetable health hospital nursing sports football cycling hiking climbing
+books bookshop poetry literature city-council council parish theatre opera orchestra choir wiki research gallery galleries paintings climate astronomy telescope observatory
+archive archives cinema documentary nature birds wildlife farming village community volunteers charity teachers students lectures maths geology maps photography crafts knitting carpentry
 """.split()
 NAME_PARTS = "ba bel cor dan el fen gar hol in jar kem lo mar nor or pel quin ros sal tor ul ven wes yar zel".split()
 ENDINGS = "com net org info example".split()
 SECTIONS = "en fr de es blog page item a view".split()
 
 
-def example_urls(each: int, seed: int) -> list[tuple[str, int]]:
+def example_urls(each: int, seed: int, held_out: bool | None = None) -> list[tuple[str, int]]:
     """`each` URLs to be blocked (1) and as many others (0), made by seed.
 
     A word of its class stands in the host, the path or both; a fourth of the others have none.
+    held_out: only every fifth word, or only the others (to tell how words that a model hasn't seen are judged).
     """
     rng, out = random.Random(seed), []
-    for words, blocked in ((BLOCK_WORDS, 1), (ALLOW_WORDS, 0)):
+    for all_words, blocked in ((BLOCK_WORDS, 1), (ALLOW_WORDS, 0)):
+        words = [w for i, w in enumerate(all_words) if held_out is None or (i % 5 == 0) == held_out]
         for i in range(each):
             place = i % (3 if blocked else 4)
             name = "".join(rng.choice(NAME_PARTS) for _ in range(rng.randint(2, 3)))
@@ -109,7 +117,7 @@ def labelled_urls(spark: SparkSession, each: int = EACH, seed: int = SEED) -> Da
 def judge(pages: DataFrame, url: str = "url", labelled: DataFrame | None = None) -> DataFrame:
     """pages with `judged`: a struct of host, path, rule, blocked_probability and verdict."""
     fitted = model(labelled if labelled is not None else labelled_urls(pages.sparkSession))
-    kept = pages.select(F.struct("*").alias("page"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    kept = pages.select(F.struct(*[c for c in pages.columns if c != "judged"]).alias("page"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     rule, verdict = _rule(F.col("host"), F.col("path"))
     scored = fitted.transform(kept).withColumn("p", vector_to_array("probability")[1])
     learned = F.when(F.col("p") > BLOCK_ABOVE, "block").otherwise("allow")

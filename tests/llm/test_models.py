@@ -360,6 +360,23 @@ def test_held_out_urls(spark):
     assert precision >= 0.9 and recall >= 0.9
 
 
+def test_held_out_words(spark):
+    """Fitted without every fifth word, judged on URLs made of these words only."""
+    rows = url_filter.example_urls(600, 5, held_out=True)
+    fitted = url_filter.model(spark.createDataFrame(url_filter.example_urls(1500, 3, held_out=False), "url string, blocked int"))
+    judged = _judged_urls(spark, fitted, rows)
+    caught, wrong = sum(b for _, b, p in judged if p > 0.5), sum(1 - b for _, b, p in judged if p > 0.5)
+    precision, recall = caught / (caught + wrong), caught / sum(b for _, b, _ in judged)
+    print("unseen words: precision", precision, "recall", recall)
+    assert precision >= 0.6 and recall >= 0.4
+
+
+def test_an_own_column_is_replaced_and_long_urls_are_judged(spark):
+    rows = [("http://x.com/" + "a/" * 500_000, 5), ("http://casino-poker.com/slots", 6)]
+    out = {len(r.url): r for r in url_filter.judge(spark.createDataFrame(rows, "url string, judged int")).collect()}
+    assert out[1_000_013].judged.path == "/" + "a/" * 500_000 and out[29].judged.verdict == "block"
+
+
 def _murmur3(data: bytes, seed: int = 42) -> int:
     turn = lambda x, r: ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
     mixed = lambda k: turn(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
