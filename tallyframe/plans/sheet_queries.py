@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text, times
-from tallyframe.operators import layouts, recodes
+from tallyframe.operators import layouts, recodes, shapes
 from tallyframe.plans.queries import joined, query, rounded
 from tallyframe.plans.views import table
+from tallyframe.sources import specs
 
 ROLES = {"STATE": "state", "TOTAL VOTES": "total", "ELECTORAL VOTES": "electoral"}
 LABELS = [" state ", "Total  Votes", "Ann", "Bob", "electoral votes"]
@@ -102,3 +103,55 @@ def text_recodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.concat_ws("/", F.col("n_chars") % 14, F.col("n_chars") % 31, 1990 + F.col("n_chars") % 30)
     letters = F.upper(F.substring(F.regexp_replace("t", "[^A-Za-z]", ""), 1, 2))
     return docs.select("doc_id", F.when(letters != "", text.sheet_column(letters).cast("long")).alias("sheet_column"), times.month_day_year(day).alias("day"))
+
+
+#: A record for each document: its feature, margin and horizon in one of several shapes.
+FEATURES = ["1.5", '{"value":2}', '"x"', "true", '{"value":null}', "{}", "null", "-3"]
+MARGINS = ["4.25", "null", '"4"', "false", "-1e1"]
+_RECORD = (
+    """replace(replace(replace(replace('{"race_id":"R@k","cycle":@c,"feature_values":{"m":@f},"two_party_margin":@t,"actual_result":{"democratic_margin":@c.5}}', '@k', cast(doc_id as varchar)), '@c', cast(n_chars % 40 as varchar)), '@f', case doc_id % 8 """
+    + " ".join(f"when {i} then '{f}'" for i, f in enumerate(FEATURES))
+    + " end), '@t', case doc_id % 5 "
+    + " ".join(f"when {i} then '{m}'" for i, m in enumerate(MARGINS))
+    + " end)"
+)
+
+
+@query(
+    f"""with d as (select doc_id, {_RECORD} as j from documents), e as (select doc_id, j, case when json_type(j, '$.feature_values.m') = 'OBJECT' then json_extract(j, '$.feature_values.m.value') else json_extract(j, '$.feature_values.m') end as f, json_extract(j, '$.two_party_margin') as t from d)
+select doc_id, json_extract_string(j, '$.race_id') as race_id, cast(json_extract_string(j, '$.cycle') as bigint) as cycle, '' as horizon, case when json_type(f) in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast(json_extract_string(f, '$') as double) end as feature,
+  case when json_type(t) in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast(json_extract_string(t, '$') as double) end as margin, coalesce(json_type(t) in ('VARCHAR', 'BOOLEAN'), false) as broken, cast(json_extract_string(j, '$.actual_result.democratic_margin') as double) as actual from e"""
+)
+def race_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+    text_ = F.lit('{"race_id":"R@k","cycle":@c,"feature_values":{"m":@f},"two_party_margin":@t,"actual_result":{"democratic_margin":@c.5}}')
+    for mark, value in (("@k", F.col("doc_id").cast("string")), ("@c", (F.col("n_chars") % 40).cast("string")), ("@f", pick(FEATURES)), ("@t", pick(MARGINS))):
+        text_ = F.replace(text_, F.lit(mark), value)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.try_parse_json(text_).alias("v"))
+    v = F.col("v")
+    found = rows.select("doc_id", shapes.race_key(v).alias("key"), shapes.feature_value(v, "m").alias("feature"), shapes.finite_margin(v).alias("margin"), shapes.actual_margin(v).alias("actual"))
+    return rounded(found.select("doc_id", "key.*", "feature", "margin.*", "actual"))
+
+
+_YEARS = range(1995, 2001)
+
+
+@query(
+    f"""with o as (select year(o_orderdate) as year, case when left(o_orderpriority, 1) in ('1', '2') then 'rent' when left(o_orderpriority, 1) in ('3', '4') then 'own' end as tenure, o_totalprice / 1000 as w, o_orderstatus <> 'P' as matched, o_orderstatus = 'F' as voted, o_custkey from orders where year(o_orderdate) between 1995 and 2000)
+select cast(o.year as bigint) as year, o.tenure, count(*) as sample_n, count(*) filter (matched) as matched_n, count(*) filter (voted) as voted_n, round(sum(w), 4) as total_w, round(sum(w * w), 4) as sum_w2, round(sum(case when matched then w else 0.0 end), 4) as matched_w,
+  case when o.year > 1995 then count(*) filter (o_custkey % 3 > 0) end as registered_n from o where tenure is not null and w > 0 group by o.year, o.tenure"""
+)
+def annual_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as yearly files with other column names each; the first year has no registration."""
+    orders = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderpriority", "o_totalprice", "o_orderstatus", "o_custkey")
+    frames = {y: orders.where(F.year("o_orderdate") == y).withColumnsRenamed({"o_totalprice": f"weight_{y}", "o_orderstatus": f"status_{y}"}) for y in _YEARS}
+    by_year = {y: specs.Spec({"priority": "o_orderpriority", "w": f"weight_{y}", "status": f"status_{y}", "registration": "o_custkey" if y > 1995 else None}) for y in _YEARS}
+    rows = specs.by_spec(frames, by_year).withColumn("w", F.col("w") / 1000)
+    first = F.substring("priority", 1, 1)
+    rows = rows.withColumn("tenure", F.when(first.isin("1", "2"), "rent").when(first.isin("3", "4"), "own")).where("tenure is not null and w > 0")
+    matched, voted = F.col("status") != "P", F.col("status") == "F"
+    out = rows.groupBy("year", "tenure").agg(
+        F.count("*").alias("sample_n"), F.count_if(matched).alias("matched_n"), F.count_if(voted).alias("voted_n"), F.round(F.sum("w"), 4).alias("total_w"), F.round(F.sum(F.col("w") * F.col("w")), 4).alias("sum_w2"),
+        F.round(F.sum(F.when(matched, F.col("w")).otherwise(0.0)), 4).alias("matched_w"), F.count_if(F.col("registration") % 3 > 0).alias("registered_n"),
+    )
+    return rounded(out.withColumn("registered_n", F.when(F.col("year") > 1995, F.col("registered_n"))))

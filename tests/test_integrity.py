@@ -8,8 +8,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import layouts
-from tallyframe.sources import anchors, chunks
+from tallyframe.operators import layouts, shapes
+from tallyframe.sources import anchors, chunks, specs
 
 
 def test_crcs_of_ranges_join():
@@ -103,3 +103,31 @@ def test_party_labels_and_drift(spark):
     assert [r[0] for r in rows.select(layouts.party_label(F.col("c"), {"ANN": "D", "BOB": "R"}, F.col("w"))).collect()] == ["D", "R", "NONE_OF_THESE", "W", "W"]
     found = {r.field: r.drift for r in layouts.drifted(spark.createDataFrame([(5, "x", None)], "n int, s string, z string"), {"n": 5, "s": "y", "z": 1, "gone": 2}).collect()}
     assert found == {"n": False, "s": True, "z": True, "gone": True}
+
+
+def test_years_are_read_by_specification(spark, tmp_path):
+    for year, names in ((2016, ("a", "w16")), (2018, ("b", "w18"))):
+        spark.range(10).selectExpr(f"id as {names[0]}", f"id * 2.0 as {names[1]}", "id as other").write.parquet(f"{tmp_path}/{year}")
+    frames = {y: spark.read.parquet(f"{tmp_path}/{y}") for y in (2016, 2018)}
+    table = {2016: specs.Spec({"k": "a", "w": "w16", "extra": None}, rows=10), 2018: specs.Spec({"k": "b", "w": "w18", "extra": "other"}, where="b > 3", rows=11)}
+    rows = specs.by_spec(frames, table)
+    assert rows.columns == ["year", "k", "w", "extra"] and rows.groupBy("year").count().orderBy("year").collect() == [(2016, 10), (2018, 6)]
+    assert {r.extra for r in rows.where("year = 2016").collect()} == {None}
+    plan = rows.where("year = 2018 and k > 7").select("w")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "w18" in plan and "other" not in plan.split("ReadSchema")[1] and "GreaterThan(b,7)" in plan
+    assert {(r.year, r.holds) for r in specs.row_counts(frames, table).collect()} == {(2016, True), (2018, False)}
+    with pytest.raises(ValueError, match="w99"):
+        specs.by_spec(frames, {2016: specs.Spec({"w": "w99"})})
+
+
+def test_script_globals_and_registries(spark):
+    rows = [("window.LEDGER = {\"rows\": [1, 2]};\n",), ("window.OTHER = {}",), ("window.LEDGER = nonsense;",), (None,)]
+    found = [r[0] for r in spark.createDataFrame(rows, "t string").select(F.to_json(specs.script_global(F.col("t"), "LEDGER"))).collect()]
+    assert found == ['{"rows":[1,2]}', None, None, None]
+    registries = [
+        ('{"features":[{"id":"a"},{"name":" b "}]}', ["a", "b"], []), ('[{"id":"a"}]', ["a"], []), ('{"a":{"min":1},"b":{}}', ["a", "b"], []), ('[{"id":"a"},{"id":"a "}]', ["a", "a"], ["duplicate_id"]),
+        ("[]", [], ["empty"]), ("3", None, ["not_a_registry"]), ('[{"id":3}, 5]', [None, None], ["entry_not_an_object", "no_id"]), ('{"features":{"a":1}}', None, ["not_a_registry"]), ("{", None, ["not_a_registry"]),
+    ]
+    df = spark.createDataFrame([(i, d) for i, (d, _, _) in enumerate(registries)], "i int, d string").withColumn("v", F.try_parse_json("d"))
+    out = {r.i: r for r in df.select("i", F.transform(shapes.registry_entries(F.col("v")), lambda e: e["id"]).alias("ids"), shapes.registry_codes(F.col("v")).alias("codes")).collect()}
+    assert [(out[i].ids, out[i].codes) for i in range(len(registries))] == [(ids, codes) for _, ids, codes in registries]
