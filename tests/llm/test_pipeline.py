@@ -48,8 +48,12 @@ def test_stages(spark):
 
 
 def test_run_is_the_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SMALL), name.replace(" ", "-"))
+    one_by_one, _ = whole(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect())
     packed, _ = whole(corpus_pipeline.run(spark, SMALL).collect())
-    assert len(packed) > 100
+    assert packed == one_by_one and len(packed) > 100
 
 
 def test_stages_take_empty_and_repeated_rows(spark):
