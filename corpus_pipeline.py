@@ -15,7 +15,7 @@ from tallyframe.llm.host_rules import host_quality
 from tallyframe.llm.line_templates import recurring_drops, without_lines
 from tallyframe.llm.minhash import near_duplicates
 from tallyframe.llm.packing import pack
-from tallyframe.llm.shared import DOCUMENT_COLUMNS, table, written
+from tallyframe.llm.shared import DOCUMENT_COLUMNS, Scratch, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +67,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed documents. A stage's table is deleted when the next one is written; the last is read by the result."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        own = Scratch(spark)
+        docs = own.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            before.__exit__()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

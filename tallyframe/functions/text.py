@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,19 @@ def identity(name: Column) -> Column:
     return F.when(text != "", text)
 
 
+def identity_key(name: Column) -> Column:
+    """The identity of a name in any writing: Unicode's compatibility form (NFKC), case folded, white space as in `identity`.
+
+    The JVM's functions have neither form, so names go through Arrow.
+    """
+
+    def folded(names: pa.Array) -> pa.Array:
+        out = [None if n is None else " ".join(unicodedata.normalize("NFKC", n).casefold().split()) or None for n in names.to_pylist()]
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(folded, "string")(name)
+
+
 def finite(text: Column) -> Column:
     """A finite number, or null."""
     number = F.trim(text).try_cast("double")

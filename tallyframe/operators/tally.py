@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.text import identity
+
 ROUND = ["seat_id", "round_no", "stage", "special"]
 
 
@@ -155,9 +157,11 @@ def final_groups(candidates: DataFrame, totals: DataFrame) -> DataFrame:
 def major_candidates(lines: DataFrame) -> DataFrame:
     """By round: the votes of the one candidate with a Democratic line, and of the one with a Republican line, on all their lines; and the delta to each reported total.
 
-    A major candidate is chosen by identity, not by the sum of a party's lines; there must be exactly one.
+    A major candidate is chosen by identity, not by the sum of a party's lines; there must be exactly one. "Other"
+    is nobody's identity, whatever label its lines have.
     """
-    merged = lines.groupBy("cycle", *ROUND, "candidate").agg(F.sum("votes").alias("votes"), F.bool_or(F.col("party") == "D").alias("d"), F.bool_or(F.col("party") == "R").alias("r"), F.count("*").alias("own_lines"), F.collect_set("source_total").alias("totals"))
+    named = ~F.coalesce(identity(F.col("candidate")) == "other", F.lit(False))
+    merged = lines.groupBy("cycle", *ROUND, "candidate").agg(F.sum("votes").alias("votes"), F.bool_or((F.col("party") == "D") & named).alias("d"), F.bool_or((F.col("party") == "R") & named).alias("r"), F.count("*").alias("own_lines"), F.collect_set("source_total").alias("totals"))
     of = lambda side: (F.count_if(side).alias(f"{side}_candidates"), F.when(F.count_if(side) == 1, F.sum(F.when(F.col(side), F.col("votes")))).alias(f"{side}_votes"))
     sums = merged.groupBy("cycle", *ROUND).agg(*of("d"), *of("r"), F.sum("votes").alias("votes"), F.count_if(F.col("own_lines") > 1).alias("fusions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("totals")))).alias("totals"))
     deltas = F.map_from_entries(F.transform("totals", lambda t: F.struct(t, F.col("votes") - t)))

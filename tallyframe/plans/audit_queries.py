@@ -56,7 +56,7 @@ def final_round_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _TALLY
-    + f""", mc as (select cycle, seat_id, round_no, stage, special, candidate, cast(sum(votes) as bigint) as votes, bool_or(party = 'D') as d, bool_or(party = 'R') as r, count(*) as n from contest_lines group by all),
+    + f""", mc as (select cycle, seat_id, round_no, stage, special, candidate, cast(sum(votes) as bigint) as votes, bool_or(party = 'D' and candidate <> '6') as d, bool_or(party = 'R' and candidate <> '6') as r, count(*) as n from contest_lines group by all),
 s as (select cycle, seat_id, round_no, stage, special, count(*) filter (d) as dc, count(*) filter (r) as rc, cast(sum(votes) filter (d) as bigint) as dv, cast(sum(votes) filter (r) as bigint) as rv, cast(sum(votes) as bigint) as votes, count(*) filter (n > 1) as fusions from mc group by all),
 t as (select seat_id, round_no, stage, special, string_agg(total || ':' || (v - total), ',' order by total) as deltas from (select seat_id, round_no, stage, special, votes as v, unnest(totals) as total from rounds) group by all)
 select cycle::bigint as cycle, seat_id, round_no, stage, dc as d_candidates, rc as r_candidates, case when dc = 1 then dv end as d_votes, case when rc = 1 then rv end as r_votes, votes, fusions, deltas,
@@ -64,7 +64,8 @@ select cycle::bigint as cycle, seat_id, round_no, stage, dc as d_candidates, rc
 from s join t using (seat_id, round_no, stage, special)"""
 )
 def major_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tally.major_candidates(_lines(spark, sf_dir))
+    lines = _lines(spark, sf_dir).withColumn("candidate", F.when(F.col("candidate") == "6", " Other ").otherwise(F.col("candidate")))
+    found = tally.major_candidates(lines)
     deltas = F.array_join(F.transform(F.array_sort(F.map_entries("deltas")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
     return rounded(found.select("cycle", "seat_id", "round_no", "stage", "d_candidates", "r_candidates", "d_votes", "r_votes", "votes", "fusions", deltas.alias("deltas"), "problem", "two_party_margin"))
 

@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions import text
 from tallyframe.operators import layouts, shapes
 from tallyframe.sources import anchors, chunks, specs
 
@@ -131,3 +132,9 @@ def test_script_globals_and_registries(spark):
     df = spark.createDataFrame([(i, d) for i, (d, _, _) in enumerate(registries)], "i int, d string").withColumn("v", F.try_parse_json("d"))
     out = {r.i: r for r in df.select("i", F.transform(shapes.registry_entries(F.col("v")), lambda e: e["id"]).alias("ids"), shapes.registry_codes(F.col("v")).alias("codes")).collect()}
     assert [(out[i].ids, out[i].codes) for i in range(len(registries))] == [(ids, codes) for _, ids, codes in registries]
+
+
+def test_identities_in_any_writing(spark):
+    rows = [("Straße  ",), ("STRASSE",), ("ﬁne Ａrt",), ("  ",), (None,), ("é",), ("é",)]
+    found = [r[0] for r in spark.createDataFrame(rows, "n string").select(text.identity_key(F.col("n"))).collect()]
+    assert found == ["strasse", "strasse", "fine art", None, None, "é", "é"]
