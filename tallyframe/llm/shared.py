@@ -26,13 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse.
 
-    In local mode, where no other machine takes part, a temporary folder will do.
+    In local mode, where no other machine takes part, a temporary folder will do; on a cluster
+    a warehouse in the driver's own file system won't.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and spark.sparkContext.master.partition("[")[0] == "local":
         named = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark.conf.set("spark.checkpoint.dir", named)
-    return named or spark.conf.get("spark.sql.warehouse.dir") + "/tallyframe-scratch"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.partition("://")[0] in ("", "file", warehouse) or warehouse.startswith("file:"):
+        raise ValueError("spark.checkpoint.dir isn't set, and the warehouse is a folder of one machine: name one that all executors share")
+    return warehouse + "/tallyframe-scratch"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

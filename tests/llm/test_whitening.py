@@ -88,3 +88,18 @@ def test_deviations_beyond_a_long_are_exact(spark):
 
 def test_an_empty_table(spark):
     assert whitening.whiten(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_cluster_needs_a_folder_that_is_shared():
+    from types import SimpleNamespace
+
+    from tallyframe.llm.shared import shared_dir
+
+    def session(**conf):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"), conf=SimpleNamespace(get=lambda k, d=None: conf.get(k.rsplit(".", 2)[1], d)))
+
+    assert shared_dir(session(checkpoint="hdfs://h/c", warehouse="file:/w")) == "hdfs://h/c"
+    assert shared_dir(session(warehouse="s3a://b/w")) == "s3a://b/w/tallyframe-scratch"
+    for local in ("file:/w", "file:///w", "/w"):
+        with pytest.raises(ValueError, match="share"):
+            shared_dir(session(warehouse=local))
