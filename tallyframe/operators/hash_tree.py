@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.lineage import cut
+
 NODES = "level int, place long, digest string"
 EMPTY = hashlib.sha256(b"0:").hexdigest()
 
@@ -25,7 +27,7 @@ EMPTY = hashlib.sha256(b"0:").hexdigest()
 def placed(rows: DataFrame, order: list[str], value: Column, first: int = 0) -> tuple[DataFrame, int]:
     """rows with `place`, from `first` on, and `digest`; and how many there are. Rows of equal order are told apart by their digest."""
     named = rows.withColumn("digest", F.sha2(value, 256))
-    ranged = named.repartitionByRange(*order, "digest").sortWithinPartitions(*order, "digest").withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    ranged = cut(named.repartitionByRange(*order, "digest").sortWithinPartitions(*order, "digest").withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("start")).orderBy("_part").collect()  # a row for each partition
     offsets, total = [], first
     for r in counts:
@@ -38,14 +40,14 @@ def placed(rows: DataFrame, order: list[str], value: Column, first: int = 0) ->
 
 def grown(leaves: DataFrame, before: int, added: int, peaks: DataFrame | None = None) -> DataFrame:
     """(level, place, digest): the nodes that `added` leaves (place, digest) bring to a tree of `before` leaves with these peaks."""
-    at = leaves.select(F.lit(0).alias("level"), F.col("place").cast("long").alias("place"), "digest").checkpoint()
+    at = cut(leaves.select(F.lit(0).alias("level"), F.col("place").cast("long").alias("place"), "digest"))
     levels, k = [at], 0
     while (before + added) >> (k + 1) > before >> (k + 1):
         both = at if peaks is None else at.unionByName(peaks.where(F.col("level") == k).select("level", "place", "digest"))
         half = lambda side: F.max(F.when(F.col("place") % 2 == side, F.col("digest")))
         pairs = both.groupBy(F.shiftright("place", 1).alias("place")).agg(half(0).alias("left"), half(1).alias("right")).where("left is not null and right is not null")
         k += 1
-        at = pairs.select(F.lit(k).alias("level"), "place", F.sha2(F.concat("left", "right"), 256).alias("digest")).checkpoint()
+        at = cut(pairs.select(F.lit(k).alias("level"), "place", F.sha2(F.concat("left", "right"), 256).alias("digest")))
         levels.append(at)
     return reduce(DataFrame.unionByName, levels)
 
@@ -87,10 +89,10 @@ def changed_places(old: DataFrame, new: DataFrame, n: int) -> DataFrame:
     """(place): the rows among the first n whose digests differ, found from the peaks down."""
     other = new.select("level", "place", F.col("digest").alias("now"))
     differ = lambda some: some.join(other, ["level", "place"], "left").where(~F.col("digest").eqNullSafe(F.col("now"))).select("level", "place")
-    bad = differ(peaks(old, n).select("level", "place", "digest")).checkpoint()
+    bad = cut(differ(peaks(old, n).select("level", "place", "digest")))
     leaves = [bad.where("level = 0")]
     for k in reversed(range(1, max(n.bit_length(), 1))):
         down = bad.where(F.col("level") == k).select(F.lit(k - 1).alias("level"), F.explode(F.array(F.col("place") * 2, F.col("place") * 2 + 1)).alias("place"))
         found = differ(old.where(F.col("level") == k - 1).join(down, ["level", "place"], "left_semi"))
-        bad = bad.where(F.col("level") < k).unionByName(found).checkpoint()
+        bad = cut(bad.where(F.col("level") < k).unionByName(found))
     return bad.where("level = 0").select("place") if n > 1 else leaves[0].select("place")

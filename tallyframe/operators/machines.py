@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.lineage import cut
+
 
 @dataclass(frozen=True)
 class Machine:
@@ -46,7 +48,7 @@ def fold(events: DataFrame, key: str, order: list[str], symbol: str, machine: Ma
     columns = events.columns
     named = events.select("*", F.col(key).cast("string").alias("_key"), F.col(symbol).cast("string").alias("_symbol"))
     by = ["_key", *order, "_symbol"]
-    ranged = named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = cut(named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The maps of a partition's first and last key."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import text, times
 from tallyframe.operators import bounds, folds, gates, scores, serving, survey, tally
 from tallyframe.operators import distributions as dist
+from tallyframe.operators.lineage import cut
 from tallyframe.plans import views
 from tallyframe.plans.views import table
 
@@ -214,13 +215,13 @@ def _results(targets: DataFrame) -> DataFrame:
 
 def _based(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets with their baseline. Targets are written once, so that the lines are read and merged once for all that is made of them."""
-    targets = _targets(spark, sf_dir).checkpoint()
+    targets = cut(_targets(spark, sf_dir))
     return folds.with_baseline(targets, _results(targets))
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of the cycles that have a baseline ledger, with their baseline: what models are fitted to."""
-    targets = _targets(spark, sf_dir).checkpoint()
+    targets = cut(_targets(spark, sf_dir))
     results = _results(targets)
     return folds.covered(folds.with_baseline(targets, results), results)
 
