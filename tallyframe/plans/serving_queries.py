@@ -124,12 +124,13 @@ def anchor_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.transform("anchors.items", lambda a: a["href"]).alias("hrefs")).select("page_id", joined("hrefs"))
 
 
-@query("""with d as (select doc_id, 'covers ' || (1990 + doc_id % 30) || '-' || (2000 + doc_id % 20) || ' and ' || (1950 + doc_id % 60) || case when doc_id % 3 = 0 then ' for most states' else '' end as claim from documents)
-select doc_id, array_to_string(regexp_extract_all(claim, '([0-9]{4}-[0-9]{4})', 1), ',') as ranges, cast(1950 + doc_id % 60 as varchar) as years, doc_id % 3 = 0 as ambiguous from d""")
+@query(r"""with d as (select doc_id, coalesce(text, '') || ' covers ' || (1990 + doc_id % 30) || '-' || (2000 + doc_id % 20) || ' and ' || (1950 + doc_id % 60) || case when doc_id % 3 = 0 then ' for most states' else '' end as claim from documents)
+select doc_id, array_to_string(regexp_extract_all(claim, '\b((?:18|19|20)[0-9]{2}-(?:18|19|20)[0-9]{2})\b', 1), ',') as ranges, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(claim, '[0-9-]+'), lambda x: regexp_matches(x, '^(18|19|20)[0-9][0-9]$')))), ',') as years,
+  regexp_matches(claim, '(?i)\b(approximately|about|circa|various|selected|most|some)\b') as ambiguous from d""")
 def year_range_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = lambda base, n: (base + F.col("doc_id") % n).cast("string")
-    claim = F.concat(F.lit("covers "), year(1990, 30), F.lit("-"), year(2000, 20), F.lit(" and "), year(1950, 60), F.when(F.col("doc_id") % 3 == 0, " for most states").otherwise(""))
-    found = table(spark, sf_dir, "documents").select("doc_id", text.year_claims(claim).alias("c")).select("doc_id", "c.*")
+    claim = F.concat(F.coalesce("text", F.lit("")), F.lit(" covers "), year(1990, 30), F.lit("-"), year(2000, 20), F.lit(" and "), year(1950, 60), F.when(F.col("doc_id") % 3 == 0, " for most states").otherwise(""))
+    found = table(spark, sf_dir, "documents").select("doc_id", "text").select("doc_id", text.year_claims(claim).alias("c")).select("doc_id", "c.*")
     return found.select("doc_id", joined("ranges"), joined("years"), "ambiguous")
 
 
