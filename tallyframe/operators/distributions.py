@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import normal
+from tallyframe.operators.gates import failure_codes
 
 
 #: Events of a part, about; and masses of a block, when two parts meet.
@@ -179,6 +180,23 @@ def quantiles(pmf: DataFrame, fold: str, at: tuple[float, ...] = (0.05, 0.5, 0.9
     return cdf.select(fold, "k", "cdf", F.explode(F.array(*[F.lit(q) for q in at])).alias("q")).where("cdf >= q - 1e-12").groupBy(fold, "q").agg(F.min("k").alias("k"))
 
 
+def intervals(pmf: DataFrame, fold: str, level: float = 0.9, tolerance: float = 1e-10) -> DataFrame:
+    """(fold, low, high, inside, failure_codes): the equal-tail interval of a count, and what is wrong with its masses.
+
+    low and high are the least counts whose cumulated mass reaches either tail's share; inside is the mass between them,
+    both included. Codes: `mass` (the masses don't add up to 1), `negative`, `gap` (a count without a mass).
+    """
+    tail = (1 - level) / 2
+    cdf = cumulative(pmf, fold)
+    ends = cdf.groupBy(fold).agg(
+        F.min(F.when(F.col("cdf") >= tail - 1e-12, F.col("k"))).alias("low"), F.min(F.when(F.col("cdf") >= 1 - tail - 1e-12, F.col("k"))).alias("high"),
+        F.sum("mass").alias("_total"), F.min("mass").alias("_least"), F.count("*").alias("_n"), F.max("k").alias("_last"),
+    )
+    inside = pmf.join(ends.select(F.col(fold).alias("_fold"), "low", "high"), F.col(fold).eqNullSafe(F.col("_fold"))).where(F.col("k").between(F.col("low"), F.col("high"))).groupBy("_fold").agg(F.sum("mass").alias("inside"))
+    coded = ends.withColumn("failure_codes", failure_codes({"mass": F.abs(F.col("_total") - 1) > tolerance, "negative": F.col("_least") < 0, "gap": F.col("_n") != F.col("_last") + 1}))
+    return coded.join(inside, F.col(fold).eqNullSafe(F.col("_fold")), "left").select(fold, "low", "high", "inside", "failure_codes")
+
+
 def discrete_scores(pmf: DataFrame, fold: str, observed: DataFrame) -> DataFrame:
     """(fold, crps, log_score) of a count. observed: (fold, y). No mass at y scores minus infinity."""
     cdf = cumulative(pmf, fold).join(observed, fold)

@@ -113,6 +113,17 @@ def pmf_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dist.quantiles(_pmf(spark, sf_dir), "fold"))
 
 
+@query(
+    _PMF
+    + f""", whole as (select fold, min(k) filter (cdf >= 0.05 - 1e-12) as low, min(k) filter (cdf >= 0.95 - 1e-12) as high from cdf group by 1),
+ins as (select c.fold, sum(mass) as inside from cdf c join whole w on w.fold = c.fold and k between low and high group by 1)
+select fold, low, high, {r('inside', 'inside')}, '' as failure_codes from whole join ins using (fold)"""
+)
+def pmf_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dist.intervals(_pmf(spark, sf_dir), "fold")
+    return rounded(found.withColumn("failure_codes", F.array_join("failure_codes", ",")))
+
+
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy("fold").agg(F.sum("outcome").alias("y"))
 

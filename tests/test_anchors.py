@@ -264,3 +264,11 @@ def test_a_cycle_without_margins_closes_folds_and_is_not_counted(spark):
 def test_the_ledger_covers_from_its_first_cycle_on(spark):
     results = spark.createDataFrame([(2002, "A", 1.0), (2004, "A", 2.0)], "cycle int, state string, margin double")
     assert {r.cycle for r in folds.covered(trained(spark), results).collect()} == {2004, 2006, 2008, 2010}
+
+
+def test_equal_tail_intervals_and_broken_masses(spark):
+    masses = {"a": [0.02, 0.08, 0.8, 0.08, 0.02], "b": [0.5, 0.6], "c": [1.2, -0.2]}
+    rows = [(f, k, m) for f, v in masses.items() for k, m in enumerate(v)] + [("d", 0, 0.5), ("d", 2, 0.5)]
+    found = {r.f: r for r in dist.intervals(spark.createDataFrame(rows, "f string, k int, mass double"), "f").collect()}
+    assert (found["a"].low, found["a"].high) == (1, 3) and found["a"].inside == pytest.approx(0.96) and found["a"].failure_codes == []
+    assert found["b"].failure_codes == ["mass"] and found["c"].failure_codes == ["negative"] and found["d"].failure_codes == ["gap"]
