@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +15,14 @@ from tallyframe.functions import normal
 from tallyframe.operators.gates import failure_codes
 
 
-#: Events of a part, about; and masses of a block, when two parts meet.
-PART, BLOCK = 256, 1024
+#: Masses of a block, when two parts meet.
+BLOCK = 1024
+#: Masses of a task; events of a step in it; and the least mass, in relation to a window's largest, that is taken from it.
+SPAN, STEP, SEEN = 4096, 512, 1e-4
 #: Shifts and roots of a task, when a shared shift is integrated.
 POINTS, ROOTS = 32, 1024
 
 
-def count_pmf(p: Column) -> Column:
-    """Masses of 0..n events for an array of probabilities, one event after the other."""
-
-    def step(mass: Column, q: Column) -> Column:
-        stay = F.concat(F.transform(mass, lambda x: x * (1 - q)), F.array(F.lit(0.0)))
-        move = F.concat(F.array(F.lit(0.0)), F.transform(mass, lambda x: x * q))
-        return F.zip_with(stay, move, lambda a, b: a + b)
-
-    return F.aggregate(F.array_sort(p), F.array(F.lit(1.0)), step)
-
-
 def convolution(a: Column, b: Column) -> Column:
     """Masses of the sum of two independent counts."""
     n, m = F.size(a), F.size(b)
@@ -42,22 +34,6 @@ def convolution(a: Column, b: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n + m - 2), at)
 
 
-def dealt(rows: DataFrame, fold: str, columns: list[str], part: int = PART) -> tuple[DataFrame, int]:
-    """(fold, slot, events) with about `part` events, structs of `columns`, in each slot of a fold; and the most slots of a fold.
-
-    Equal events are counted first and dealt in pieces, so neither a large fold nor a
-    frequent event meets in one row.
-    """
-    counted = rows.groupBy(fold, *columns).agg(F.count("*").alias("c"))
-    sizes = counted.groupBy(F.col(fold).alias("_fold")).agg(F.ceil(F.sum("c") / part).alias("slots"))
-    most = sizes.agg(F.max("slots")).first()[0] or 1
-    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / part) - 1)).alias("i")
-    spread = counted.join(sizes, F.col(fold).eqNullSafe(F.col("_fold"))).select(fold, *columns, "c", "slots", pieces)
-    slot = F.pmod(F.xxhash64(*columns, "i"), F.col("slots")).alias("slot")
-    piece = F.array_repeat(F.struct(*columns), F.least(F.lit(part), F.col("c") - F.col("i") * part).cast("int"))
-    return spread.groupBy(fold, slot).agg(F.flatten(F.collect_list(piece)).alias("events")), most
-
-
 def merged(masses: DataFrame, keys: list[str], most: int, block: int = BLOCK) -> DataFrame:
     """(keys, k, mass) of (keys, slot, mass): slots meet in pairs, in as many rounds as `most` slots take.
 
@@ -75,11 +51,107 @@ def merged(masses: DataFrame, keys: list[str], most: int, block: int = BLOCK) ->
     return masses.select(*keys, F.posexplode("mass").alias("k", "mass"))
 
 
-def fold_pmf(rows: DataFrame, fold: str, p: str, part: int = PART) -> DataFrame:
+def fold_pmf(rows: DataFrame, fold: str, p: str, part: int = SPAN) -> DataFrame:
     """(fold, k, mass). Events without a probability are none."""
-    slots, most = dealt(rows.select(fold, F.col(p).alias("p")), fold, ["p"], part)
-    events = F.filter(F.transform("events", lambda e: e["p"]), lambda q: q.isNotNull())
-    return merged(slots.select(fold, "slot", count_pmf(events).alias("mass")), [fold], most)
+    return fold_log_pmf(rows, fold, p, part).drop("log_mass")
+
+
+def fold_log_pmf(rows: DataFrame, fold: str, p: str, part: int = SPAN) -> DataFrame:
+    """(fold, k, mass, log_mass): each mass, and its logarithm where the mass itself is too small for a double.
+
+    Equal events are counted first. A task takes `part` masses of a fold, in windows: events are tilted (odds times
+    one factor) so that the window's counts are the likely ones, their masses come from the characteristic
+    function at about ten deviations of roots, and the tilt is taken back. So every mass is exact to about 1e-11 in relation
+    to its size, and the work is the masses times the different probabilities. A fold that holds what is no
+    probability (under 0, over 1, NaN) has NaN for its masses.
+    """
+    counted = rows.select(fold, F.col(p).cast("double").alias("p")).groupBy(fold, "p").agg(F.count("p").alias("c"))
+    sizes = counted.groupBy(F.col(fold).alias("_fold")).agg(F.sum("c").alias("n"))
+    begins = F.explode(F.sequence(F.lit(0).cast("long"), "n", F.lit(part).cast("long"))).alias("begin")
+    units = counted.join(sizes, F.col(fold).eqNullSafe(F.col("_fold"))).select(fold, "p", "c", "n", begins)
+    kind = rows.schema[fold].dataType.simpleString()
+    return units.groupBy(fold, "begin").applyInArrow(_span(fold, part), f"`{fold}` {kind}, k int, mass double, log_mass double")
+
+
+def _span(fold: str, part: int) -> Callable[[pa.Table], pa.Table]:
+    def unit(events: pa.Table) -> pa.Table:
+        given = events.filter(pc.greater(events.column("c"), 0))
+        p, c = (given.column(x).to_numpy().astype(float) for x in ("p", "c"))
+        begin, n = events.column("begin")[0].as_py(), events.column("n")[0].as_py()
+        mass, log = masses_of(p, c, begin, min(begin + part, n + 1))
+        key = events.column(fold).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(log), np.int64)))
+        return pa.table([key, pa.array(np.arange(begin, begin + len(log), dtype=np.int32)), pa.array(mass), pa.array(log)], [fold, "k", "mass", "log_mass"])
+
+    return unit
+
+
+def masses_of(p: np.ndarray, c: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The masses of begin..end-1 events, where c events have the chance p; and their logarithms."""
+    if not ((p >= 0) & (p <= 1)).all():
+        return np.full(end - begin, np.nan), np.full(end - begin, np.nan)
+    mass, log = np.zeros(end - begin), np.full(end - begin, -np.inf)
+    sure, open_ = int(c[p == 1].sum()), (p > 0) & (p < 1)
+    p, c = p[open_], c[open_]
+    n, odds, mean = int(c.sum()), np.log(p) - np.log1p(-p), float((c * p).sum())
+    near = 4 * float(np.sqrt((c * p * (1 - p)).sum()))
+    k, last = max(begin - sure, 0), min(end - sure, n + 1)
+    while k < last:
+        found = (np.ones(1), np.zeros(1)) if n == 0 else (np.empty(0), np.empty(0))
+        if n and abs(k - mean) <= near:  # what is likely as it is needs no tilt
+            found = _window(p, c, odds, k, None)
+        if not len(found[0]):
+            middle = k + 2.0 * np.sqrt(_tilted(odds, c, k)[2])
+            while not len(found[0]):  # at k itself the window holds it
+                found = _window(p, c, odds, k, middle)
+                middle = (middle + k) / 2 if middle > k + 0.5 else float(k)
+        many = min(len(found[0]), last - k, *([int(np.ceil(mean - near)) - k] if k < mean - near else []))
+        at = k + sure - begin
+        mass[at : at + many], log[at : at + many] = found[0][:many], found[1][:many]
+        k += many
+    return mass, log
+
+
+def _tilted(odds: np.ndarray, c: np.ndarray, mean: float) -> tuple[float, np.ndarray, float]:
+    """The tilt that brings the mean count there (half an event off the ends at least), the tilted chances, and the variance."""
+    n = c.sum()
+    mean = min(max(mean, 0.5), n - 0.5)
+    own = np.log(mean) - np.log(n - mean)
+    low, high = own - odds.max(), own - odds.min()
+    for _ in range(60):
+        tilt = (low + high) / 2
+        q = 1 / (1 + np.exp(-(odds + tilt)))
+        low, high = (tilt, high) if (c * q).sum() < mean else (low, tilt)
+    return tilt, q, float((c * q * (1 - q)).sum())
+
+
+def _window(p: np.ndarray, c: np.ndarray, odds: np.ndarray, k: int, middle: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """The masses of k, k + 1, ..., and their logarithms, as far as a window around `middle` (none: the mean) shows them."""
+    n = int(c.sum())
+    tilt, q, variance = (0.0, p, float((c * p * (1 - p)).sum())) if middle is None else _tilted(odds, c, middle)
+    # beyond `reach` from its mean a count has less than exp(-50) (Bernstein), so what the roots fold back is nothing
+    reach = 17 + np.sqrt(280 + 100 * variance)
+    size = 1 << min(n, int(2 * reach) + 1).bit_length()
+    w = 2 * np.pi * np.arange(size // 2 + 1) / size
+    sine, cosine, half = np.sin(w), np.cos(w), np.sin(w / 2) ** 2
+    mean = float((c * q).sum())
+    origin = int(mean)
+    real, turn = np.zeros(len(w)), (mean - origin) * w
+    with np.errstate(divide="ignore"):
+        for i in range(0, len(q), STEP):
+            x, many = q[i : i + STEP, None], c[i : i + STEP]
+            real += many @ np.log1p(np.maximum(-4 * x * (1 - x) * half, -1.0)) / 2
+            turn += many @ (np.arctan2(x * sine, 1 - x + x * cosine) - x * w)
+        mass = np.fft.irfft(np.exp(real) * (np.cos(turn) - 1j * np.sin(turn)), size)
+    first = max(0, min(origin - size // 2, n + 1 - size))
+    mass = np.roll(mass, origin - first)
+    seen = mass[k - first :] if 0 <= k - first < size else mass[:0]
+    unseen = np.flatnonzero(~(seen >= SEEN * mass.max()))
+    seen = seen[: unseen[0]] if len(unseen) else seen
+    if middle is None:
+        return seen, np.log(seen)
+    cumulant = float((c * (np.log1p(-p) + np.logaddexp(0.0, odds + tilt))).sum())  # of 1 - p + p exp(tilt)
+    log = np.log(seen) + (cumulant - tilt * np.arange(k, k + len(seen)))
+    return np.exp(log), log
 
 
 def mixture_pmf(rows: DataFrame, fold: str, tau: Column, points: int = 2048) -> DataFrame:
@@ -198,12 +270,13 @@ def intervals(pmf: DataFrame, fold: str, level: float = 0.9, tolerance: float =
 
 
 def discrete_scores(pmf: DataFrame, fold: str, observed: DataFrame) -> DataFrame:
-    """(fold, crps, log_score) of a count. observed: (fold, y). No mass at y scores minus infinity."""
+    """(fold, crps, log_score) of a count. observed: (fold, y). No mass at y scores minus infinity; a mass too small for a double scores its `log_mass`, if pmf has it."""
     cdf = cumulative(pmf, fold).join(observed, fold)
     gap = F.col("cdf") - F.when(F.col("k") >= F.col("y"), 1.0).otherwise(0.0)
-    hit = F.max(F.when(F.col("k") == F.col("y"), F.col("mass")))
+    log = F.col("log_mass") if "log_mass" in pmf.columns else F.when(F.col("mass") > 0, F.ln("mass"))
+    hit = F.max(F.when(F.col("k") == F.col("y"), log))
     sums = cdf.groupBy(fold).agg(F.sum(gap * gap).alias("crps"), hit.alias("hit"))
-    return sums.select(fold, "crps", F.when(F.coalesce("hit", F.lit(0.0)) <= 0, F.lit(float("-inf"))).otherwise(F.ln("hit")).alias("log_score"))
+    return sums.select(fold, "crps", F.coalesce("hit", F.lit(float("-inf"))).alias("log_score"))
 
 
 def pair_covariance(rows: DataFrame, pmf: DataFrame, fold: str, p: str) -> DataFrame:

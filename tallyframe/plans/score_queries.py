@@ -135,7 +135,8 @@ def discrete_crps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PMF + f"select fold, {r('ln(mass)', 'log_score')} from masses join observed using (fold) where k = y")
 def discrete_log_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dist.discrete_scores(_pmf(spark, sf_dir), "fold", _observed(spark, sf_dir)).select("fold", "log_score"))
+    masses = dist.fold_log_pmf(_scored(spark, sf_dir).select("fold", "p"), "fold", "p")
+    return rounded(dist.discrete_scores(masses, "fold", _observed(spark, sf_dir)).select("fold", "log_score"))
 
 
 @query(_PMF + f", v as (select fold, sum(k * k * mass) - sum(k * mass) * sum(k * mass) as var from masses group by 1), o as (select fold, count(*) as events, sum(p * (1 - p)) as s from scored group by 1) select fold, events, {r('(var - s) / (events * (events - 1))', 'covariance')} from v join o using (fold) where events > 1")

@@ -1,5 +1,6 @@
 """Values known by hand, and properties."""
 
+import math
 import statistics
 from statistics import NormalDist
 
@@ -272,3 +273,24 @@ def test_equal_tail_intervals_and_broken_masses(spark):
     found = {r.f: r for r in dist.intervals(spark.createDataFrame(rows, "f string, k int, mass double"), "f").collect()}
     assert (found["a"].low, found["a"].high) == (1, 3) and found["a"].inside == pytest.approx(0.96) and found["a"].failure_codes == []
     assert found["b"].failure_codes == ["mass"] and found["c"].failure_codes == ["negative"] and found["d"].failure_codes == ["gap"]
+
+
+def test_masses_of_a_large_fold_are_exact_to_their_own_size_out_to_the_ends(spark):
+    n = 12_000
+    rows = spark.range(n).select(F.lit("f").alias("f"), F.when(F.col("id") < n // 2, 0.5).otherwise(0.25).alias("p"))
+    pmf = dist.fold_log_pmf(rows, "f", "p", part=5_000)
+    ends = {r.k: r.log_mass for r in pmf.where(F.col("k").isin(0, 1, n)).collect()}
+    none = n // 2 * (math.log(0.5) + math.log(0.75))
+    assert ends[0] == pytest.approx(none, rel=1e-13) and ends[n] == pytest.approx(n // 2 * (math.log(0.5) + math.log(0.25)), rel=1e-13)
+    assert ends[1] == pytest.approx(none + math.log(n // 2 * (1 + 1 / 3)), rel=1e-13)
+    row = one(dist.moments(pmf, "f"))
+    assert row["n"] == n and row["total"] == pytest.approx(1, abs=1e-12) and row["mean"] == pytest.approx(4_500, rel=1e-12) and row["variance"] == pytest.approx(2_625, rel=1e-8)
+    # a mass under the least double still has its score
+    assert one(dist.discrete_scores(pmf, "f", spark.createDataFrame([("f", n)], "f string, y long")))["log_score"] == pytest.approx(ends[n])
+
+
+def test_certain_events_shift_a_count_and_what_is_no_chance_shows(spark):
+    rows = spark.createDataFrame([("f", p) for p in (1.0, 1.0, 0.0, 0.5)] + [("g", 1.5), ("g", 0.5)] + [("r", 1e-9)] * 3, "f string, p double")
+    found = {(r.f, r.k): r.mass for r in dist.fold_pmf(rows, "f", "p").collect()}
+    assert [found["f", k] for k in range(5)] == [0.0, 0.0, 0.5, 0.5, 0.0] and all(math.isnan(found["g", k]) for k in range(3))
+    assert [found["r", k] for k in range(4)] == pytest.approx([1 - 3e-9, 3e-9, 3e-18, 1e-27], rel=1e-8)
