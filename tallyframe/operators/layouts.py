@@ -2,7 +2,8 @@
 
 Cells are long: (sheet, row, col, text). A sheet's header is the row with the most known labels; columns
 get their roles from it, so a sheet with moved columns gives the same rows. The layout is a relation and is
-joined to the cells, no header comes to the driver.
+joined to the cells. It is the side that is broadcast, a row for each column of a sheet, however small the
+cells' files look: cells are many times their files' size. A sheet's row is put together in one shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def layout(cells: DataFrame, roles: dict[str, str]) -> DataFrame:
     named = cells.select("sheet", "row", "col", label(F.col("text")).alias("label")).where("label is not null")
     votes = named.where(F.col("label").isin(*roles)).groupBy("sheet", "row").agg(F.count_distinct("label").alias("votes"))
     header = votes.groupBy("sheet").agg(F.max(F.struct("votes", (-F.col("row")).alias("row")))["row"].alias("row")).select("sheet", (-F.col("row")).alias("row"))
-    return named.join(header, ["sheet", "row"]).select("sheet", F.col("row").alias("header_row"), "col", "label", F.try_element_at(known, F.col("label")).alias("role"))
+    return named.join(F.broadcast(header), ["sheet", "row"]).select("sheet", F.col("row").alias("header_row"), "col", "label", F.try_element_at(known, F.col("label")).alias("role"))
 
 
 def layout_codes(columns: DataFrame, roles: dict[str, str], candidates: list[str], least: int = 2) -> DataFrame:
@@ -42,10 +43,11 @@ def layout_codes(columns: DataFrame, roles: dict[str, str], candidates: list[str
 
 def read_by_layout(cells: DataFrame, columns: DataFrame, roles: dict[str, str]) -> DataFrame:
     """(sheet, row, a column for each role, candidate, text): the rows below the header, one for each candidate's cell that isn't blank."""
-    placed = cells.join(columns, ["sheet", "col"]).where("row > header_row")
-    fixed = placed.where("role is not null").groupBy("sheet", "row").agg(*[F.max(F.when(F.col("role") == r, F.col("text"))).alias(r) for r in dict.fromkeys(roles.values())])
-    given = placed.where(F.col("role").isNull() & F.coalesce(F.trim("text") != "", F.lit(False))).select("sheet", "row", F.col("label").alias("candidate"), "text")
-    return given.join(fixed, ["sheet", "row"], "left")
+    placed = cells.join(F.broadcast(columns), ["sheet", "col"]).where("row > header_row")
+    given = F.col("role").isNull() & F.coalesce(F.trim("text") != "", F.lit(False))
+    fixed = [F.max(F.when(F.col("role") == r, F.col("text"))).alias(r) for r in dict.fromkeys(roles.values())]
+    rows = placed.where(F.col("role").isNotNull() | given).groupBy("sheet", "row").agg(*fixed, F.collect_list(F.when(given, F.struct(F.col("label").alias("candidate"), "text"))).alias("_given"))
+    return rows.withColumn("_given", F.explode("_given")).select("sheet", "row", "_given.*", *dict.fromkeys(roles.values()))
 
 
 def row_kind(identity: Column, candidate: Column, caption: Column, general: Column, runoff: Column) -> Column:

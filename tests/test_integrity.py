@@ -6,6 +6,7 @@ import zipfile
 import zlib
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text
@@ -138,3 +139,11 @@ def test_identities_in_any_writing(spark):
     rows = [("Straße  ",), ("STRASSE",), ("ﬁne Ａrt",), ("  ",), (None,), ("é",), ("é",)]
     found = [r[0] for r in spark.createDataFrame(rows, "n string").select(text.identity_key(F.col("n"))).collect()]
     assert found == ["strasse", "strasse", "fine art", None, None, "é", "é"]
+
+
+def test_cells_of_sheets_are_never_broadcast_however_small_their_files(spark):
+    from tallyframe.plans import sheet_queries
+
+    for name in ("moved_sheets", "sheet_layouts"):
+        joins = [line for line in getattr(sheet_queries, name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+        assert len(joins) == {"moved_sheets": 2, "sheet_layouts": 1}[name] and all("Hint=(strategy=broadcast)" in line for line in joins), joins
