@@ -294,3 +294,12 @@ def test_certain_events_shift_a_count_and_what_is_no_chance_shows(spark):
     found = {(r.f, r.k): r.mass for r in dist.fold_pmf(rows, "f", "p").collect()}
     assert [found["f", k] for k in range(5)] == [0.0, 0.0, 0.5, 0.5, 0.0] and all(math.isnan(found["g", k]) for k in range(3))
     assert [found["r", k] for k in range(4)] == pytest.approx([1 - 3e-9, 3e-9, 3e-18, 1e-27], rel=1e-8)
+
+
+def test_facts_of_seats_need_one_shuffle_of_lines_dealt_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(views, "LINES", 500)
+    facts = tally.contest_facts(tally.merge_candidates(views.contest_lines(spark, SMALL)))
+    lines = views.table(spark, SMALL, "lineitem").count()
+    assert facts.rdd.getNumPartitions() == -(-lines // 500) > 4
+    plan = facts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("hashpartitioning(seat_id") == 1 and "hashpartitioning(cycle" not in plan
