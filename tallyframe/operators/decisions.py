@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -36,19 +37,36 @@ def claims(fields: Column) -> Column:
     It is if a text has a word of doubt, if two intervals end in different years, or if a year
     after the last interval stands outside of all.
     """
-    fields = F.transform(fields, lambda f: F.coalesce(f, F.lit("")))
-    all_of = lambda pattern, group: lambda f: F.transform(F.regexp_extract_all(f, F.lit(pattern), F.lit(group)), lambda y: y.cast("int"))
-    pairs = F.flatten(F.transform(fields, lambda f: F.arrays_zip(all_of(INTERVAL, 1)(f).alias("start"), all_of(INTERVAL, 2)(f).alias("end"))))
-    intervals = F.filter(F.transform(pairs, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))), lambda p: p["start"] <= p["end"])
-    ends = F.transform(intervals, lambda p: p["end"])
-    outside = F.array_except(F.flatten(F.transform(fields, all_of(YEAR, 1))), F.concat(ends, F.transform(intervals, lambda p: p["start"])))
-    last = F.array_max(ends)
-    doubtful = F.exists(fields, lambda f: f.rlike(UNCERTAIN)) | F.coalesce(F.exists(outside, lambda y: y > last), F.lit(False)) | (F.size(F.array_distinct(ends)) > 1)
-    return F.struct(intervals.alias("intervals"), doubtful.alias("ambiguous"), last.alias("last"))
+    pair = lambda m: F.struct(F.left(m, F.lit(4)).cast("int").alias("start"), F.right(m, F.lit(4)).cast("int").alias("end"))
+    read = lambda f: F.struct(
+        F.filter(F.transform(F.regexp_extract_all(f, F.lit(INTERVAL), F.lit(0)), pair), lambda p: p["start"] <= p["end"]).alias("intervals"),
+        F.transform(F.regexp_extract_all(f, F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")).alias("years"),
+        f.rlike(UNCERTAIN).alias("doubt"),
+    )
+
+    def judged(found: Column) -> Column:
+        return once(F.flatten(F.transform(found, lambda x: x["intervals"])), lambda intervals: once(F.transform(intervals, lambda p: p["end"]), lambda ends: of(found, intervals, ends)))
+
+    def of(found: Column, intervals: Column, ends: Column) -> Column:
+        outside = F.array_except(F.flatten(F.transform(found, lambda x: x["years"])), F.concat(ends, F.transform(intervals, lambda p: p["start"])))
+        last = F.array_max(ends)
+        doubtful = F.exists(found, lambda x: x["doubt"]) | F.coalesce(F.exists(outside, lambda y: y > last), F.lit(False)) | (F.size(F.array_distinct(ends)) > 1)
+        return F.struct(intervals.alias("intervals"), doubtful.alias("ambiguous"), last.alias("last"))
+
+    return once(F.transform(fields, lambda f: read(F.coalesce(f, F.lit("")))), judged)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is computed once, however often `then` reads it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def coverage(source: Column, claimed: Column, needs: dict[str, Need] = NEEDS) -> Column:
     """A struct of status, code, confirmed_through, ingest_cycles and isolated_cycles; null for an unknown source."""
+    return once(claimed, lambda c: _covered(source, c, needs))
+
+
+def _covered(source: Column, claimed: Column, needs: dict[str, Need]) -> Column:
     covers = lambda year: ~claimed["ambiguous"] & F.exists(claimed["intervals"], lambda p: (p["start"] <= year) & (p["end"] >= year))
     none = F.array().cast("array<int>")
     out = F.lit(None)

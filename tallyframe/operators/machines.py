@@ -43,10 +43,11 @@ def fold(events: DataFrame, key: str, order: list[str], symbol: str, machine: Ma
     """events with state_before, state_after and refused.
 
     The order within a key is that of `order`, then of the symbol (null first); it should be total.
-    A null key is a key of its own, a null symbol is refused. Empty events give no rows.
+    A null key is a key of its own, a null symbol is refused. Empty events give no rows. Events are written
+    before they are sorted: the bounds of the ranges are sampled from them, and would make them a second time.
     """
     columns = events.columns
-    named = events.select("*", F.col(key).cast("string").alias("_key"), F.col(symbol).cast("string").alias("_symbol"))
+    named = cut(events).select("*", F.col(key).cast("string").alias("_key"), F.col(symbol).cast("string").alias("_symbol"))
     by = ["_key", *order, "_symbol"]
     ranged = cut(named.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
 

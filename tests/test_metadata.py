@@ -111,3 +111,11 @@ def test_a_machine_runs_in_order_over_any_partitions(spark, parts):
         state[key] = after or before
         expected.append((key, at, symbol, before, state[key], after is None))
     assert sorted(map(tuple, found), key=str) == sorted(expected, key=str) and empty == []
+
+
+def test_texts_are_read_once_for_their_claims(spark):
+    rows = spark.createDataFrame([("senate", ["1976-2022", None])], "s string, f array<string>")
+    found = rows.select("s", decisions.claims(F.col("f")).alias("c")).select(decisions.coverage(F.col("s"), F.col("c")).alias("v"))
+    assert found.first().v.status == "confirmed"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and plan.count("RLIKE") == 1
