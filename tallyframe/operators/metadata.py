@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyframe.operators.contracts import forbidden_keys
+from tallyframe.operators.decisions import once
 from tallyframe.operators.gates import failure_codes
 
 #: The closed key sets of a pin, checksum lengths, and keys that no pin may have at any depth.
@@ -63,8 +64,7 @@ def string(v: Column, path: str = "$") -> Column:
 
 def strict(v: Column, path: str = "$") -> Column:
     """The text at a path if it isn't empty and has no white space around it."""
-    text = string(v, path)
-    return F.when((text != "") & text.rlike(r"^\S(?s:.*)$") & text.rlike(r"(?s)\S\z"), text)
+    return once(string(v, path), lambda text: F.when((text != "") & text.rlike(r"^\S(?s:.*)$") & text.rlike(r"(?s)\S\z"), text))
 
 
 def whole(v: Column, path: str = "$") -> Column:
@@ -100,8 +100,7 @@ def records(document: Column) -> Column:
 def metadata_field(record: Column, name: str) -> Column:
     """A record's own field unless it is empty, else the first of its citation block's fields with this name."""
     cited = F.filter(items(record, "$.metadataBlocks.citation.fields"), lambda x: string(x, "$.typeName") == name)
-    direct = at(record, f"$.{name}")
-    return F.when(~_empty(direct), direct).otherwise(at(F.get(cited, 0), "$.value"))
+    return once(at(record, f"$.{name}"), lambda direct: F.when(~_empty(direct), direct).otherwise(at(F.get(cited, 0), "$.value")))
 
 
 def scope_text(value: Column) -> Column:
@@ -124,7 +123,7 @@ def pin_parts(document: Column, version: Column, names: Column) -> dict[str, Col
     named = lambda w: (kind(w) == "OBJECT") & (kind(file(w)) == "OBJECT") & (F.array_contains(names, string(file(w), "$.filename")) | F.array_contains(names, string(original(w), "$.filename")))
     one = lambda xs: F.when(F.size(xs) == 1, F.get(xs, 0))
     record, wrapper, data, first = F.col("record"), F.col("wrapper"), F.col("data_file"), F.col("original")
-    scope = F.coalesce(*[F.when(~_empty(metadata_field(record, n)), metadata_field(record, n)) for n in ("datasetScope", "dsDescription", "subtitle")])
+    scope = F.coalesce(*[once(metadata_field(record, n), lambda v: F.when(~_empty(v), v)) for n in ("datasetScope", "dsDescription", "subtitle")])
     return {
         "document": document,
         "matches": F.filter(records(F.col("document")), same),
@@ -134,7 +133,7 @@ def pin_parts(document: Column, version: Column, names: Column) -> dict[str, Col
         "data_file": file(wrapper),
         "original": original(wrapper),
         "title": strict(metadata_field(record, "title")),
-        "scope": scope_text(scope),
+        "scope": once(scope, scope_text),
         "guestbook": F.coalesce(at(data, "$.guestbookId"), at(record, "$.guestbookId")),
         "restricted": F.coalesce(at(wrapper, "$.restricted"), at(data, "$.restricted")),
         "codes": failure_codes(
@@ -204,8 +203,11 @@ def _guestbook(v: Column, path: str) -> Column:
 
 def pin_codes(text: Column, pin: Column, host: str, dois: dict[str, str], official: bool = True) -> Column:
     """All that is wrong with a pin: text, and the same as VARIANT; dois: the fixed identifier of each source."""
+    return once(pin, lambda v: once(F.get(items(v, "$.files"), 0), lambda file: _pin_codes(text, v, file, host, dois, official)))
+
+
+def _pin_codes(text: Column, pin: Column, file: Column, host: str, dois: dict[str, str], official: bool) -> Column:
     doi = F.element_at(F.create_map(*[F.lit(x) for kv in dois.items() for x in kv]), string(pin, "$.source_id"))
-    file = F.get(items(pin, "$.files"), 0)
     checksum = F.element_at(F.create_map(*[F.lit(x) for kv in HEX_LENGTHS.items() for x in kv]), F.upper(strict(file, "$.checksum_type")))
     digest = F.lower(strict(file, "$.checksum_value"))
     main_type = F.lower(F.trim(F.split_part(strict(file, "$.content_type"), F.lit(";"), F.lit(1))))

@@ -119,3 +119,9 @@ def test_texts_are_read_once_for_their_claims(spark):
     assert found.first().v.status == "confirmed"
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 2 and plan.count("RLIKE") == 1
+
+
+def test_values_of_a_variant_are_read_once(spark):
+    found = spark.createDataFrame([('{"a":" x"}',), ('{"a":"x"}',)], "t string").select(F.try_parse_json("t").alias("v")).select(metadata.strict(F.col("v"), "$.a").alias("s"))
+    assert {r.s for r in found.collect()} == {None, "x"}
+    assert str(metadata.strict(F.col("v"), "$.a")).count("schema_of_variant") == 1
