@@ -64,13 +64,16 @@ def fold_log_pmf(rows: DataFrame, fold: str, p: str, part: int = SPAN) -> DataFr
     function at about ten deviations of roots, and the tilt is taken back. So every mass is exact to about 1e-11 in relation
     to its size, and the work is the masses times the different probabilities. A fold that holds what is no
     probability (under 0, over 1, NaN) has NaN for its masses.
+
+    Few bytes make much work here, so parts are dealt to a stated number of tasks: by size they would all be one task's.
     """
     counted = rows.select(fold, F.col(p).cast("double").alias("p")).groupBy(fold, "p").agg(F.count("p").alias("c"))
     sizes = counted.groupBy(F.col(fold).alias("_fold")).agg(F.sum("c").alias("n"))
     begins = F.explode(F.sequence(F.lit(0).cast("long"), "n", F.lit(part).cast("long"))).alias("begin")
     units = counted.join(sizes, F.col(fold).eqNullSafe(F.col("_fold"))).select(fold, "p", "c", "n", begins)
     kind = rows.schema[fold].dataType.simpleString()
-    return units.groupBy(fold, "begin").applyInArrow(_span(fold, part), f"`{fold}` {kind}, k int, mass double, log_mass double")
+    dealt = units.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), fold, "begin")
+    return dealt.groupBy(fold, "begin").applyInArrow(_span(fold, part), f"`{fold}` {kind}, k int, mass double, log_mass double")
 
 
 def _span(fold: str, part: int) -> Callable[[pa.Table], pa.Table]:
@@ -236,7 +239,7 @@ def binomial_pmf(rows: DataFrame, fold: str, n: str, p: str) -> DataFrame:
 
 
 def moments(pmf: DataFrame, fold: str) -> DataFrame:
-    k, m = F.col("k"), F.col("mass")
+    k, m = F.col("k").cast("double"), F.col("mass")  # an int can't hold the square of a count over 46,340
     sums = pmf.groupBy(fold).agg(F.max("k").alias("n"), F.sum("mass").alias("total"), F.sum(k * m).alias("mean"), F.sum(k * k * m).alias("square"))
     return sums.select(fold, "n", "total", "mean", (F.col("square") - F.col("mean") * F.col("mean")).alias("variance"))
 

@@ -289,6 +289,18 @@ def test_masses_of_a_large_fold_are_exact_to_their_own_size_out_to_the_ends(spar
     assert one(dist.discrete_scores(pmf, "f", spark.createDataFrame([("f", n)], "f string, y long")))["log_score"] == pytest.approx(ends[n])
 
 
+def test_parts_of_a_fold_are_several_tasks_whatever_their_bytes(spark):
+    rows = spark.range(400).select(F.lit("f").alias("f"), F.lit(0.5).alias("p"))
+    pmf = dist.fold_pmf(rows, "f", "p", part=16)
+    where = pmf.groupBy(F.spark_partition_id()).count().collect()
+    assert len(where) == 4 and sum(r["count"] for r in where) == 401
+
+
+def test_moments_of_counts_whose_squares_no_int_holds(spark):
+    pmf = spark.createDataFrame([("f", 60_000, 0.5), ("f", 60_002, 0.5)], "f string, k int, mass double")
+    assert one(dist.moments(pmf, "f")) == {"f": "f", "n": 60_002, "total": 1.0, "mean": 60_001.0, "variance": 1.0}
+
+
 def test_certain_events_shift_a_count_and_what_is_no_chance_shows(spark):
     rows = spark.createDataFrame([("f", p) for p in (1.0, 1.0, 0.0, 0.5)] + [("g", 1.5), ("g", 0.5)] + [("r", 1e-9)] * 3, "f string, p double")
     found = {(r.f, r.k): r.mass for r in dist.fold_pmf(rows, "f", "p").collect()}
