@@ -315,3 +315,22 @@ def test_facts_of_seats_need_one_shuffle_of_lines_dealt_in_proportion(spark, mon
     assert facts.rdd.getNumPartitions() == -(-lines // 500) > 4
     plan = facts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("hashpartitioning(seat_id") == 1 and "hashpartitioning(cycle" not in plan
+
+
+def test_final_groups_meet_their_totals_where_the_lines_were_dealt(spark, monkeypatch):
+    monkeypatch.setattr(views, "LINES", 500)
+    lines = views.contest_lines(spark, SMALL)
+    groups = tally.final_groups(tally.merge_with_write_ins(lines, F.col("candidate") == "0"), tally.rounds(lines))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert groups.rdd.getNumPartitions() == -(-views.table(spark, SMALL, "lineitem").count() // 500) > 4
+        plan = groups._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("hashpartitioning(seat_id") == 2
+
+
+def test_final_groups_take_the_totals_of_their_own_stage(spark):
+    candidates = spark.createDataFrame([(2000, "a", "gen", "DEMOCRATIC", 5), (2000, "a", "runoff", "DEMOCRATIC", 7), (2000, "b", "gen", "REPUBLICAN", 3), (2000, "c", "gen", "OTHER", 1)], "cycle int, seat_id string, stage string, group string, votes long")
+    totals = spark.createDataFrame([("a", "gen", [5]), ("a", "runoff", [7, 2]), ("b", "gen", [3]), ("c", "runoff", [1])], "seat_id string, stage string, source_totals array<long>")
+    assert {r.seat_id: (r.final, r.delta) for r in tally.final_groups(candidates, totals).collect()} == {"a": ("runoff", -2), "b": ("gen", 0)}
