@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -188,8 +189,11 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return pairs
 
 
-#: Lists with more pairs of different shapes than this are aligned by their elements' own tags and names.
-SHAPES = 4096
+#: Lists with more pairs of different shapes than this, and all once so many weights are known, are weighed in whole rows:
+#: the weights are the same either way. The last: weights of rows that are kept for another use.
+SHAPES, KNOWN, CELLS = 256, 1 << 18, 1 << 22
+#: More than any tree weighs; and what no sum outweighs.
+BEYOND, NEVER = 1 << 32, -(1 << 62)
 
 
 class Weights:
@@ -218,7 +222,7 @@ class Weights:
                 continue
             xs, ys, ends = trimmed(x.children, y.children)
             kinds_x, kinds_y = {c.shape: c for c in xs}.values(), {c.shape: c for c in ys}.values()
-            missing = [(c, d) for c in kinds_x for d in kinds_y if self.ready(c, d) is None] if len(kinds_x) * len(kinds_y) <= SHAPES else []
+            missing = [] if self.wide(xs, ys) else [(c, d) for c in kinds_x for d in kinds_y if self.ready(c, d) is None]
             if missing:
                 todo.extend(missing)
                 continue
@@ -226,54 +230,95 @@ class Weights:
             self.known[x.shape, y.shape] = _own(x, y) + sum(c.size for c, _ in ends) + (int(self.last_row(xs, ys)[-1]) if xs and ys else 0)
         return self.known[x.shape, y.shape]
 
-    def table(self, xs: list[Node], ys: list[Node]) -> tuple[dict, np.ndarray]:
-        """For each shape of xs its weights with the shapes of ys; for each of ys its column."""
-        if len({c.shape for c in xs}) * len({d.shape for d in ys}) > SHAPES:
-            return self.plain_table(xs, ys)
-        columns = {d.shape: (k, d) for k, d in enumerate({d.shape: d for d in ys}.values())}
-        rows = {c.shape: np.array([self(c, d) for _, d in columns.values()]) for c in {c.shape: c for c in xs}.values()}
-        return rows, np.array([columns[d.shape][0] for d in ys])
-
-    def plain_table(self, xs: list[Node], ys: list[Node]) -> tuple[dict, np.ndarray]:
-        """The same by tags and names, where equal shapes still weigh all they have."""
-        look = lambda c: (c.tag, c.names)
-        looks = {look(d): k for k, d in enumerate({look(d): d for d in ys}.values())}
-        of_tag: dict[tuple, np.ndarray] = {}
-        for c in {look(c): c for c in xs}.values():
-            of_tag[look(c)] = np.array([0 if c.tag != tag else 2 if c.names and c.names == names else 1 for tag, names in looks])
-        column = np.array([looks[look(d)] for d in ys])
-        places: dict[int, list[int]] = defaultdict(list)
-        for k, d in enumerate(ys):
-            places[d.shape].append(k)
-        rows = {}
-        for c in {c.shape: c for c in xs}.values():
-            if c.shape in places:
-                row = of_tag[look(c)][column]
-                row[places[c.shape]] = c.size
-                rows[c.shape] = row
-            else:
-                rows[c.shape] = of_tag[look(c)]
-        return _Rows(rows, column), np.arange(len(ys))
+    def wide(self, xs: list[Node], ys: list[Node]) -> bool:
+        return len(self.known) > KNOWN or len({c.shape for c in xs}) * len({d.shape for d in ys}) > SHAPES
+
+    def rows(self, xs: list[Node], ys: list[Node]) -> Iterator[np.ndarray]:
+        """For each of xs its weights with all of ys."""
+        kinds = Kinds(ys)
+        if self.wide(xs, ys):
+            return (kinds.weights(x)[kinds.at] for x in xs)
+        rows = {c.shape: np.array([self(c, d) for d in kinds.trees]) for c in {c.shape: c for c in xs}.values()}
+        return (rows[x.shape][kinds.at] for x in xs)
 
     def last_row(self, xs: list[Node], ys: list[Node]) -> np.ndarray:
         """The weight of the best alignment of xs with each beginning of ys."""
-        rows, at = self.table(xs, ys)
         best = np.zeros(len(ys) + 1, np.int64)
-        for x in xs:
-            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + rows[x.shape][at]))
+        for row in self.rows(xs, ys):
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row))
         return best
 
 
-class _Rows(dict):
-    """Rows by shape; a row by look is laid out over all of ys when it is read."""
+class Kinds:
+    """The different trees of a list, and under them those of their children: a tree is weighed with all of them at once.
 
-    def __init__(self, rows: dict, column: np.ndarray):
-        super().__init__(rows)
-        self.column, self.looks = column, max((int(k) for k in column), default=-1) + 1
+    The children of all kinds are one row of sums, in which each kind's begin `BEYOND` higher than those before it,
+    so one running maximum serves them all. Memory is that of the list's own nodes, for each open element of the tree.
+    """
+
+    def __init__(self, nodes: list[Node], above: Kinds | None = None):
+        trees = {d.shape: d for d in nodes}
+        self.trees, self.place = list(trees.values()), {shape: k for k, shape in enumerate(trees)}
+        self.at = np.array([self.place[d.shape] for d in nodes], np.int64)
+        self.ids: dict[object, int] = {}
+        self.tags = np.array([self.ids.setdefault(d.tag, len(self.ids)) for d in self.trees])
+        self.names = np.array([self.ids.setdefault(d.names, len(self.ids)) for d in self.trees])
+        self.nesting = {d.tag for d in self.trees if d.children}
+        self.kept: dict[tuple[int, int], np.ndarray] = above.kept if above else {}
+        self.level = above.level + 1 if above else 0
+        self._below: Kinds | None = None
+
+    def below(self) -> Kinds:
+        if self._below is None:
+            self._below = Kinds([c for d in self.trees for c in d.children], self)
+            many = np.array([len(d.children) for d in self.trees])
+            self.ends = np.cumsum(many + 1) - 1
+            self.base = np.arange(len(many)) * BEYOND
+            self.begin = np.repeat(self.base, many + 1)
+            self.source = np.full(len(self.begin), len(self._below.trees))
+            self.source[np.delete(np.arange(len(self.begin)), self.ends - many)] = self._below.at
+        return self._below
+
+    def own(self, x: Node) -> np.ndarray:
+        same = self.tags == self.ids.get(x.tag, -1)
+        return np.where(same & (self.names == self.ids.get(x.names, -1)), 2, same) if x.names else same.astype(np.int64)
+
+    def ready(self, x: Node) -> np.ndarray | None:
+        if (row := self.kept.get((self.level, x.shape))) is None and (x.tag not in self.nesting or not x.children):
+            row = np.append(self.own(x), NEVER)
+        return row
+
+    def weights(self, x: Node) -> np.ndarray:
+        """The weights of x with each kind, and `NEVER`."""
+        todo: list[list] = [[x, self, None, 0]]  # an element, the kinds at its depth, the best sums, its children so far
+        row = None
+        while todo:
+            node, kinds, best, done = todo[-1]
+            if row is not None:
+                best[1:] = np.maximum(best[1:], best[:-1] + row[kinds.source[1:]])
+                np.maximum.accumulate(best, out=best)
+                todo[-1][3] = done = done + 1
+                row = None
+            elif (row := kinds.ready(node)) is not None:
+                todo.pop()
+                continue
+            else:
+                kinds.below()
+                todo[-1][2] = best = kinds.begin.copy()
+            if done < len(node.children):
+                todo.append([node.children[done], kinds.below(), None, 0])
+            else:
+                todo.pop()
+                row = kinds.whole(node, best)
+        return row
 
-    def __getitem__(self, shape: int) -> np.ndarray:
-        row = super().__getitem__(shape)
-        return row[self.column] if len(row) == self.looks and len(row) != len(self.column) else row
+    def whole(self, x: Node, best: np.ndarray) -> np.ndarray:
+        own = self.own(x)
+        row = np.append(np.where(own > 0, own + best[self.ends] - self.base, 0), NEVER)
+        if len(self.kept) * len(row) > CELLS:
+            self.kept.clear()
+        self.kept[self.level, x.shape] = row
+        return row
 
 
 def _own(x: Node, y: Node) -> int:
@@ -296,6 +341,8 @@ def aligned(xs: list[Node], ys: list[Node], weights: Weights) -> list[tuple[Node
     while todo:
         xs, ys, ends = trimmed(*todo.pop())
         out += ends
+        if len(weights.known) > KNOWN:
+            weights.known.clear()
         if not xs or not ys:
             continue
         if len(xs) == 1 or len(ys) == 1:

@@ -12,7 +12,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from test_text_operators import EDGES, documents, edges, texts
 
-from tallyframe.llm import minhash, ppm, queries, tokens, url_filter, wrapper
+from tallyframe.llm import html_tree, minhash, ppm, queries, tokens, url_filter, wrapper
 from tallyframe.llm.html_tree import match, measured, parse
 from tallyframe.llm.shared import Scratch, text_slices, utf8
 
@@ -270,6 +270,37 @@ def test_tree_matching_counts_the_most_pairs():
         assert [y.number for _, y in sorted(pairs, key=lambda p: p[0].number)] == sorted(y.number for _, y in pairs)
 
 
+def test_matching_is_exact_whatever_the_number_of_different_shapes(monkeypatch):
+    def best(x, y):
+        if x.tag != y.tag:
+            return 0
+        row = [0] * (len(y.children) + 1)
+        for c in x.children:
+            new = [0]
+            for k, d in enumerate(y.children):
+                new.append(max(row[k + 1], new[-1], row[k] + best(c, d)))
+            row = new
+        return (2 if x.names and x.names == y.names else 1) + row[-1]
+
+    def pairs_of(a, b, shapes, known, cells):
+        for name, value in (("SHAPES", shapes), ("KNOWN", known), ("CELLS", cells)):
+            monkeypatch.setattr(html_tree, name, value)
+        return match(a, b)
+
+    rng = random.Random(4)
+    parts = ["<p>x</p>", "<p class=a>x</p>", "<h3>x</h3>", "<ul><li>x<li class=b>x</ul>", "<ul class=a><li>x</ul>"]
+    row = lambda tag: f"<{tag}>{''.join(rng.choices(parts, k=rng.choice([0, 1, 9, 10])))}</{tag}>"
+    a, b = (parse("<body>" + "".join(row(rng.choice(["div", "section"])) for _ in range(150))) for _ in "ab")
+    measured(a), measured(b)
+    weight = lambda pairs: sum(2 if x.names and x.names == y.names else 1 for x, y in pairs)
+    given = match(a, b)
+    assert len({c.shape for c in a.children[0].children}) * len({c.shape for c in b.children[0].children}) > 4096
+    assert weight(given) == best(a, b)
+    # neither the threshold nor what is kept shows in the pairs
+    for bounds in ((10**9, 10**9, 1 << 22), (0, 10**9, 1 << 22), (256, 10**9, 500), (30, 50, 1 << 22)):
+        assert [(x.number, y.number) for x, y in pairs_of(a, b, *bounds)] == [(x.number, y.number) for x, y in given]
+
+
 def test_deep_wide_and_long_pages_take_linear_time():
     wrapper.main_text("<div>" * 20_000 + "x")
     wrapper.main_text("<div>" * 4_000 + "<li>x" * 4_000)
