@@ -222,7 +222,7 @@ class Weights:
                 continue
             xs, ys, ends = trimmed(x.children, y.children)
             kinds_x, kinds_y = {c.shape: c for c in xs}.values(), {c.shape: c for c in ys}.values()
-            missing = [] if self.wide(xs, ys) else [(c, d) for c in kinds_x for d in kinds_y if self.ready(c, d) is None]
+            missing = [] if self.wide(len(kinds_x), len(kinds_y)) else [(c, d) for c in kinds_x for d in kinds_y if self.ready(c, d) is None]
             if missing:
                 todo.extend(missing)
                 continue
@@ -230,16 +230,19 @@ class Weights:
             self.known[x.shape, y.shape] = _own(x, y) + sum(c.size for c, _ in ends) + (int(self.last_row(xs, ys)[-1]) if xs and ys else 0)
         return self.known[x.shape, y.shape]
 
-    def wide(self, xs: list[Node], ys: list[Node]) -> bool:
-        return len(self.known) > KNOWN or len({c.shape for c in xs}) * len({d.shape for d in ys}) > SHAPES
+    def wide(self, kinds_x: int, kinds_y: int) -> bool:
+        return kinds_x * kinds_y > SHAPES or len(self.known) > KNOWN
 
     def rows(self, xs: list[Node], ys: list[Node]) -> Iterator[np.ndarray]:
         """For each of xs its weights with all of ys."""
-        kinds = Kinds(ys)
-        if self.wide(xs, ys):
+        kinds_x, kinds_y = {c.shape: c for c in xs}, {d.shape: d for d in ys}
+        if self.wide(len(kinds_x), len(kinds_y)):
+            kinds = Kinds(ys)
             return (kinds.weights(x)[kinds.at] for x in xs)
-        rows = {c.shape: np.array([self(c, d) for d in kinds.trees]) for c in {c.shape: c for c in xs}.values()}
-        return (rows[x.shape][kinds.at] for x in xs)
+        place = {shape: k for k, shape in enumerate(kinds_y)}
+        at = np.array([place[d.shape] for d in ys])
+        rows = {c.shape: np.array([self(c, d) for d in kinds_y.values()])[at] for c in kinds_x.values()}
+        return (rows[x.shape] for x in xs)
 
     def last_row(self, xs: list[Node], ys: list[Node]) -> np.ndarray:
         """The weight of the best alignment of xs with each beginning of ys."""
