@@ -19,6 +19,8 @@ from tallyframe.operators.gates import failure_codes
 BLOCK = 1024
 #: Masses of a task; events of a step in it; and the least mass, in relation to a window's largest, that is taken from it.
 SPAN, STEP, SEEN = 4096, 512, 1e-4
+#: Counts of a block, when moments are summed.
+NEAR = 256
 #: Shifts and roots of a task, when a shared shift is integrated.
 POINTS, ROOTS = 32, 1024
 
@@ -239,9 +241,18 @@ def binomial_pmf(rows: DataFrame, fold: str, n: str, p: str) -> DataFrame:
 
 
 def moments(pmf: DataFrame, fold: str) -> DataFrame:
-    k, m = F.col("k").cast("double"), F.col("mass")  # an int can't hold the square of a count over 46,340
-    sums = pmf.groupBy(fold).agg(F.max("k").alias("n"), F.sum("mass").alias("total"), F.sum(k * m).alias("mean"), F.sum(k * k * m).alias("square"))
-    return sums.select(fold, "n", "total", "mean", (F.col("square") - F.col("mean") * F.col("mean")).alias("variance"))
+    """(fold, n, total, mean, variance) of masses that add up to 1.
+
+    Sums are taken in blocks of `NEAR` counts, from each block's first count, and brought together around the mean: the mean
+    square less the square of the mean has the rounding errors of squared counts, which a large fold's variance is small against.
+    """
+    origin = F.floor(F.col("k") / NEAR) * NEAR
+    x, m = (F.col("k") - origin).cast("double"), F.col("mass")
+    parts = pmf.groupBy(fold, origin.cast("double").alias("_origin")).agg(F.max("k").alias("_last"), F.sum("mass").alias("_mass"), F.sum(x * m).alias("_first"), F.sum(x * x * m).alias("_second"))
+    mean = F.sum(F.col("_origin") * F.col("_mass") + F.col("_first")).over(Window.partitionBy(fold))
+    off = F.col("_origin") - F.col("_mean")
+    square = F.col("_second") + 2 * off * F.col("_first") + off * off * F.col("_mass")
+    return parts.withColumn("_mean", mean).groupBy(fold).agg(F.max("_last").alias("n"), F.sum("_mass").alias("total"), F.max("_mean").alias("mean"), F.sum(square).alias("variance"))
 
 
 def cumulative(pmf: DataFrame, fold: str) -> DataFrame:

@@ -301,6 +301,15 @@ def test_moments_of_counts_whose_squares_no_int_holds(spark):
     assert one(dist.moments(pmf, "f")) == {"f": "f", "n": 60_002, "total": 1.0, "mean": 60_001.0, "variance": 1.0}
 
 
+def test_variances_of_large_counts_keep_their_digits(spark):
+    rows = [("f", 999_999, 0.1), ("f", 1_000_000, 0.2), ("f", 1_000_447, 0.7), ("g", 3, 1.0)]
+    found = {r.f: r for r in dist.moments(spark.createDataFrame(rows, "f string, k int, mass double"), "f").collect()}
+    x, m = (-1, 0, 447), (0.1, 0.2, 0.7)
+    mean = sum(a * b for a, b in zip(x, m))
+    assert found["f"].variance == pytest.approx(sum((a - mean) ** 2 * b for a, b in zip(x, m)), rel=1e-12) and found["f"].mean == pytest.approx(1_000_000 + mean, rel=1e-15)
+    assert tuple(found["g"]) == ("g", 3, 1.0, 3.0, 0.0)
+
+
 def test_certain_events_shift_a_count_and_what_is_no_chance_shows(spark):
     rows = spark.createDataFrame([("f", p) for p in (1.0, 1.0, 0.0, 0.5)] + [("g", 1.5), ("g", 0.5)] + [("r", 1e-9)] * 3, "f string, p double")
     found = {(r.f, r.k): r.mass for r in dist.fold_pmf(rows, "f", "p").collect()}
