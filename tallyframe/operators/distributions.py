@@ -58,6 +58,11 @@ def fold_pmf(rows: DataFrame, fold: str, p: str, part: int = SPAN) -> DataFrame:
     return fold_log_pmf(rows, fold, p, part).drop("log_mass")
 
 
+def equal_events(rows: DataFrame, fold: str, p: str) -> DataFrame:
+    """(fold, p, c): how many of a fold's events have the chance p, or none."""
+    return rows.select(fold, F.col(p).cast("double").alias("p")).groupBy(fold, "p").agg(F.count("*").alias("c"))
+
+
 def fold_log_pmf(rows: DataFrame, fold: str, p: str, part: int = SPAN) -> DataFrame:
     """(fold, k, mass, log_mass): each mass, and its logarithm where the mass itself is too small for a double.
 
@@ -69,8 +74,8 @@ def fold_log_pmf(rows: DataFrame, fold: str, p: str, part: int = SPAN) -> DataFr
 
     Few bytes make much work here, so parts are dealt to a stated number of tasks: by size they would all be one task's.
     """
-    counted = rows.select(fold, F.col(p).cast("double").alias("p")).groupBy(fold, "p").agg(F.count("p").alias("c"))
-    sizes = counted.groupBy(F.col(fold).alias("_fold")).agg(F.sum("c").alias("n"))
+    counted = equal_events(rows, fold, p)
+    sizes = counted.groupBy(F.col(fold).alias("_fold")).agg(F.sum(F.when(F.col("p").isNotNull(), F.col("c")).otherwise(0)).alias("n"))
     begins = F.explode(F.sequence(F.lit(0).cast("long"), "n", F.lit(part).cast("long"))).alias("begin")
     units = counted.join(sizes, F.col(fold).eqNullSafe(F.col("_fold"))).select(fold, "p", "c", "n", begins)
     kind = rows.schema[fold].dataType.simpleString()
@@ -80,7 +85,7 @@ def fold_log_pmf(rows: DataFrame, fold: str, p: str, part: int = SPAN) -> DataFr
 
 def _span(fold: str, part: int) -> Callable[[pa.Table], pa.Table]:
     def unit(events: pa.Table) -> pa.Table:
-        given = events.filter(pc.greater(events.column("c"), 0))
+        given = events.filter(pc.is_valid(events.column("p")))
         p, c = (given.column(x).to_numpy().astype(float) for x in ("p", "c"))
         begin, n = events.column("begin")[0].as_py(), events.column("n")[0].as_py()
         mass, log = masses_of(p, c, begin, min(begin + part, n + 1))
@@ -294,9 +299,12 @@ def discrete_scores(pmf: DataFrame, fold: str, observed: DataFrame) -> DataFrame
 
 
 def pair_covariance(rows: DataFrame, pmf: DataFrame, fold: str, p: str) -> DataFrame:
-    """Mean covariance of two events of a fold, from the count's variance; no pair is formed."""
-    own = rows.groupBy(fold).agg(F.count("*").alias("events"), F.sum(F.col(p) * (1 - F.col(p))).alias("independent"))
-    joined = moments(pmf, fold).join(own, fold).where("events > 1")
+    """Mean covariance of two events of a fold, from the count's variance; no pair is formed. Events without a fold have none.
+
+    Events are counted as for the masses, and no filter by fold goes down to them, so rows are read once if the masses are theirs.
+    """
+    own = equal_events(rows, fold, p).groupBy(F.col(fold).alias("_fold")).agg(F.sum("c").alias("events"), F.sum(F.col("c") * F.col("p") * (1 - F.col("p"))).alias("independent"))
+    joined = moments(pmf.where(F.col(fold).isNotNull()), fold).join(own, F.col(fold).eqNullSafe(F.col("_fold"))).where("events > 1")
     return joined.select(fold, "events", ((F.col("variance") - F.col("independent")) / (F.col("events") * (F.col("events") - 1))).alias("covariance"))
 
 

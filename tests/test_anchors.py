@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import normal, text, times
 from tallyframe.operators import bounds, folds, gates, scores, serving, survey, tally
 from tallyframe.operators import distributions as dist
-from tallyframe.plans import views
+from tallyframe.plans import score_queries, views
 
 
 def one(df):
@@ -310,6 +310,21 @@ def test_variances_of_large_counts_keep_their_digits(spark):
     assert tuple(found["g"]) == ("g", 3, 1.0, 3.0, 0.0)
 
 
+def test_pair_covariances_read_their_tables_once(spark):
+    found = score_queries.pair_covariance(spark, SMALL)
+    assert found.collect()
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan parquet") == 2
+
+
+def test_pair_covariance_counts_events_without_a_chance_and_leaves_out_those_without_a_fold(spark):
+    rows = spark.createDataFrame([("f", 0.5), ("f", 0.5), ("f", 0.25), ("f", None), (None, 0.5), (None, 0.5), ("g", 0.5), ("h", None), ("h", None)], "f string, p double")
+    pmf = spark.createDataFrame([("f", 0, 0.5), ("f", 2, 0.5), (None, 0, 1.0), ("g", 0, 1.0), ("h", 0, 1.0)], "f string, k int, mass double")
+    found = {r.f: (r.events, r.covariance) for r in dist.pair_covariance(rows, pmf, "f", "p").collect()}
+    assert found == {"f": (4, pytest.approx((1 - 0.6875) / 12)), "h": (2, None)}
+    mine = {r.f: r.covariance for r in dist.pair_covariance(rows, dist.fold_pmf(rows, "f", "p"), "f", "p").collect()}
+    assert mine == {"f": pytest.approx(0, abs=1e-12), "h": None}
+
+
 def test_certain_events_shift_a_count_and_what_is_no_chance_shows(spark):
     rows = spark.createDataFrame([("f", p) for p in (1.0, 1.0, 0.0, 0.5)] + [("g", 1.5), ("g", 0.5)] + [("r", 1e-9)] * 3, "f string, p double")
     found = {(r.f, r.k): r.mass for r in dist.fold_pmf(rows, "f", "p").collect()}
